@@ -2,11 +2,28 @@
 
 from __future__ import annotations
 
+from lagloom.llm.html_text import op10_html_extraction
+from lagloom.llm.language import op6_language_id
 from lagloom.llm.packing import op4_best_fit_packing
+from lagloom.llm.secrets import op8_secret_scans
 from lagloom.llm.token_counts import op2_token_counts
 from lagloom.llm.token_files import op1_token_files
+from lagloom.llm.topk import OP7_SQL, op7_exact_topk
+from lagloom.llm.toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_token_counts, op4_best_fit_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_files,
+        op2_token_counts,
+        op4_best_fit_packing,
+        op6_language_id,
+        op7_exact_topk,
+        op8_secret_scans,
+        op9_toxicity,
+        op10_html_extraction,
+    )
+}
 
 #: Where SQL can state a result. The others are tested against brute force in tests/llm.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op7_exact_topk": OP7_SQL}
