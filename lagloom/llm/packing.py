@@ -15,11 +15,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lagloom.llm.arrow import Columns, arrow_schema, map_columns, slices
 from lagloom.llm.pieces import encoder
 from lagloom.sources.shared import keep
 
@@ -74,21 +75,21 @@ def plan_bins(lengths: dict[int, int], capacity: int) -> list[tuple[int, list[tu
 
 
 def _pieces(name: str, end_id: int, capacity: int):
-    end = np.asarray([end_id], "<u4").tobytes()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, ranks = TaskContext.get().partitionId(), Counter()
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                some, rows = batch.iloc[at : at + 256], []
-                for doc, ids in zip(some["doc_id"], encoder(name).encode(some["text"].fillna("").tolist()), strict=True):
-                    ids += end
-                    for k, start in enumerate(range(0, len(ids) // 4, capacity)):
-                        own = ids[4 * start : 4 * (start + capacity)]
-                        n = len(own) // 4
-                        rows.append((doc, k, start, n, zlib.crc32(own), part, ranks[n]))
-                        ranks[n] += 1
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"]).astype({"doc_id": "Int64"})
+    out = arrow_schema(PIECES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, ranks, end = TaskContext.get().partitionId(), Counter(), np.asarray([end_id], "<u4").tobytes()
+        for some in slices(batches, 1024):
+            all_ids, at = encoder(name).encode_array(some.column(1))
+            rows = []
+            for doc, i, j in zip(some.column(0).to_pylist(), at[:-1], at[1:], strict=True):
+                ids = all_ids[i:j].tobytes() + end
+                for k, start in enumerate(range(0, len(ids) // 4, capacity)):
+                    own = ids[4 * start : 4 * (start + capacity)]
+                    n = len(own) // 4
+                    rows.append((doc, k, start, n, zlib.crc32(own), part, ranks[n]))
+                    ranks[n] += 1
+            yield pa.RecordBatch.from_pydict(dict(zip(out.names, map(list, zip(*rows, strict=True)), strict=True)), schema=out)
 
     return run
 
@@ -108,23 +109,20 @@ def _places(plan: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, tuple[np
 
 
 def _place(places: dict[int, tuple[np.ndarray, ...]]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            length, rank = batch["length"].to_numpy(np.int64), batch["rank"].to_numpy(np.int64)
-            sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            order = np.argsort(length, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
-                if not len(own):
-                    continue
-                n = int(length[own[0]])
-                first, base, each, at = places[n]
-                k = np.searchsorted(first, rank[own], side="right") - 1
-                past = rank[own] - first[k]
-                sequence[own] = base[k] + past // each[k]
-                offset[own] = at[k] + past % each[k] * n
-            yield batch.drop(columns=["rank"]).assign(sequence_id=sequence, offset=offset)
-
-    return run
+    def place(c: Columns) -> Columns:
+        length, rank = np.asarray(c["length"]), np.asarray(c.pop("rank"))
+        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        order = np.argsort(length, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(length[order])) + 1):
+            n = int(length[own[0]])
+            first, base, each, at = places[n]
+            k = np.searchsorted(first, rank[own], side="right") - 1
+            past = rank[own] - first[k]
+            sequence[own] = base[k] + past // each[k]
+            offset[own] = at[k] + past % each[k] * n
+        return c | {"sequence_id": sequence, "offset": offset}
+
+    return lambda: place
 
 
 def pack(docs: DataFrame, name: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,15 +134,15 @@ def pack(docs: DataFrame, name: str, end_id: int = 0, capacity: int = 2048, id_c
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = keep(texts.mapInPandas(_pieces(name, end_id, capacity), PIECES), "pieces")
+    pieces = keep(texts.mapInArrow(_pieces(name, end_id, capacity), PIECES), "pieces")
     # How many pieces of a length the tasks before held: one row a task and length, however many documents there are.
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     base = counts.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))
     lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = _places(plan_bins(lengths, capacity))
     ranked = pieces.join(base.hint("merge"), ["part", "length"], "left").select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("rank")).alias("rank"))
-    # Values of the plan travel in the task's closure: at most a few times capacity rows.
-    return ranked.mapInPandas(_place(places), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long") if lengths else spark.createDataFrame([], "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    # The plan travels in the task's closure: at most a few times capacity rows.
+    return map_columns(ranked, _place(places), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", rows=1 << 16)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,9 +13,10 @@ import json
 import os
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _CUT = re.compile(r"(?<=\S) ")
 
@@ -30,7 +31,7 @@ def vocabulary(name: str) -> str:
 
 
 class PieceEncoder:
-    """``encode(texts)`` gives the ids of each text as little-endian unsigned 32-bit integers."""
+    """``encode`` gives the ids of each text as little-endian unsigned 32-bit integers, ``encode_array`` all in one array."""
 
     def __init__(self, name: str, limit: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,40 +85,67 @@ class PieceEncoder:
             out += [raw[i:j] for i, j in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]
         return out
 
-    def _fill(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of ``" " + piece`` for each missing piece."""
+    def _spaced(self, pieces: list[str]) -> list[bytes]:
+        """Ids of ``" " + piece`` for each of the (distinct) pieces; words are remembered while there is room."""
+        got = list(map(self.words.get, pieces))
+        gaps = [i for i, v in enumerate(got) if v is None]
         many, alone = [], []
-        for p in missing:
-            (alone if "\x01" in p or p[:1].isspace() or p[-1:].isspace() or any(x in p for x in self.special) else many).append(p)
-        found = dict(zip(many, self._joined(many), strict=True))
-        found.update(zip(alone, self._plain([" " + p for p in alone]), strict=True))
+        for i in gaps:
+            p = pieces[i]
+            (alone if "\x01" in p or p[:1].isspace() or p[-1:].isspace() or any([x in p for x in self.special]) else many).append(i)
+        for i, ids in zip(many, self._joined([pieces[i] for i in many]), strict=True):
+            got[i] = ids
+        for i, ids in zip(alone, self._plain([" " + pieces[i] for i in alone]), strict=True):
+            got[i] = ids
         room = self.limit - len(self.words)
         if room > 0:
-            self.words.update((p, found[p]) for p in many[:room])
-        return found
+            self.words.update((pieces[i], got[i]) for i in many[:room])
+        return got
+
+    def _careful(self, text: str) -> bytes:
+        """For texts in which white space stands before a space: cut only where that is right."""
+        head, *rest = _CUT.split(text)
+        found = dict(zip(own := list(dict.fromkeys(rest)), self._spaced(own), strict=True))
+        return self._plain([head])[0] + b"".join([found[p] for p in rest])
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts (nulls are empty) and the n + 1 offsets of the texts among them."""
+        texts = pc.fill_null(texts, "")
+        if not len(texts):
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        if not self.kind:
+            return _stacked(self._plain(texts.to_pylist()))
+        # Cut, and number the distinct pieces, in Arrow; Python sees each distinct piece once.
+        cut = pc.split_pattern(texts, " ")
+        first = np.asarray(cut.offsets).astype(np.int64) - cut.offsets[0].as_py()
+        numbered = cut.flatten().dictionary_encode()
+        which, pieces = np.array(numbered.indices), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        unsure = np.asarray([not p or p[-1].isspace() for p in pieces], bool)
+        odd = np.logical_or.reduceat(unsure[which], first[:-1]) & (np.diff(first) > 1)
+        heads = pc.take(numbered, pa.array(first[:-1])).cast(texts.type).dictionary_encode()
+        ids = self._spaced(pieces) + self._plain(heads.dictionary.to_pylist())
+        which[first[:-1]] = len(pieces) + np.asarray(heads.indices)
+        sizes = np.asarray([len(x) // 4 for x in ids], np.int64)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        begin = np.cumsum(sizes) - sizes
+        each = sizes[which]
+        ends = np.cumsum(each)
+        out = flat[np.repeat(begin[which] - ends + each, each) + np.arange(ends[-1])]
+        offsets = np.append(0, ends)[first]
+        if odd.any():
+            parts = [out[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+            for i in np.flatnonzero(odd):
+                parts[i] = self._careful(texts[int(i)].as_py())
+            return _stacked(parts)
+        return out, offsets
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.kind:
-            return self._plain(texts)
-        cut = [t.split(" ") for t in texts]
-        missing = set(chain.from_iterable([x[1:-1] for x in cut])).difference(self.words)
-        # A piece that ends in white space is never remembered: here the simple cut was wrong.
-        bad = {p for p in missing if not p or p[-1].isspace()}
-        again = [i for i, x in enumerate(cut) if len(x) > 1 and (not x[0] or x[0][-1].isspace() or not x[-1] or (bad and not bad.isdisjoint(x[1:-1])))]
-        if again:
-            for i in again:
-                cut[i] = _CUT.split(texts[i])
-            missing = set(chain.from_iterable([x[1:-1] for x in cut])).difference(self.words)
-        found = self._fill(missing) if missing else {}
-        ends = list({x[-1] for x in cut if len(x) > 1})
-        end = dict(zip(ends, self._plain([" " + p for p in ends]), strict=True))
-        heads = list({x[0] for x in cut})
-        first = dict(zip(heads, self._plain(heads), strict=True))
-        words, out = self.words, []
-        for x in cut:
-            last = end[x[-1]] if len(x) > 1 else b""
-            out.append(first[x[0]] + b"".join([words.get(p) or found.get(p, b"") for p in x[1:-1]]) + last)
-        return out
+        ids, offsets = self.encode_array(pa.array(texts, pa.string()))
+        return [ids[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def _stacked(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(parts), "<u4"), np.append(0, np.cumsum([len(p) // 4 for p in parts])).astype(np.int64)
 
 
 @lru_cache(maxsize=4)

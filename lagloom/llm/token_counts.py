@@ -10,10 +10,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagloom.llm.arrow import arrow_schema, slices
 from lagloom.llm.pieces import encoder, vocabulary
 from lagloom.sources.shared import new_path
 
@@ -26,21 +28,21 @@ def tokenizer_version(name: str) -> str:
         return hashlib.sha256(f.read()).hexdigest()
 
 
-def count_texts(name: str, texts: list[str]) -> list[int]:
+def count_array(name: str, texts: pa.Array) -> np.ndarray:
     """Token counts by tokenizers (``.json``) or sentencepiece (``.model``)."""
     if name.endswith(".json"):
-        return [len(x) // 4 for x in encoder(name).encode(texts)]
+        return np.diff(encoder(name).encode_array(texts)[1])
     import sentencepiece
 
-    return [len(x) for x in sentencepiece.SentencePieceProcessor(model_file=vocabulary(name)).encode(texts, num_threads=1)]
+    return np.asarray([len(x) for x in sentencepiece.SentencePieceProcessor(model_file=vocabulary(name)).encode(texts.to_pylist(), num_threads=1)], np.int64)
 
 
 def _count(name: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 256):
-                some = batch.iloc[at : at + 256]
-                yield pd.DataFrame({"digest": some["digest"], "n_tokens": count_texts(name, some["text"].tolist())})
+    out = arrow_schema(CACHE_SCHEMA)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in slices(batches, 1024):
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(count_array(name, some.column(1)), pa.int64())], schema=out)
 
     return run
 
@@ -62,7 +64,7 @@ def count_tokens(docs: DataFrame, name: str, cache: str | None = None, limit: in
     first = keyed.groupBy("digest").agg(F.min("text").alias("text"))
     if cache and _exists(spark, path):
         first = first.join(spark.read.schema(CACHE_SCHEMA).parquet(path), "digest", "left_anti")
-    first.mapInPandas(_count(name), CACHE_SCHEMA).write.mode("append").parquet(path)
+    first.mapInArrow(_count(name), CACHE_SCHEMA).write.mode("append").parquet(path)
     counts = spark.read.schema(CACHE_SCHEMA).parquet(path)
     rows = keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
     # Left outer, so that a hot digest's rows can be split among tasks (the cache has one row a digest).

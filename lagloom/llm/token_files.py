@@ -18,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagloom.llm.arrow import Columns, arrow_schema, map_columns, slices
 from lagloom.llm.pieces import encoder
 from lagloom.llm.rans import Coder, quantise
 from lagloom.sources.shared import drop, new_path
@@ -32,27 +34,26 @@ CODED = "part int, frame int, start long, n_ids long, doc_ids array<long>, doc_s
 
 
 def _frames(name: str, end_id: int):
-    end = np.asarray([end_id], "<u4").tobytes()
+    out = arrow_schema(RAW)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, frame, start, held = TaskContext.get().partitionId(), 0, 0, 0
+        end = np.asarray([end_id], "<u4").tobytes()
         docs, sizes, ids = [], [], []
 
-        def flush() -> pd.DataFrame:
-            raw = b"".join(ids)
-            return pd.DataFrame([(part, frame, start, len(raw) // 4, docs, sizes, raw)], columns=["part", "frame", "start", "n_ids", "doc_ids", "doc_sizes", "ids"])
-
-        for batch in batches:
-            for at in range(0, len(batch), 128):
-                some = batch.iloc[at : at + 128]
-                for doc, own in zip(some["doc_id"], encoder(name).encode(some["text"].fillna("").tolist()), strict=True):
-                    docs.append(None if pd.isna(doc) else int(doc))
-                    sizes.append(len(own) // 4 + 1)
-                    ids.append(own + end)
-                    held += sizes[-1]
-                    if held >= FRAME_IDS:
-                        yield flush()
-                        frame, start, held, docs, sizes, ids = frame + 1, start + held, 0, [], [], []
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"part": [part], "frame": [frame], "start": [start], "n_ids": [held], "doc_ids": [docs], "doc_sizes": [sizes], "ids": [b"".join(ids)]}, schema=out)
+
+        for some in slices(batches, 1024):
+            own, at = encoder(name).encode_array(some.column(1))
+            for doc, i, j in zip(some.column(0).to_pylist(), at[:-1], at[1:], strict=True):
+                docs.append(doc)
+                sizes.append(int(j - i) + 1)
+                ids.append(own[i:j].tobytes() + end)
+                held += sizes[-1]
+                if held >= FRAME_IDS:
+                    yield flush()
+                    frame, start, held, docs, sizes, ids = frame + 1, start + held, 0, [], [], []
         if docs:
             yield flush()
 
@@ -77,17 +78,17 @@ def _coder(table: pd.DataFrame) -> Coder:
 
 
 def _encode(table: pd.DataFrame):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = None
-        for batch in batches:
-            coder = coder or _coder(table)
-            for at in range(0, len(batch), 16):
-                some = batch.iloc[at : at + 16]
-                cut = [[x[i : i + BLOCK_IDS] for i in range(0, len(x), BLOCK_IDS)] for x in (np.frombuffer(r, "<u4").astype(np.int64) for r in some["ids"])]
-                coded = iter(coder.encode([b for x in cut for b in x]))
-                yield some.drop(columns=["ids"]).assign(blocks=[[next(coded) for _ in x] for x in cut])
+    def make():
+        coder = _coder(table)
 
-    return run
+        def encode(c: Columns) -> Columns:
+            cut = [[x[i : i + BLOCK_IDS] for i in range(0, len(x), BLOCK_IDS)] for x in (np.frombuffer(r, "<u4").astype(np.int64) for r in c.pop("ids"))]
+            coded = iter(coder.encode([b for x in cut for b in x]))
+            return c | {"blocks": [[next(coded) for _ in x] for x in cut]}
+
+        return encode
+
+    return make
 
 
 def write_tokens(docs: DataFrame, path: str, name: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -102,7 +103,7 @@ def write_tokens(docs: DataFrame, path: str, name: str, end_id: int, id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     ranged = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     raw = new_path(spark, "ids")
-    ranged.mapInPandas(_frames(name, end_id), RAW).write.parquet(raw)
+    ranged.mapInArrow(_frames(name, end_id), RAW).write.parquet(raw)
     frames = spark.read.schema(RAW).parquet(raw)
     # At most one row per vocabulary entry: bounded by the tokenizer, whatever the corpus.
     counts = frames.select("ids").mapInPandas(_histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
@@ -112,30 +113,31 @@ def write_tokens(docs: DataFrame, path: str, name: str, end_id: int, id_col: str
     seen = np.flatnonzero(freq)
     table = pd.DataFrame({"id": seen, "freq": freq[seen], "bits": bits})
     spark.createDataFrame(table.astype("int64"), "id long, freq long, bits long").coalesce(1).write.parquet(f"{path}/table")
-    frames.mapInPandas(_encode(table), CODED).write.parquet(f"{path}/frames")
+    map_columns(frames, _encode(table), CODED, rows=16).write.parquet(f"{path}/frames")
     drop(spark, raw)
 
 
 def _documents(table: pd.DataFrame, base: dict[int, int], digest: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = None
-        for batch in batches:
-            coder = coder or _coder(table)
-            for at in range(0, len(batch), 16):
-                some, rows = batch.iloc[at : at + 16], []
-                decoded = iter(coder.decode([b for blocks in some["blocks"] for b in blocks]))
-                for part, start, n, docs, sizes, blocks in zip(*(some[c] for c in ("part", "start", "n_ids", "doc_ids", "doc_sizes", "blocks")), strict=True):
-                    ids = np.concatenate([next(decoded) for _ in blocks]).astype("<u4")
-                    if len(ids) != n:
-                        raise ValueError("a frame holds another number of ids than its index says")
-                    place, own = base[part] + start, 0
-                    for doc, size in zip(docs, sizes, strict=True):
-                        mine = ids[own : own + size]
-                        rows.append((None if doc is None or pd.isna(doc) else int(doc), place + own, size, zlib.crc32(mine.tobytes()) if digest else mine.astype(np.int64)))
-                        own += size
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"]).astype({"doc_id": "Int64"})
+    def make():
+        coder = _coder(table)
 
-    return run
+        def decode(c: Columns) -> Columns:
+            rows = []
+            decoded = iter(coder.decode([b for blocks in c["blocks"] for b in blocks]))
+            for part, start, n, docs, sizes, blocks in zip(*(c[x] for x in ("part", "start", "n_ids", "doc_ids", "doc_sizes", "blocks")), strict=True):
+                ids = np.concatenate([next(decoded) for _ in blocks]).astype("<u4")
+                if len(ids) != n:
+                    raise ValueError("a frame holds another number of ids than its index says")
+                place, own = base[part] + start, 0
+                for doc, size in zip(docs, sizes, strict=True):
+                    mine = ids[own : own + size]
+                    rows.append((doc, place + own, size, zlib.crc32(mine.tobytes()) if digest else mine.astype(np.int64)))
+                    own += size
+            return dict(zip(("doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"), map(list, zip(*rows, strict=True)), strict=True))
+
+        return decode
+
+    return make
 
 
 def _read(spark: SparkSession, path: str, digest: bool, schema: str) -> DataFrame:
@@ -148,7 +150,7 @@ def _read(spark: SparkSession, path: str, digest: bool, schema: str) -> DataFram
         base[part], before = before, before + sizes[part]
     if not sizes:
         return spark.createDataFrame([], schema)
-    return frames.mapInPandas(_documents(table, base, digest), schema)
+    return map_columns(frames, _documents(table, base, digest), schema, rows=16)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
