@@ -1,16 +1,62 @@
-"""A pipeline over documents; its stages call the operators of lagloom.llm."""
+"""A pipeline over documents; its stages call the operators of lagloom.llm.
+
+Stages, each on all rows that the one before kept, all but the last with the columns of documents:
+
+1. toxicity: documents that the factorization machine rejects go;
+2. near_dedup: of each SimHash component the document with the smallest id stays (of rows that repeat an id, one);
+3. decontamination: documents that hold a benchmark item go;
+4. secrets: secrets and linked credentials in texts are replaced by a mark;
+5. packing: texts become token pieces, packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lagloom.llm import decontaminate, packing, secrets, simhash, toxicity
+from lagloom.sources.shared import keep
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    machine = toxicity.fit(docs, labels.filter(toxicity.crc_mod("doc_id", 5) != 0))
+    return toxicity.keep_clean(docs, machine)
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without an id belong to no group and stay; so do all columns."""
+    groups = simhash.near_duplicates(docs)
+    gone = keep(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.keep_uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact_secrets(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, "word_bpe_49k.json")
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_dedup", near_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("secrets", secrets_stage),
+    ("packing", packing_stage),
+]
 
+#: SQL cannot state the model, the fingerprints or the tokens; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = keep(stage(spark, docs, sf_dir).select("doc_id", "text", "lang", "source", "n_chars"), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,16 +21,24 @@ BUCKETS = 1 << 18
 _TERM = re.compile(r"[^\W_]+")
 
 
-def hashed_terms(text: str | None, known: dict[str, int]) -> set[int]:
-    """Buckets of the distinct lower-cased terms. ``known`` remembers at most 300,000 terms."""
-    out = set()
-    for term in set(_TERM.findall((text or "").lower())):
-        at = known.get(term)
+def _bucket(term: str) -> int:
+    return zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def hashed_terms(text: str | None, known: dict[str, tuple[int, ...]]) -> set[int]:
+    """Buckets of the distinct lower-cased words, and of their beginnings (4 to 7 letters of a longer word).
+
+    Beginnings carry a stem across its endings; they differ from a word that is as long. ``known`` remembers at most
+    200,000 words.
+    """
+    out: set[int] = set()
+    for word in set(_TERM.findall((text or "").lower())):
+        at = known.get(word)
         if at is None:
-            at = zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
-            if len(known) < 300_000:
-                known[term] = at
-        out.add(at)
+            at = (_bucket(word), *(_bucket(word[:k] + "-") for k in range(4, min(8, len(word)))))
+            if len(known) < 200_000:
+                known[word] = at
+        out.update(at)
     return out
 
 
@@ -109,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: str =
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def make():
-        seen: dict[str, int] = {}
+        seen: dict[str, tuple[int, ...]] = {}
 
         def terms(c: Columns) -> Columns:
             return {"doc_id": c["doc_id"], "y": c["y"], "terms": [sorted(hashed_terms(t, seen)) for t in c["text"]]}
@@ -129,7 +137,7 @@ def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", te
     """
 
     def make():
-        seen: dict[str, int] = {}
+        seen: dict[str, tuple[int, ...]] = {}
 
         def score(c: Columns) -> Columns:
             p = machine.score([hashed_terms(t, seen) for t in c["text"]])
@@ -150,7 +158,7 @@ def keep_clean(docs: DataFrame, machine: Machine, text_col: str = "text") -> Dat
     from lagloom.llm.arrow import slices
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
+        seen: dict[str, tuple[int, ...]] = {}
         for piece in slices(batches, 256):
             texts = piece.column(piece.schema.get_field_index(text_col)).to_pylist()
             yield piece.filter(pa.array(machine.score([hashed_terms(t, seen) for t in texts]) < 0.5))
