@@ -1 +1 @@
-
+"""DataFrame to DataFrame operators; all are lazy."""

@@ -1 +1 @@
-
+"""Structured Streaming forms of the loaders and rollups."""
