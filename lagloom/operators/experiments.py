@@ -6,13 +6,15 @@ attempts, timings and tokens. Windows are partitioned by session, so a log of ma
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lagloom.functions import fixed
 from lagloom.functions.stats import r4
 
-_ORDER = Window.partitionBy("session").orderBy("iteration")
+
+def _order() -> WindowSpec:
+    return Window.partitionBy("session").orderBy("iteration")
 
 
 def outcome_counts() -> list:
@@ -60,34 +62,34 @@ def score_histogram(log: DataFrame, width: int = 10, last: int = 100) -> DataFra
 
 def outcome_buckets(log: DataFrame, size: int = 50) -> DataFrame:
     """Outcomes for each ``size`` iterations of a session; bucket is the first iteration's number from 0."""
-    rn = F.row_number().over(_ORDER) - 1
+    rn = F.row_number().over(_order()) - 1
     return log.withColumn("bucket", (F.floor(rn / size) * size).cast("int")).groupBy("session", "bucket").agg(*outcome_counts())
 
 
 def timing_buckets(log: DataFrame, step: int = 20) -> DataFrame:
     """Mean time and context for each ``step`` iterations; the label is the bucket's middle."""
-    rn = F.row_number().over(_ORDER) - 1
+    rn = F.row_number().over(_order()) - 1
     label = (F.floor(rn / step) * step + step // 2).cast("int")
     return log.withColumn("label", label).groupBy("session", "label").agg(r4(F.avg("ms")).alias("avg_ms"), r4(F.avg("context")).alias("avg_context"))
 
 
 def rolling_rate(log: DataFrame, window: int = 30) -> DataFrame:
     """Share of confirmed among the last ``window`` iterations, from the first full window on."""
-    frame = _ORDER.rowsBetween(-(window - 1), 0)
+    frame = _order().rowsBetween(-(window - 1), 0)
     hit = F.coalesce(F.col("confirmed"), F.lit(False)).cast("double")
-    rows = log.select("session", "iteration", F.row_number().over(_ORDER).alias("rn"), r4(F.avg(hit).over(frame) * 100).alias("rate_pct"))
+    rows = log.select("session", "iteration", F.row_number().over(_order()).alias("rn"), r4(F.avg(hit).over(frame) * 100).alias("rate_pct"))
     return rows.filter(F.col("rn") >= window).drop("rn")
 
 
 def cumulative_tokens(log: DataFrame, step: int = 10) -> DataFrame:
-    frame = _ORDER.rowsBetween(Window.unboundedPreceding, 0)
-    rows = log.select("session", "iteration", F.row_number().over(_ORDER).alias("rn"), F.sum("tokens").over(frame).cast("bigint").alias("tokens"))
+    frame = _order().rowsBetween(Window.unboundedPreceding, 0)
+    rows = log.select("session", "iteration", F.row_number().over(_order()).alias("rn"), F.sum("tokens").over(frame).cast("bigint").alias("tokens"))
     return rows.filter(F.col("rn") % step == 0).drop("rn")
 
 
 def chain_depth(log: DataFrame) -> DataFrame:
     """Iterations in a row that were not rejected; a rejection resets to 0."""
-    island = F.sum(F.when(~F.col("confirmed"), 1).otherwise(0)).over(_ORDER.rowsBetween(Window.unboundedPreceding, 0))
+    island = F.sum(F.when(~F.col("confirmed"), 1).otherwise(0)).over(_order().rowsBetween(Window.unboundedPreceding, 0))
     rows = log.select("session", "iteration", "confirmed", F.coalesce(island, F.lit(0)).alias("island"))
     w = Window.partitionBy("session", "island").orderBy("iteration")
     step = F.when(~F.col("confirmed"), 0).otherwise(1)

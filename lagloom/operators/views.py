@@ -57,12 +57,12 @@ def wage_dynamics(eav: DataFrame, indicators: dict[str, str], first: int, last:
 
 
 def monthly(series: DataFrame, key: str, value: str) -> DataFrame:
-    return series.groupBy(F.trunc("trade_date", "month").alias("month"), key).agg(F.round(F.avg(value), 6).alias("mean"), F.count("*").alias("n"))
+    return series.groupBy(F.trunc("trade_date", "month").alias("month"), key).agg(exact_avg(value, 6).alias("mean"), F.count("*").alias("n"))
 
 
 def monthly_volatility(series: DataFrame, key: str, value: str) -> DataFrame:
     g = series.groupBy(F.trunc("trade_date", "month").alias("month"), key)
-    return g.agg(F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), r4(F.try_divide(F.stddev(value), F.avg(value)) * 100).alias("volatility_pct"))
+    return g.agg(exact_avg(value, 6).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), r4(F.try_divide(F.stddev(value), F.avg(value)) * 100).alias("volatility_pct"))
 
 
 def annual_return(series: DataFrame, key: str, value: str) -> DataFrame:
@@ -74,5 +74,3 @@ def trend(series: DataFrame, key: str, x: str, y: str) -> DataFrame:
     """Least-squares line of degree 1 for each key."""
     return series.groupBy(key).agg(r4(F.regr_slope(y, x)).alias("slope"), F.round(F.regr_intercept(y, x), 2).alias("intercept"), F.max_by(x, F.struct(F.col(y), -F.col(x))).alias("argmax"))
 
-
-__all__ = ["annual_return", "asof", "exact_avg", "key_rate_daily", "market_context", "monthly", "monthly_volatility", "pivot_tickers", "trend", "wage_dynamics"]

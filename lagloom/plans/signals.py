@@ -206,12 +206,12 @@ def wage_dynamics(spark, d):
     return views.wage_dynamics(_eav(spark, d), {"total_F": "finished", "total_O": "open"}, 1990, 2030)
 
 
-@query(f"WITH {T.MARKET} SELECT CAST(date_trunc('month', trade_date) AS DATE) AS month, instrument, round(avg(close), 6) AS mean, count(*) AS n FROM market GROUP BY 1, 2")
+@query(f"WITH {T.MARKET} SELECT CAST(date_trunc('month', trade_date) AS DATE) AS month, instrument, CAST(sum(CAST(round(close * 1000000) AS BIGINT)) AS DOUBLE) / CAST(count(close) AS DOUBLE) / 1000000.0 AS mean, count(*) AS n FROM market GROUP BY 1, 2")
 def monthly_means(spark, d):
     return views.monthly(T.market(spark, d), "instrument", "close")
 
 
-@query(f"WITH {T.MARKET} SELECT CAST(date_trunc('month', trade_date) AS DATE) AS month, instrument, round(avg(close), 6) AS mean, min(close) AS low, max(close) AS high, round(stddev(close) / avg(close) * 100, 4) + 0.0 AS volatility_pct FROM market GROUP BY 1, 2")
+@query(f"WITH {T.MARKET} SELECT CAST(date_trunc('month', trade_date) AS DATE) AS month, instrument, CAST(sum(CAST(round(close * 1000000) AS BIGINT)) AS DOUBLE) / CAST(count(close) AS DOUBLE) / 1000000.0 AS mean, min(close) AS low, max(close) AS high, round(stddev(close) / avg(close) * 100, 4) + 0.0 AS volatility_pct FROM market GROUP BY 1, 2")
 def monthly_volatility(spark, d):
     return views.monthly_volatility(T.market(spark, d), "instrument", "close")
 
