@@ -52,6 +52,8 @@ def distances(x: np.ndarray, tail: np.ndarray, pivots: np.ndarray) -> np.ndarray
 
 def choose_pivots(sample: np.ndarray, longest2: float, n: int, rounds: int = 4) -> np.ndarray:
     full = np.hstack([sample, np.sqrt(np.maximum(longest2 - (sample * sample).sum(axis=1), 0))[:, None]])
+    if not len(full):
+        return np.zeros((1, full.shape[1]))
     pivots = full[: min(n, len(full))].copy()
     for _ in range(rounds):
         near = distances(full[:, :-1], full[:, -1], pivots).argmin(axis=1)
