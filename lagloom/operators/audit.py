@@ -96,3 +96,24 @@ def rerun(run: Callable[[str], list[tuple]], sql: str, delta: float = fixed.STRU
 def merged(old: list[str], new: list[str]) -> list[str]:
     """A blacklist with new entries, each once, in order."""
     return list(dict.fromkeys([*old, *new]))
+
+
+def apply_fixes(folder: str, regime: dict[str, float], traps: list[str], patterns: list[str]) -> None:
+    """Driver-side files that the loop reads: the current regime, the blacklist, and a list of known patterns.
+
+    The blacklist grows by what is new; a pattern is appended once.
+    """
+    import json
+    import os
+
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, "regime.json"), "w", encoding="utf-8") as f:
+        json.dump(regime, f)
+    path = os.path.join(folder, "blacklist.json")
+    old = json.load(open(path, encoding="utf-8")) if os.path.exists(path) else []
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(merged(old, traps), f, ensure_ascii=False)
+    path = os.path.join(folder, "patterns.md")
+    known = open(path, encoding="utf-8").read().splitlines() if os.path.exists(path) else []
+    with open(path, "a", encoding="utf-8") as f:
+        f.writelines(f"{p}\n" for p in merged([], patterns) if p not in known)

@@ -131,3 +131,10 @@ def text2sql_export(log: DataFrame) -> DataFrame:
 def repair_export(log: DataFrame) -> DataFrame:
     """Failed statements with the repaired ones that followed."""
     return log.filter("error_1 is not null and sql_2 is not null").select("session", "iteration", "sql", "error_1", "error_type_1", "sql_2")
+
+
+def attempt_columns(runs: DataFrame, most: int = 3) -> DataFrame:
+    """``attempts`` (array of sql, error, error_type) as columns sql_1, error_1, error_type_1, … and their number."""
+    at = lambda i, f: F.get("attempts", F.lit(i)).getField(f).alias(f"{f}_{i + 1}")
+    n = F.coalesce(F.size("attempts"), F.lit(0)).alias("sql_attempts")
+    return runs.select(*[c for c in runs.columns if c != "attempts"], n, *[at(i, f) for i in range(most) for f in ("sql", "error", "error_type")])

@@ -79,3 +79,19 @@ def context(collection: DataFrame, query: list[float], top_k: int = 8, most: flo
     pages = hits.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
     label = F.format_string("[%s %s, p.%s]", F.initcap("company"), F.col("year").cast("string"), F.col("page").cast("string"))
     return pages.orderBy("distance", "id").limit(top_k).filter(F.col("distance") < most).withColumn("label", label)
+
+
+def keyword_stream(articles: DataFrame, keywords: list[str], cap: int | None = None) -> DataFrame:
+    """Articles (batch or stream) with a keyword in any case, in stored form; ``cap`` is the loader's own limit."""
+    hits = articles.filter(any_keyword(F.col("text"), keywords, ignore_case=True))
+    return article_ids(hits.limit(cap) if cap else hits)
+
+
+def regions(macro: DataFrame, names: dict[str, str], not_regions: list[str]) -> DataFrame:
+    """Rows with normalised region names; entries that are no regions (totals, districts) drop."""
+    from lagloom.operators.tables import map_names
+
+    clean = macro.withColumn("region", F.trim(F.regexp_replace("region", r"\s+", " ")))
+    named = clean.withColumn("region", map_names(clean, "region", names))
+    out = macro.sparkSession.createDataFrame([(r,) for r in not_regions], "region string")
+    return named.join(out, "region", "left_anti").select(*macro.columns)

@@ -74,3 +74,22 @@ def test_quality_checks(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", None)], "k string, v double")
     got = {r["check"]: r["bad"] for r in quality.run_checks(df, quality.Checks("t", ["v"], {"low": F.col("v") < 2}, ["k", "v"], 5, ("k", ["a", "z"]), ("k", 2))).collect()}
     assert got == {"null v": 1, "low": 2, "rows >= 5": 1, "unique k, v": 1, "expected k": 1, "rows per k": 1}
+
+
+def test_attempts_become_columns(spark):
+    df = spark.sql("SELECT 1 AS id, array(named_struct('sql', 'a', 'error', 'e', 'error_type', 't'), named_struct('sql', 'b', 'error', null, 'error_type', null)) AS attempts UNION ALL SELECT 2, null")
+    a, b = E.attempt_columns(df).orderBy("id").collect()
+    assert (a["sql_attempts"], a["sql_1"], a["error_1"], a["sql_2"], a["error_2"], a["sql_3"]) == (2, "a", "e", "b", None, None)
+    assert (b["sql_attempts"], b["sql_1"]) == (0, None)
+
+
+def test_fixes_are_written_once(tmp_path):
+    for _ in range(2):
+        audit.apply_fixes(str(tmp_path), {"key_rate_pct": 21.0}, ["trap"], ["pattern", "pattern"])
+    assert (tmp_path / "blacklist.json").read_text() == '["trap"]'
+    assert (tmp_path / "patterns.md").read_text() == "pattern\n"
+
+
+def test_convergence(spark):
+    df = spark.createDataFrame([("Lag 7 x",), ("lag 14 x ",), ("Lag 3 x",), ("other",)], "hypothesis string")
+    assert [(r["fingerprint"], r["n"]) for r in audit.convergence(df).collect()] == [("lag N x", 3)]

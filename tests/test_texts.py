@@ -52,3 +52,10 @@ def test_topics_and_keywords(spark):
     assert [r["matched_kw"] for r in texts.keyword_articles(df, ["oil", "BRENT"]).orderBy("text").collect()] == ["oil, BRENT", "oil"]
     assert texts.search_terms("Рост нефти и рубля") == ["oil", "Brent", "ruble", "RUB"]
     assert texts.search_terms("none") == ["Russia", "financial market", "economy"]
+
+
+def test_keyword_stream_and_regions(spark):
+    df = spark.createDataFrame([("OIL " + "x" * 60,), ("oil",), ("gold " * 20,)], "text string")
+    assert [r["document"][:3] for r in texts.keyword_stream(df, ["oil"]).collect()] == ["OIL"]
+    m = spark.createDataFrame([(" A  b", 1), ("Total", 2), ("c", 3)], "region string, v int")
+    assert sorted(map(tuple, texts.regions(m, {"A b": "AB"}, ["Total"]).collect())) == [("AB", 1), ("c", 3)]
