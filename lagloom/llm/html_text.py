@@ -152,18 +152,22 @@ def main_lines(page: str, window: int = 3) -> list[str]:
     sums = [sum(weights[i : i + window]) for i in range(n)]
     if not n or not max(sums):
         return []
-    top = max(range(n), key=lambda i: (sums[i], -i))
-    first = top
-    while first > 0 and sums[first - 1]:  # a window of nothing before: the surge begins after it
-        first -= 1
-    while not weights[first]:
-        first += 1
-    last = top
-    while last < n and sums[last]:  # a window of nothing ahead: the dive
-        last += 1
-    if best:
-        first, last = 0, n  # the page itself says where its article is; a long advert inside does not end it
-    return [line.text for line, w in zip(lines[first:last], weights[first:last], strict=True) if w or (not line.noise and line.article == best)]
+    # From a surge (a first line of weight) to the dive (a window of nothing ahead).
+    runs: list[tuple[int, int]] = []
+    at = 0
+    while at < n:
+        end = at
+        while end < n and sums[end]:
+            end += 1
+        if end > at:
+            runs.append((next(i for i in range(at, end) if weights[i]), end))
+        at = end + 1
+    if not best:
+        # Without an article element the run of the heaviest window is the text; with one, what lies in it is, and
+        # a long advert inside does not end it.
+        top = max(range(n), key=lambda i: (sums[i], -i))
+        runs = [r for r in runs if r[0] <= top + window - 1 and top < r[1]]
+    return [line.text for first, last in runs for line, w in zip(lines[first:last], weights[first:last], strict=True) if w or (not line.noise and line.article == best)]
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
