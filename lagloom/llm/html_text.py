@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,7 @@ def _lines(page: str) -> list[_Line]:
     page = _SKIP.sub(" ", page)
     lines: list[_Line] = []
     stack: list[tuple[str, bool, int]] = []  # element, boilerplate, number of the article or 0
+    opened: Counter[str] = Counter()  # how often an element stands in the stack
     text: list[str] = []
     linked, in_link, articles = 0, 0, 0
 
@@ -101,19 +103,20 @@ def _lines(page: str) -> list[_Line]:
             in_link = 0 if closing else in_link
         # Spans count as containers only where they are boilerplate themselves; stray end tags are ignored.
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                 if stack[k][0] == tag:
                     if tag not in _BLOCKS:
                         end_line()
+                    opened.subtract(x[0] for x in stack[k:])
                     del stack[k:]
                     break
                 if stack[k][0] in _BLOCKS and tag not in _BLOCKS:
                     break
         elif tag not in _VOID and not m[3].rstrip().endswith("/"):
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == tag:
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             elif tag in _BLOCKS and stack and stack[-1][0] == "p":
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
             noise, article = stack[-1][1:] if stack else (False, 0)
             own = _is_noise(tag, m[3], article > 0)
             if tag in _BLOCKS:
@@ -121,9 +124,11 @@ def _lines(page: str) -> list[_Line]:
                     articles += 1
                     article = articles
                 stack.append((tag, noise or own, article))
+                opened[tag] += 1
             elif own:
                 end_line()
                 stack.append((tag, True, article))
+                opened[tag] += 1
     put(page[at:])
     end_line()
     return lines
