@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.arrow import Columns, map_columns
+from lagloom.llm.arrow import Columns, map_columns, slices
 
 BUCKETS = 1 << 18
 _TERM = re.compile(r"[^\W_]+")
@@ -125,8 +127,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: str =
         return terms
 
     rows = map_columns(texts, make, "doc_id long, y int, terms array<int>").groupBy("doc_id", "y").agg(F.min("terms").alias("terms"))
-    got = sorted(rows.toArrow().to_pylist(), key=lambda r: r["doc_id"])
-    return train([np.asarray(r["terms"], np.int64) for r in got], np.asarray([r["y"] for r in got]))
+    # Arrays stay in Arrow's buffers: as Python lists the terms of the sample would take ten times the memory.
+    got = rows.toArrow().combine_chunks().sort_by("doc_id")
+    terms = pa.chunked_array(got.column("terms")).combine_chunks()
+    values, at = np.asarray(terms.values), np.asarray(terms.offsets)
+    return train([values[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], np.asarray(got.column("y")))
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,12 +156,6 @@ def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", te
 
 def keep_clean(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns; null texts stay unless empty texts are toxic."""
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
-    from lagloom.llm.arrow import slices
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[int, ...]] = {}
         for piece in slices(batches, 256):
