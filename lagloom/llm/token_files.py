@@ -72,6 +72,8 @@ def _histogram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _coder(table: pd.DataFrame) -> Coder:
+    if not len(table):
+        return Coder(np.zeros(1, np.int64), 16)  # no ids, no blocks
     freq = np.zeros(int(table["id"].max()) + 1, np.int64)
     freq[table["id"]] = table["freq"]
     return Coder(freq, int(table["bits"].iloc[0]))
