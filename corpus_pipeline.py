@@ -3,7 +3,8 @@
 Stages, each on all rows that the one before kept, all but the last with the columns of documents:
 
 1. toxicity: documents that the factorization machine rejects go;
-2. near_dedup: of each SimHash component the document with the smallest id stays (of rows that repeat an id, one);
+2. near_dedup: of documents linked by a five-word Jaccard similarity of 0.8 or more that with the smallest id stays
+   (of rows that repeat an id and text, one);
 3. decontamination: documents that hold a benchmark item go;
 4. secrets: secrets and linked credentials in texts are replaced by a mark;
 5. packing: texts become token pieces, packed into sequences.
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lagloom.llm import decontaminate, packing, secrets, simhash, toxicity
+from lagloom.llm import decontaminate, near_copies, packing, secrets, toxicity
 from lagloom.sources.shared import keep
 
 
@@ -24,11 +25,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without an id belong to no group and stay; so do all columns."""
-    groups = simhash.near_duplicates(docs)
-    gone = keep(groups.filter("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    """Of near copies by five-word Jaccard similarity the row with the smallest id stays, with all columns."""
+    return near_copies.keep_first(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
