@@ -3,7 +3,9 @@
 Markup is stripped to lines, one for each block element. A line's weight is its length without link text; lines in
 menus, notices, forms and the like weigh nothing. The weights are summed over sliding windows of lines. From the
 heaviest window the text is followed both ways to where the sums dive to nothing; between the surge and the dive
-every line stays, however short, but for those in boilerplate containers.
+every line stays, however short, but for those in boilerplate containers. Further runs from surge to dive count in
+the main article and its sibling articles; without one, in the element that holds most of the heaviest run and, where
+only boilerplate lies between, in its siblings of the same tag and class.
 """
 
 from __future__ import annotations
@@ -38,10 +40,10 @@ _COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond t
 
 
 class _Line:
-    __slots__ = ("article", "linked", "noise", "text")
+    __slots__ = ("article", "around", "linked", "noise", "text")
 
-    def __init__(self, text: str, linked: int, noise: bool, article: int) -> None:
-        self.text, self.linked, self.noise, self.article = text, linked, noise, article
+    def __init__(self, text: str, linked: int, noise: bool, article: int, around: int) -> None:
+        self.text, self.linked, self.noise, self.article, self.around = text, linked, noise, article, around
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -64,10 +66,12 @@ def _is_noise(tag: str, raw: str, in_article: bool) -> bool:
     return not words.isdisjoint(_COMMENT_WORDS if tag in ("article", "main") else _NOISE_WORDS - _PARTS if in_article else _NOISE_WORDS)
 
 
-def _lines(page: str) -> list[_Line]:
+def _lines(page: str) -> tuple[list[_Line], list[tuple[int, str, str]], list[int]]:
+    """Lines, the elements (element around, tag, class) with the page as number 0, and what is around each article."""
     page = _SKIP.sub(" ", page)
     lines: list[_Line] = []
-    stack: list[tuple[str, bool, int]] = []  # element, boilerplate, number of the article or 0
+    stack: list[tuple[str, bool, int, int]] = []  # element, boilerplate, number of the article or 0, of the element
+    boxes, homes = [(0, "", "")], [0]
     opened: Counter[str] = Counter()  # how often an element stands in the stack
     text: list[str] = []
     linked, in_link, articles = 0, 0, 0
@@ -76,7 +80,7 @@ def _lines(page: str) -> list[_Line]:
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            lines.append(_Line(joined, linked, bool(stack) and stack[-1][1], stack[-1][2] if stack else 0))
+            lines.append(_Line(joined, linked, bool(stack) and stack[-1][1], stack[-1][2] if stack else 0, boxes[stack[-1][3]][0] if stack else 0))
         text.clear()
         linked = 0
 
@@ -117,26 +121,28 @@ def _lines(page: str) -> list[_Line]:
                 opened[stack.pop()[0]] -= 1
             elif tag in _BLOCKS and stack and stack[-1][0] == "p":
                 opened[stack.pop()[0]] -= 1
-            noise, article = stack[-1][1:] if stack else (False, 0)
+            noise, article, around = stack[-1][1:] if stack else (False, 0, 0)
             own = _is_noise(tag, m[3], article > 0)
             if tag in _BLOCKS:
                 if not own and not noise and not article and tag in ("article", "main"):
                     articles += 1
                     article = articles
-                stack.append((tag, noise or own, article))
+                    homes.append(around)
+                boxes.append((around, tag, _attributes(m[3]).get("class", "") if m[3] else ""))
+                stack.append((tag, noise or own, article, len(boxes) - 1))
                 opened[tag] += 1
             elif own:
                 end_line()
-                stack.append((tag, True, article))
+                stack.append((tag, True, article, around))
                 opened[tag] += 1
     put(page[at:])
     end_line()
-    return lines
+    return lines, boxes, homes
 
 
 def main_lines(page: str, window: int = 3) -> list[str]:
     """The lines between surge and dive of the page's line-block distribution."""
-    lines = _lines(page)
+    lines, boxes, homes = _lines(page)
     # A run of lines that are nothing but links is a menu, whatever holds it.
     run: list[_Line] = []
     for line in [*lines, None]:
@@ -152,7 +158,8 @@ def main_lines(page: str, window: int = 3) -> list[str]:
         if line.article and not line.noise:
             mass[line.article] = mass.get(line.article, 0) + len(line.text)
     best = max(mass, key=lambda k: (mass[k], -k)) if mass else 0
-    weights = [0 if line.noise or line.article != best else max(0, len(line.text) - (0 if best else line.linked)) for line in lines]
+    whole = {k for k in mass if homes[k] == homes[best]} if best else {0}
+    weights = [0 if line.noise or line.article not in whole else max(0, len(line.text) - (0 if best else line.linked)) for line in lines]
     n = len(weights)
     sums = [sum(weights[i : i + window]) for i in range(n)]
     if not n or not max(sums):
@@ -168,11 +175,28 @@ def main_lines(page: str, window: int = 3) -> list[str]:
             runs.append((next(i for i in range(at, end) if weights[i]), end))
         at = end + 1
     if not best:
-        # Without an article element the run of the heaviest window is the text; with one, what lies in it is, and
-        # a long advert inside does not end it.
         top = max(range(n), key=lambda i: (sums[i], -i))
-        runs = [r for r in runs if r[0] <= top + window - 1 and top < r[1]]
-    return [line.text for first, last in runs for line, w in zip(lines[first:last], weights[first:last], strict=True) if w or (not line.noise and line.article == best)]
+        k = next(k for k, (first, last) in enumerate(runs) if first <= top + window - 1 and top < last)
+        held: Counter[int] = Counter()
+        for line, w in zip(lines[slice(*runs[k])], weights[slice(*runs[k])], strict=True):
+            held[line.around] += w
+        holder = max(held, key=lambda x: (held[x], -x))
+        # Elements are numbered after those around them: one pass tells what lies inside.
+        inside, beside = [holder == 0], [holder == 0]
+        for x, box in enumerate(boxes[1:], 1):
+            inside.append(x == holder or inside[box[0]])
+            beside.append(box == boxes[holder] or beside[box[0]])
+        full = {i for r in runs for i in range(*r)}
+        kept = set(range(*runs[k]))
+        kept.update(i for i, line in enumerate(lines) if inside[line.around])
+        for others, step in ((range(max(kept) + 1, n), 1), (range(min(kept) - 1, -1, -1), -1)):
+            for i in others:
+                if not lines[i].noise:
+                    if not beside[lines[i].around]:
+                        break
+                    kept.add(i)
+        return [line.text for i, line in enumerate(lines) if i in kept and not line.noise and i in full and line.article == 0]
+    return [line.text for first, last in runs for line in lines[first:last] if not line.noise and line.article in whole]
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
