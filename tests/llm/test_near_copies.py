@@ -67,3 +67,11 @@ def test_bands_hit_what_is_promised():
         common = [rng.getrandbits(64) for _ in range(80)]
         a, b = (near_copies.np.unique(near_copies.np.array(common + [rng.getrandbits(64) for _ in range(10)], near_copies.np.uint64)) for _ in range(2))
         assert near_copies.similar(a, b) and (near_copies.bands(a) == near_copies.bands(b)).any()
+
+
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    """A copy under a repeated id goes without the id's other text; a copy without an id goes too."""
+    one, two, three = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, one), (2, one), (2, two), (3, two), (4, three), (4, three), (None, one), (None, "a text of its own without an id")]
+    got = sorted(((r["doc_id"] or 0), r["text"]) for r in stage(spark, rows).collect())
+    assert got == sorted([(1, one), (2, two), (4, three), (0, "a text of its own without an id")])
