@@ -1,210 +1,151 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block element. A line's weight is its length without link text; lines in
-menus, notices, forms and the like weigh nothing. The weights are summed over sliding windows of lines. From the
-heaviest window the text is followed both ways to where the sums dive to nothing; between the surge and the dive
-every line stays, however short, but for those in boilerplate containers. Further runs from surge to dive count in
-the main article and its sibling articles; without one, in the element that holds most of the heaviest run and, where
-only boilerplate lies between, in its siblings of the same tag and class.
+Markup is stripped to lines, one for each block element (``markup.scan``). A line weighs as many characters as it has
+outside links; containers weigh on it as stated below, and decide nothing else. The weights of all lines are summed over
+sliding windows. The text surges where a window reaches the threshold and dives behind the last that does; between the
+two every line stays, however short, but for those in menus, notices, forms and the like. The threshold is 40 characters
+or half of the heaviest window, whatever is less.
+
+The text's container is the page's articles, if they hold a third of its weight, or else its ``main`` element, or
+else the element that holds most of the heaviest run, and what stands beside that with the same tag and class. Inside
+it a line weighs so much more that each window of it, and an article of a line or two, reaches the threshold: nothing
+of it is lost for being short. Outside it a line weighs a tenth beside articles, else two fifths, so that only
+dense text surges there.
 """
 
 from __future__ import annotations
 
-import html
-import re
 from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagloom.llm.arrow import Columns, map_columns
+from lagloom.llm.markup import NOISE, SOFT, Line, scan
 
-_RAW = "script style noscript template svg math iframe object canvas textarea select title".split()
-_SKIP = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(_RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.S)
-_ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-
-#: Elements that end a line.
-_BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NOISE_TAGS = frozenset("nav footer aside form button dialog menu search label option datalist".split())
-_NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words in class and id that tell boilerplate.
-_NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright discussion disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice pager pagination paywall popup promo promoted promotion recommended related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
-)
-#: Of those, words that inside an article also name parts of it.
-_PARTS = frozenset("banner header teaser".split())
-#: Words that tell boilerplate on an article or main element itself.
-_COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond teaser related promo sponsored advert ad".split())
-
-
-class _Line:
-    __slots__ = ("article", "around", "linked", "noise", "text")
-
-    def __init__(self, text: str, linked: int, noise: bool, article: int, around: int) -> None:
-        self.text, self.linked, self.noise, self.article, self.around = text, linked, noise, article, around
-
-
-def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)}
-
-
-def _is_noise(tag: str, raw: str, in_article: bool) -> bool:
-    if tag in ("html", "body"):
-        return False
-    if tag in _NOISE_TAGS or (tag == "header" and not in_article):
-        return True
-    if not raw.strip():
-        return False
-    a = _attributes(raw)
-    if a.get("aria-hidden", "").lower() == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", re.sub(r"\"[^\"]*\"|'[^']*'", "", raw), re.I) or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I):
-        return True
-    if a.get("role", "").lower() in _NOISE_ROLES:
-        return True
-    words = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", f"{a.get('class', '')} {a.get('id', '')}").lower()))
-    return not words.isdisjoint(_COMMENT_WORDS if tag in ("article", "main") else _NOISE_WORDS - _PARTS if in_article else _NOISE_WORDS)
-
-
-def _lines(page: str) -> tuple[list[_Line], list[tuple[int, str, str]], list[int]]:
-    """Lines, the elements (element around, tag, class) with the page as number 0, and what is around each article."""
-    page = _SKIP.sub(" ", page)
-    lines: list[_Line] = []
-    stack: list[tuple[str, bool, int, int]] = []  # element, boilerplate, number of the article or 0, of the element
-    boxes, homes = [(0, "", "")], [0]
-    opened: Counter[str] = Counter()  # how often an element stands in the stack
-    text: list[str] = []
-    linked, in_link, articles = 0, 0, 0
-
-    def end_line() -> None:
-        nonlocal linked
-        joined = " ".join(html.unescape("".join(text)).split())
-        if joined:
-            lines.append(_Line(joined, linked, bool(stack) and stack[-1][1], stack[-1][2] if stack else 0, boxes[stack[-1][3]][0] if stack else 0))
-        text.clear()
-        linked = 0
-
-    def put(piece: str) -> None:
-        nonlocal linked
-        if piece:
-            text.append(piece)
-            if in_link:
-                linked += len(piece.strip())
-
-    at = 0
-    for m in _TAG.finditer(page):
-        put(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+WINDOW, SURGE = 3, 40.0
+#: Beside a container, lines of less weight than this at the ends of a run are cut off; lines inside it weigh more.
+EDGE = 12.0
+
+
+def windows(weights: list[float], window: int) -> list[float]:
+    """The sums over ``window`` lines, the i-th ending with line i; the first and last windows are cut short."""
+    out, total = [], 0.0
+    for i in range(len(weights) + window - 1):
+        total += weights[i] if i < len(weights) else 0
+        total -= weights[i - window] if i >= window else 0
+        out.append(total)
+    return out
+
+
+def runs(weights: list[float], window: int = WINDOW, surge: float = SURGE, edge: float = 1e-6) -> list[tuple[int, int]]:
+    """(first line, line after the last) from each surge to its dive; lines lighter than ``edge`` at either end are cut off."""
+    sums = windows(weights, window)
+    least = max(min(surge, max(sums, default=0) / 2), 1e-6)
+    out: list[tuple[int, int]] = []
+    n = len(weights)
+    for i, total in enumerate(sums):
+        # A float sum of thirds may fall short of the threshold by a rounding error.
+        if total + 1e-6 < least:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if tag == "br":
-            text.append(" ")
-        elif tag == "a":
-            in_link = 0 if closing else 1
-        if tag in _BLOCKS:
-            end_line()
-            in_link = 0 if closing else in_link
-        # Spans count as containers only where they are boilerplate themselves; stray end tags are ignored.
-        if closing:
-            for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
-                if stack[k][0] == tag:
-                    if tag not in _BLOCKS:
-                        end_line()
-                    opened.subtract(x[0] for x in stack[k:])
-                    del stack[k:]
-                    break
-                if stack[k][0] in _BLOCKS and tag not in _BLOCKS:
-                    break
-        elif tag not in _VOID and not m[3].rstrip().endswith("/"):
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == tag:
-                opened[stack.pop()[0]] -= 1
-            elif tag in _BLOCKS and stack and stack[-1][0] == "p":
-                opened[stack.pop()[0]] -= 1
-            noise, article, around = stack[-1][1:] if stack else (False, 0, 0)
-            own = _is_noise(tag, m[3], article > 0)
-            if tag in _BLOCKS:
-                if not own and not noise and not article and tag in ("article", "main"):
-                    articles += 1
-                    article = articles
-                    homes.append(around)
-                boxes.append((around, tag, _attributes(m[3]).get("class", "") if m[3] else ""))
-                stack.append((tag, noise or own, article, len(boxes) - 1))
-                opened[tag] += 1
-            elif own:
-                end_line()
-                stack.append((tag, True, article, around))
-                opened[tag] += 1
-    put(page[at:])
-    end_line()
-    return lines, boxes, homes
-
-
-def main_lines(page: str, window: int = 3) -> list[str]:
-    """The lines between surge and dive of the page's line-block distribution."""
-    lines, boxes, homes = _lines(page)
-    # A run of lines that are nothing but links is a menu, whatever holds it.
-    run: list[_Line] = []
-    for line in [*lines, None]:
-        if line is not None and line.linked >= 0.9 * len(line.text) and not line.article:
-            run.append(line)
+        first, last = max(0, i - window + 1), min(n, i + 1)
+        if out and first <= out[-1][1]:
+            out[-1] = (out[-1][0], last)
+        else:
+            out.append((first, last))
+    trimmed = []
+    for first, last in out:
+        while first < last and weights[first] < edge:
+            first += 1
+        while last > first and weights[last - 1] < edge:
+            last -= 1
+        if first < last:
+            trimmed.append((first, last))
+    return trimmed
+
+
+def _holders(lines: list[Line], boxes: list[tuple[int, str, str]], own: list[float]) -> set[int]:
+    """The elements of the text's container where neither articles nor a main element tell it; empty for the page itself."""
+    heaviest = max(runs(own), key=lambda r: (sum(own[r[0] : r[1]]), -r[0]), default=None)
+    if heaviest is None:
+        return set()
+    held, half = [0.0] * len(boxes), sum(own[slice(*heaviest)]) / 2
+    for line, w in zip(lines[slice(*heaviest)], own[slice(*heaviest)], strict=True):
+        held[boxes[line.box][0] if boxes[line.box][1] in _LEAVES else line.box] += w
+    # Elements are numbered after those around them: what the smaller hold goes up to the first that holds half.
+    holder = 0
+    for box in range(len(boxes) - 1, 0, -1):
+        if held[box] >= half:
+            holder = box
+            break
+        held[boxes[box][0]] += held[box]
+    if boxes[holder][1] in ("", "html", "body"):
+        return set()
+    return {b for b, box in enumerate(boxes) if box == boxes[holder]}
+
+
+_LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption".split())
+
+
+def _weighed(lines: list[Line], boxes: list[tuple[int, str, str]], strict: bool) -> tuple[list[float], list[bool], float]:
+    """The weight of each line, whether it is boilerplate, and what a line at the ends must weigh. Unless ``strict``, class words and forms tell nothing."""
+    noise = [line.mark == NOISE and (strict or not line.weak) for line in lines]
+    # Three lines and more of nothing but links are a menu, whatever holds them; so is an article of links.
+    links: Counter[int] = Counter()
+    sizes: Counter[int] = Counter()
+    for i, line in enumerate(lines):
+        if not noise[i]:
+            sizes[line.article] += len(line.text)
+            links[line.article] += line.linked
+    cards = {a for a in sizes if a and links[a] >= 0.9 * sizes[a]}
+    run: list[int] = []
+    for i, line in enumerate([*lines, None]):
+        if line is not None and line.linked >= 0.9 * len(line.text) and (not line.article or line.article in cards):
+            run.append(i)
             continue
-        if len(run) >= 3:
-            for x in run:
-                x.noise = True
+        for k in run if len(run) >= 3 or (run and lines[run[0]].article) else ():
+            noise[k] = True
         run = []
-    mass: dict[int, int] = {}
-    for line in lines:
-        if line.article and not line.noise:
-            mass[line.article] = mass.get(line.article, 0) + len(line.text)
-    best = max(mass, key=lambda k: (mass[k], -k)) if mass else 0
-    whole = {k for k in mass if homes[k] == homes[best]} if best else {0}
-    weights = [0 if line.noise or line.article not in whole else max(0, len(line.text) - (0 if best else line.linked)) for line in lines]
-    n = len(weights)
-    sums = [sum(weights[i : i + window]) for i in range(n)]
-    if not n or not max(sums):
-        return []
-    # From a surge (a first line of weight) to the dive (a window of nothing ahead).
-    runs: list[tuple[int, int]] = []
-    at = 0
-    while at < n:
-        end = at
-        while end < n and sums[end]:
-            end += 1
-        if end > at:
-            runs.append((next(i for i in range(at, end) if weights[i]), end))
-        at = end + 1
-    if not best:
-        top = max(range(n), key=lambda i: (sums[i], -i))
-        k = next(k for k, (first, last) in enumerate(runs) if first <= top + window - 1 and top < last)
-        held: Counter[int] = Counter()
-        for line, w in zip(lines[slice(*runs[k])], weights[slice(*runs[k])], strict=True):
-            held[line.around] += w
-        holder = max(held, key=lambda x: (held[x], -x))
-        # Elements are numbered after those around them: one pass tells what lies inside.
-        inside, beside = [holder == 0], [holder == 0]
-        for x, box in enumerate(boxes[1:], 1):
-            inside.append(x == holder or inside[box[0]])
-            beside.append(box == boxes[holder] or beside[box[0]])
-        full = {i for r in runs for i in range(*r)}
-        kept = set(range(*runs[k]))
-        kept.update(i for i, line in enumerate(lines) if inside[line.around])
-        for others, step in ((range(max(kept) + 1, n), 1), (range(min(kept) - 1, -1, -1), -1)):
-            for i in others:
-                if not lines[i].noise:
-                    if not beside[lines[i].around]:
-                        break
-                    kept.add(i)
-        return [line.text for i, line in enumerate(lines) if i in kept and not line.noise and i in full and line.article == 0]
-    return [line.text for first, last in runs for line in lines[first:last] if not line.noise and line.article in whole]
+    own = [0.0 if noise[i] or line.mark == SOFT else float(len(line.text) - line.linked) for i, line in enumerate(lines)]
+    total = sum(own)
+    if sum(w for w, line in zip(own, lines, strict=True) if line.article and line.article not in cards) * 3 >= total > 0:
+        inside, outside = [line.article if line.article not in cards else 0 for line in lines], 0.1
+    elif sum(w for w, line in zip(own, lines, strict=True) if line.main) * 3 >= total > 0:
+        inside, outside = [line.main for line in lines], 0.1
+    else:
+        holders, in_holder = _holders(lines, boxes, own), [0]
+        for box, (around, _, _) in enumerate(boxes[1:], 1):
+            in_holder.append(box if box in holders else in_holder[around])
+        inside, outside = [in_holder[line.box] for line in lines], 0.4 if holders else 1.0
+    many = Counter(x for x in inside if x)
+    weights = []
+    for i, line in enumerate(lines):
+        if inside[i]:
+            # Boilerplate inside the container must not part what stands around it.
+            weights.append(SURGE / min(WINDOW, many[inside[i]]) + (0 if noise[i] else len(line.text)))
+        else:
+            noise[i] = noise[i] or line.mark == SOFT
+            weights.append(outside * own[i] + (EDGE if own[i] and boxes[line.box][1] in ("h1", "h2") else 0))
+    return weights, noise, EDGE if many else 1e-6
+
+
+def main_lines(page: str, window: int = WINDOW) -> list[str]:
+    """The lines between surge and dive of the page's line-block distribution, without boilerplate."""
+    lines, boxes = scan(page)
+    for strict in (True, False):
+        weights, noise, edge = _weighed(lines, boxes, strict)
+        kept = [lines[i].text for first, last in runs(weights, window, edge=edge) for i in range(first, last) if not noise[i]]
+        if kept:
+            return kept
+    return []
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars (code points) for each row of ``pages``.
 
     A null or empty page, and a page without main text, gives an empty text. Null ids and urls and repeated rows stay;
-    an empty table gives no rows; other columns of ``pages`` are not read. Broken markup never fails: unclosed
-    elements end with the page, stray end tags are ignored.
+    an empty table gives no rows; other columns of ``pages`` are not read. Broken markup never fails, and takes time in
+    proportion to its length: unclosed elements end with the page, stray end tags are ignored, unclosed tags are text.
     """
 
     def make():
