@@ -4,8 +4,11 @@ A mask of 8 word positions hashes 5 of them and ignores 3. The hashes of all win
 those of the whole training texts; a hit names a document, an item and the shift between them. Around each hit the
 item is laid over the document at that shift, word by word, and counts if some window of min(words of the item, 20)
 has at least 80 % equal words: substitutions are tolerated, as the ignored positions let windows hit in spite of
-them. The three masks together hit every 15 words with 3 substitutions and every 20 words with 4 (enumerated in the
-tests), so for items of 15 words and more nothing of that likeness is missed.
+them. The four masks together hit every window of 8 to 20 words with as many substitutions as 80 % allow (enumerated in
+the tests), so nothing of that likeness is missed.
+
+The shifts of a document and an item are gathered before anything is laid over anything: a text of one repeated word
+meets an item of that word at each of its places, and costs no more than its length times that of the item.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from lagloom.sources.shared import keep
 
-MASKS = ("11110001", "10001111", "10110011")
+MASKS = ("11111000", "11101100", "10010111", "01110011")
 SPAN = len(MASKS[0])
 #: Rows that may be broadcast: at 40 bytes a row, 80 MB at most.
 BROADCAST_ROWS = 2_000_000
@@ -40,43 +43,85 @@ def windows(rows: DataFrame, h: str, *keep_cols: str) -> DataFrame:
     return listed.select(*keep_cols, "n", F.posexplode_outer("seeds").alias("place", "seed")).filter("seed is not null").select(*keep_cols, (F.col("place") % F.col("n")).alias("start"), "seed")
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` marked for broadcast if its counted rows allow; otherwise the join shuffles."""
+    rows = BROADCAST_ROWS if rows is None else rows
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and the key of a row in 128 bits: equal ids with other texts stay apart, equal rows are one."""
+    i, t = F.col(id_col), F.col(text_col)
+    one, two = _key(i, t)
+    return docs.select(i.alias("doc_id"), t.alias("text"), one.alias("key_1"), two.alias("key_2"))
+
+
+def _key(i: Column, t: Column) -> list[Column]:
+    return [F.xxhash64(i, t), F.xxhash64(F.lit(1), t, i)]
+
+
+def seed_hits(train: DataFrame, tests: DataFrame, salts: int = 16) -> DataFrame:
+    """Windows joined by seed: broadcast if the tests are few, else shuffled, a frequent seed over ``salts`` tasks."""
+    few = small(tests)
+    if few is not tests:
+        return train.join(few, "seed")
+    salted = tests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return train.withColumn("salt", F.pmod("key_1", F.lit(salts)).cast("int")).join(salted, ["seed", "salt"]).drop("salt")
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, share: float, most: int, id_col: str, text_col: str, item_col: str, item_text: str) -> tuple[DataFrame, DataFrame]:
+    """Rows and items that belong together (key_1, key_2, doc_id, item_key, n_window, n_equal), and the items' ids."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text)).alias("item")).filter(F.size("item") >= SPAN)
+    items = keep(items.withColumn("item_key", F.xxhash64("item")), "items")
+    each = keep(items.groupBy("item_key", "item").agg(F.count("*").alias("n")).drop("n"), "distinct_items")
+    tests = keep(windows(each, "item", "item_key").withColumnRenamed("start", "item_start"), "seeds")
+    keyed = _keyed(docs, id_col, text_col)
+    # Words become a column of their own first: inside a lambda they would be split again for every window.
+    train = windows(keyed.select("key_1", "key_2", words(F.col("text")).alias("h")), "h", "key_1", "key_2")
+    hits = seed_hits(train, tests).select("key_1", "key_2", "item_key", (F.col("start") - F.col("item_start")).alias("shift"))
+    # No list is longer than a document and an item together.
+    hits = keep(hits.distinct().groupBy("key_1", "key_2", "item_key").agg(F.collect_list("shift").alias("shifts")), "hits")
+    # Only documents with a hit are read again in full.
+    wanted = small(hits.select("key_1", "key_2").distinct())
+    whole = keyed.join(wanted, ["key_1", "key_2"], "left_semi").dropDuplicates(["key_1", "key_2"]).select("doc_id", "key_1", "key_2", words(F.col("text")).alias("h"))
+    laid = hits.join(whole, ["key_1", "key_2"]).join(small(each), "item_key").withColumn("n_window", F.least(F.size("item"), F.lit(most)))
+
+    def best(shift: Column) -> Column:
+        equal = F.transform("item", lambda w, i: F.when(F.get("h", i + shift) == w, 1).otherwise(0))
+        n = F.col("n_window")
+        sums = lambda e: F.transform(F.sequence(F.lit(1), F.size("item") - n + 1), lambda at: F.aggregate(F.slice(e, at, n), F.lit(0), lambda a, x: a + x))
+        # As an array's only element it is computed once for all windows.
+        return F.get(F.transform(F.array(equal), lambda e: F.array_max(sums(e))), 0)
+
+    scored = laid.select("key_1", "key_2", "doc_id", "item_key", "n_window", F.array_max(F.transform("shifts", best)).alias("n_equal"))
+    return scored.filter(F.col("n_equal") >= share * F.col("n_window")), items.select("item_key", "item_id").distinct()
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, most: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, n_window, n_equal: documents that hold a benchmark item, once for each item.
 
     n_window is min(words of the item, ``most``), n_equal the largest number of equal words in such a window, at least
     ``share`` of it. Items of fewer than 8 words are no evidence and match nothing; null texts have no words. Rows
-    with equal ids are judged by their own texts and reported once; a null id is reported as null. Empty tables give
-    no rows. Other columns are not read.
+    with equal ids are judged by their own texts and reported once; null ids of documents and items are reported as
+    null. Empty tables give no rows. Other columns are not read.
     """
-    items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text)).alias("item")).filter(F.size("item") >= SPAN)
-    items = keep(items.groupBy("item").agg(F.collect_set("item_id").alias("item_ids")).withColumn("item_key", F.xxhash64("item")), "items")
-    tests = keep(windows(items, "item", "item_key").withColumnRenamed("start", "item_start"), "seeds")
-    # The key of a row: equal ids with other texts stay apart, equal rows are one.
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"))
-    # Words become a column of their own first: inside a lambda they would be split again for every window.
-    train = windows(keyed.select("row_key", words(F.col("text")).alias("h")), "h", "row_key")
-    hits = train.join(small(tests), "seed").select("row_key", "item_key", (F.col("start") - F.col("item_start")).alias("shift"))
-    hits = keep(hits.distinct(), "hits")
-    # Only documents with a hit are read again in full.
-    whole = keyed.join(small(hits.select("row_key").distinct()), "row_key", "left_semi").dropDuplicates(["row_key"]).select("doc_id", "row_key", words(F.col("text")).alias("h"))
-    laid = hits.join(whole, "row_key").join(small(items), "item_key")
-    equal = F.transform("item", lambda w, i: F.when(F.get("h", i + F.col("shift")) == w, 1).otherwise(0))
-    laid = laid.select("doc_id", "item_ids", equal.alias("equal"), F.least(F.size("item"), F.lit(most)).alias("n_window"))
-    sums = F.transform(F.sequence(F.lit(1), F.size("equal") - F.col("n_window") + 1), lambda s: F.aggregate(F.slice("equal", s, F.col("n_window")), F.lit(0), lambda a, x: a + x))
-    scored = laid.select("doc_id", "item_ids", "n_window", F.array_max(sums).alias("n_equal")).filter(F.col("n_equal") >= share * F.col("n_window"))
-    found = scored.select("doc_id", F.explode("item_ids").alias("item_id"), "n_window", "n_equal")
+    scored, ids = _found(docs, benchmark, share, most, id_col, text_col, item_col, item_text)
+    found = scored.join(small(ids), "item_key").select("doc_id", "item_id", "n_window", "n_equal")
     return found.groupBy("doc_id", "item_id", "n_window").agg(F.max("n_equal").alias("n_equal"))
 
 
-def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose id is not reported by ``contaminated``, with all their columns; null ids stay."""
-    found = keep(contaminated(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias(id_col)).distinct(), "contaminated")
-    return docs.join(small(found), id_col, "left_anti")
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, most: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose own text holds no benchmark item, with all their columns.
+
+    Rows without an id, and several texts of one id, are judged one by one; null and empty texts stay, as do repeated
+    rows. Empty tables drop nothing.
+    """
+    scored, _ = _found(docs, benchmark, share, most, id_col, text_col, item_col, item_text)
+    found = keep(scored.select("key_1", "key_2").distinct(), "contaminated")
+    # Names of columns that ``docs`` may have itself are not touched.
+    found = found.select(*[F.col(c).alias(f"_found_{c}") for c in ("key_1", "key_2")])
+    one, two = _key(F.col(id_col), F.col(text_col))
+    return docs.join(small(found), (one == F.col("_found_key_1")) & (two == F.col("_found_key_2")), "left_anti")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import re
 from collections import Counter
@@ -85,7 +86,8 @@ def test_components_of_a_chain(spark):
 
 def test_masks_hit_what_is_promised():
     masks = [int(m[::-1], 2) for m in decontaminate.MASKS]
-    for n, subs in ((15, 3), (20, 4)):
+    for n in range(decontaminate.SPAN, 21):
+        subs = n - math.ceil(0.8 * n)
         windows = [m << k for m in masks for k in range(n - decontaminate.SPAN + 1)]
         for places in itertools.combinations(range(n), subs):
             hit = sum(1 << p for p in places)
@@ -127,10 +129,35 @@ def test_decontamination_against_brute_force(spark, odd_docs):
     assert got == Counter(want) and len(want) > 10
     kept = [r["doc_id"] for r in decontaminate.keep_uncontaminated(d, b).collect()]
     assert sorted(x for x in kept if x is not None) == [k for k in [*range(60), 70] if k not in {x[0] for x in want}]
-    assert None in kept
+    assert None not in kept
     assert decontaminate.contaminated(odd_docs, b.limit(0)).count() == 0
     assert decontaminate.contaminated(odd_docs.limit(0), b).count() == 0
+    few = decontaminate.BROADCAST_ROWS
+    try:
+        decontaminate.BROADCAST_ROWS = 0
+        assert Counter(map(tuple, decontaminate.contaminated(d, b).collect())) == got
+    finally:
+        decontaminate.BROADCAST_ROWS = few
     con = duckdb.connect()
     con.execute("CREATE TABLE documents AS SELECT * FROM (VALUES (1, 'a')) t(doc_id, text)")
     con.execute("CREATE TABLE benchmark AS SELECT * FROM (VALUES (1, 'a')) t(item_id, text)")
     assert con.execute(decontaminate.OP3_SQL).fetchall() == []
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    """Texts that share an id, and rows without one, go or stay one by one."""
+    item = "one two three four five six seven eight nine ten"
+    rows = [(1, item, "x"), (1, "clean words of the same id", "x"), (None, item, "x"), (None, "clean words without an id", "x"), (2, None, None), (2, None, None), (3, "", "y")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, key_1 string")
+    b = spark.createDataFrame([(7, item)], "item_id long, text string")
+    kept = decontaminate.keep_uncontaminated(d, b)
+    assert sorted(map(str, (tuple(r) for r in kept.collect()))) == sorted(map(str, [rows[1], *rows[3:]]))
+
+
+def test_a_text_and_an_item_of_one_word(spark):
+    """Every window of one meets every window of the other."""
+    rows = [(1, "la " * 20_000), (2, "la " * 9 + "x"), (3, "la x " * 50)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    b = spark.createDataFrame([(7, "la " * 40), (8, "la la la la la la la la")], "item_id long, text string")
+    got = sorted(map(tuple, decontaminate.contaminated(d, b).collect()))
+    assert got == [(1, 7, 20, 20), (1, 8, 8, 8), (2, 8, 8, 8)]
