@@ -9,21 +9,23 @@ is scored by one matrix product. Fitting uses at most ``sample`` labelled texts;
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagloom.llm.arrow import Columns, map_columns
 from lagloom.llm.toxicity import crc_mod
 
 DIMS, GRAMS = 1 << 14, 3
-_LETTER = re.compile(r"[^\W\d_]")
 _ODD = np.asarray([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 UNKNOWN = "und"
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter by Unicode's category; numbers of any form, marks and signs are none."""
+    return text is not None and any(map(str.isalpha, text))
+
+
 def presence(texts: list[str]) -> np.ndarray:
     """A row per text with 1 where a hashed n-gram occurs; what is not a letter counts as a space."""
     out = np.zeros((len(texts), DIMS), np.float32)
@@ -51,7 +53,7 @@ class Classifier:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        own = [i for i, t in enumerate(texts) if self.langs and t and _LETTER.search(t)]
+        own = [i for i, t in enumerate(texts) if self.langs and has_letter(t)]
         if own:
             f = 6 * (unit(presence([texts[i] for i in own])) @ self.weights)
             p = np.exp(f - f.max(axis=1, keepdims=True))
@@ -85,25 +87,32 @@ def train(texts: list[str], labels: list[str], landmarks: int = 256, ridge: floa
 
 
 def fit(docs: DataFrame, sample: int = 2_000, most_chars: int = 20_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Classifier:
-    """A classifier from at most ``sample`` labelled texts, those of the smallest hashed ids.
+    """A classifier from at most ``sample`` labelled texts, as many of each language as there are or as fit.
 
-    Rows without a label or without a letter teach nothing. Of the sample, texts are taken as they come while they
-    hold ``most_chars`` characters in all, which bounds the driver's memory.
+    Of each language those of the smallest hashes are taken, in turn with those of the others, so that a rare language
+    is not missing. Rows without a label or without a letter teach nothing. A text that would bring the sample above
+    ``most_chars`` characters in all is passed over, which bounds the driver's memory.
     """
-    size = F.length("text")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    # First which texts, by numbers only; then the texts of those rows alone cross to the driver.
-    chosen = rows.select("doc_id", "lang", size.alias("size"), F.xxhash64("doc_id", "text").alias("key")).orderBy("key", "doc_id", "lang").limit(sample).collect()
-    keys, held = [], 0
-    for r in chosen:
-        held += r["size"]
-        if held > most_chars and keys:
-            break
-        keys.append((r["key"], r["lang"]))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "text"))
+
+    def make():
+        return lambda c: {"lang": c["lang"], "key": c["key"], "size": [len(t) if has_letter(t) else 0 for t in c["text"]]}
+
+    # First which texts, by numbers only; then the texts of those rows alone cross to the driver. Each task keeps at
+    # most ``sample`` rows of a language, however many it has.
+    sizes = map_columns(rows.select("lang", "key", "text"), make, "lang string, key long, size long").filter("size > 0")
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
+    ranked = sizes.withColumn("turn", turn).filter(F.col("turn") <= sample)
+    keys, held = set(), 0
+    for r in ranked.orderBy("turn", "lang").limit(sample).collect():
+        if held + r["size"] <= most_chars and (r["key"], r["lang"]) not in keys:
+            held += r["size"]
+            keys.add((r["key"], r["lang"]))
     if not keys:
         return train([], [])
-    wanted = docs.sparkSession.createDataFrame(sorted(set(keys)), "key long, lang string")
-    got = rows.withColumn("key", F.xxhash64("doc_id", "text")).join(F.broadcast(wanted), ["key", "lang"]).groupBy("key", "lang").agg(F.min("text").alias("text")).collect()
+    wanted = docs.sparkSession.createDataFrame(sorted(keys), "key long, lang string")
+    got = rows.join(F.broadcast(wanted), ["key", "lang"]).groupBy("key", "lang").agg(F.min("text").alias("text")).collect()
     got = sorted(got, key=lambda r: (r["key"], r["lang"]))
     return train([r["text"] for r in got], [r["lang"] for r in got])
 
