@@ -33,7 +33,8 @@ def presence(texts: list[str]) -> np.ndarray:
         # Pieces overlap by GRAMS - 1 characters, so that long texts need little memory and lose no n-gram.
         for at in range(0, len(text), 1 << 18):
             piece = text[at : at + (1 << 18) + GRAMS - 1].lower()
-            c = np.frombuffer(f" {piece} ".encode("utf-32-le", "surrogatepass") if at == 0 else f"{piece} ".encode("utf-32-le", "surrogatepass"), "<u4")
+            piece = " " * (at == 0) + piece + " " * (at + (1 << 18) >= len(text))
+            c = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), "<u4")
             c = np.where((c < 97) | ((c > 122) & (c < 170)), np.uint32(32), c)
             h = np.zeros(len(c), np.uint32)
             for n in range(min(GRAMS, len(c))):
