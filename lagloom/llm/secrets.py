@@ -57,13 +57,21 @@ def linked_spans(text: str, base: list[Span], radius: int = 300) -> list[Span]:
         return []
     ends = [(m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
     breaks = [m.start() for m in _PARAGRAPH.finditer(text)]
-    strong = sorted((s, e) for s, _, e in base)
+    # Strong spans of different kinds may overlap or hold each other: merged, only the last that begins before a weak
+    # span's end can reach into it.
+    strong: list[list[int]] = []
+    for s, _, e in sorted(base):
+        if strong and s <= strong[-1][1]:
+            strong[-1][1] = max(strong[-1][1], e)
+        else:
+            strong.append([s, e])
+    starts = [s for s, _ in strong]
 
     def free(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
         kept, last = [], -1
         for s, e in sorted(spans):
-            i = bisect_left(strong, (e, -1))
-            if s >= last and not any(strong[j][1] > s for j in range(max(0, i - 1), i)):
+            i = bisect_left(starts, e)
+            if s >= last and not (i and strong[i - 1][1] > s):
                 kept.append((s, e))
                 last = e
         return kept
