@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -139,3 +140,29 @@ def test_packing(odd_docs, no_docs):
     total = sum(r["length"] for r in rows)
     assert len(bins) <= -(-total // 64) + 1
     assert packing.pack(no_docs, "word_bpe_49k.json").count() == 0
+
+
+def test_a_cache_that_two_runs_appended_to(spark, tmp_path):
+    """Both found the same misses; no row is doubled, other versions' counts are not taken, hits are not encoded."""
+    name, cache = "byte_bpe_50k.json", f"file://{tmp_path}/c"
+    docs = spark.createDataFrame([(1, "some words"), (2, "other words here"), (2, "some words"), (None, None)], "doc_id long, text string")
+    want = sorted(map(tuple, token_counts.count_tokens(docs, name, cache).collect()), key=str)
+    assert len(want) == 4
+    once = spark.read.parquet(cache).collect()
+    spark.createDataFrame(once).write.mode("append").partitionBy("version").parquet(cache)
+    spark.createDataFrame([(r["digest"], 99, "another") for r in once], token_counts.CACHE_SCHEMA).write.mode("append").partitionBy("version").parquet(cache)
+    assert spark.read.parquet(cache).count() == 9
+    assert sorted(map(tuple, token_counts.count_tokens(docs, name, cache).collect()), key=str) == want
+    assert spark.read.parquet(cache).count() == 9
+    # A stored count is taken as it is.
+    version = token_counts.tokenizer_version(name)
+    digest = bytearray(hashlib.sha256((version + "never encoded").encode()).digest())
+    spark.createDataFrame([(digest, 77, version)], token_counts.CACHE_SCHEMA).write.mode("append").partitionBy("version").parquet(cache)
+    more = spark.createDataFrame([(5, "never encoded")], "doc_id long, text string")
+    assert [tuple(r) for r in token_counts.count_tokens(more, name, cache).collect()] == [(5, 13, 77, False)]
+
+
+def test_many_misses_go_by_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "FEW_MISSES", 0)
+    docs = spark.createDataFrame([(1, "some words"), (2, "some words"), (3, "x")], "doc_id long, text string")
+    assert sorted(tuple(r)[:3] for r in token_counts.count_tokens(docs, "byte_bpe_50k.json", f"file://{tmp_path}/c").collect()) == [(1, 10, 2), (2, 10, 2), (3, 1, 1)]
