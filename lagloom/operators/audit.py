@@ -2,13 +2,17 @@
 
 ``static_issues`` flags aliasing, tautology and inactive regimes, and structural pairs only where nothing else was
 found. ``rerun_issues`` compares a finding's correlation with that at lag zero. ``convergence`` counts repeated
-hypotheses.
+hypotheses. ``run`` joins them: the confirmed findings of a session, those of high score that nothing else flags
+held against their statements run again, with and without their lag.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -59,9 +63,9 @@ def summary(audited: DataFrame) -> DataFrame:
     return audited.select(kinds.alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
 
 
-def convergence(findings: DataFrame, least: int = fixed.CONVERGENCE_MIN, top: int | None = 5) -> DataFrame:
-    """Fingerprints of at least ``least`` hypotheses, the most frequent first."""
-    counted = findings.groupBy(hypothesis_fingerprint(F.col("hypothesis")).alias("fingerprint")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+def convergence(findings: DataFrame, least: int = fixed.CONVERGENCE_MIN, top: int | None = 5, by: list[str] | None = None) -> DataFrame:
+    """Fingerprints of at least ``least`` hypotheses (for each of ``by``), the most frequent first."""
+    counted = findings.groupBy(*by or [], hypothesis_fingerprint(F.coalesce("hypothesis", F.lit(""))).alias("fingerprint")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     return counted.orderBy(F.desc("n"), "fingerprint").limit(top) if top else counted
 
 
@@ -78,21 +82,131 @@ def without_lag(sql: str) -> str:
     return re.sub(r"INTERVAL\s+'?\d+(?:\s+DAYS?'|'?\s+DAYS?)", "INTERVAL 0 DAYS", sql, flags=re.I)
 
 
-def rerun(run: Callable[[str], list[tuple]], sql: str, delta: float = fixed.STRUCTURAL_DELTA, least: float = fixed.MIN_R) -> str | None:
-    """The issue of one statement by running it again; ``run`` gives its rows. r is the first float in [-1, 1]."""
+def first_r(rows: list[tuple]) -> float | None:
+    """r in a result: the first float in [-1, 1], to 4 places."""
+    return next((round(v, 4) for row in rows for v in row if isinstance(v, float) and -1 <= v <= 1), None)
+
+
+def both_r(run: Callable[[str], list[tuple]], sql: str, lag: int | None) -> tuple[float | None, float | None]:
+    """(r, r without the lag) of a statement by running it again; null where it fails, tells no r or names no lag."""
+
+    def r(statement: str) -> float | None:
+        try:
+            return first_r(run(statement))
+        except Exception:
+            return None
+
+    flat = without_lag(sql)
+    return r(sql), r(flat) if lag and flat != sql else None
 
-    def first_r(rows: list[tuple]) -> float | None:
-        return next((v for row in rows for v in row if isinstance(v, float) and -1 <= v <= 1), None)
 
-    r = first_r(run(sql))
+def rerun(run: Callable[[str], list[tuple]], sql: str, delta: float = fixed.STRUCTURAL_DELTA, least: float = fixed.MIN_R) -> str | None:
+    """The issue of one statement by running it again; ``run`` gives its rows."""
+    r, r0 = both_r(run, sql, 1)
     if r is None:
         return None
-    r0 = first_r(run(flat)) if (flat := without_lag(sql)) != sql else None
     if r0 is not None and abs(abs(r) - abs(r0)) < delta:
         return "STRUCTURAL"
     return "WEAK_R" if abs(r) < least else None
 
 
+def confirmed_rows(log: DataFrame, session: object = None, order: str = "event_id") -> DataFrame:
+    """The confirmed findings of ``session``; of the session of the last row by ``order`` if it is null."""
+    if session is not None:
+        return log.filter((F.col("session") == F.lit(session)) & F.col("confirmed"))
+    last = log.agg(F.max_by("session", order).alias("session"))  # one row
+    return log.filter("confirmed").join(F.broadcast(last), "session").select(*log.columns)
+
+
+def candidates(findings: DataFrame, least: int = fixed.RERUN_MIN_SCORE) -> Column:
+    """Whether a finding of ``static_issues`` is run again: nothing flags it, its score is high, there is a statement."""
+    return (F.size("issues") == 0) & (F.coalesce("score", F.lit(0)) >= least) & (F.coalesce("sql", F.lit("")) != "")
+
+
+def with_reruns(findings: DataFrame, reruns: DataFrame, on: list[str], least: int = fixed.RERUN_MIN_SCORE, delta: float = fixed.STRUCTURAL_DELTA, weak: float = fixed.MIN_R) -> DataFrame:
+    """``findings`` of ``static_issues`` with what running them again tells; ``reruns`` has on, r and r0.
+
+    With a lag, an r that stays without it is STRUCTURAL, else a small one is WEAK_R; without a lag only the latter.
+    """
+    out = findings.join(reruns.select(*on, "r", "r0"), on, "left")
+    flat = (F.coalesce("lag", F.lit(0)) > 0) & (F.abs(F.abs("r") - F.abs("r0")) < delta)
+    issue = F.when(flat, "STRUCTURAL").when(F.abs("r") < weak, "WEAK_R")
+    again = F.when(candidates(findings, least) & issue.isNotNull(), F.array(issue)).otherwise(F.col("issues"))
+    return out.withColumn("issues", again)
+
+
+KINDS = {"aliasing": "ALIASING", "tautology": "TAUTOLOGY", "regime_inactive": "REGIME_INACTIVE", "structural": "STRUCTURAL", "weak_r": "WEAK_R"}
+
+
+def rates(log: DataFrame, findings: DataFrame, traps: int = fixed.CONVERGENCE_MIN) -> DataFrame:
+    """One row a session: all rows, confirmed ones, those without an issue, their rates in percent, issues by kind.
+
+    ``findings`` has ``issues`` for the confirmed rows of those sessions.
+    """
+    total = log.groupBy("session").agg(F.count("*").alias("total"))
+    counts = [F.count_if(F.array_contains("issues", v)).alias(k) for k, v in KINDS.items()]
+    told = findings.groupBy("session").agg(F.count("*").alias("confirmed_raw"), F.count_if(F.size("issues") == 0).alias("clean_confirmed"), *counts, F.sum(F.size("issues")).alias("total_issues"))
+    repeated = convergence(findings, traps, None, ["session"]).groupBy("session").agg(F.count("*").alias("convergence_traps"))
+    out = total.join(told, "session").join(repeated, "session", "left").withColumn("convergence_traps", F.coalesce("convergence_traps", F.lit(0)))
+    share = lambda c: F.round(F.col(c) / F.col("total") * 100, 1)
+    return out.withColumns({"raw_rate": share("confirmed_raw"), "clean_rate": share("clean_confirmed")})
+
+
+def recurring_weak(findings: DataFrame, least: int = 3, chars: int = 80, by: list[str] | None = None) -> DataFrame:
+    """Beginnings of statements that came out WEAK_R at least ``least`` times in their session (or for each of ``by``)."""
+    begin = F.trim(F.regexp_replace(F.lower(F.substring("sql", 1, chars)), r"\s+", " "))
+    return findings.filter(F.array_contains("issues", "WEAK_R")).groupBy(*["session"] if by is None else by, begin.alias("beginning")).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
+def alias_pairs(sql: Column, instruments: list[str] | None = None, columns: list[str] | None = None) -> Column:
+    """The 'column AS instrument' pairs that ``aliasing`` finds in a statement."""
+    pairs = [(c, i) for i in instruments or fixed.FOREIGN_INSTRUMENTS for c in columns or fixed.CONTEXT_COLUMNS]
+    return F.array_compact(F.array(*[F.when(sql.rlike(rf"(?i)\b{re.escape(c)}\s+AS\s+{re.escape(i)}\b"), f"{c} AS {i}") for c, i in pairs]))
+
+
+@dataclass
+class Audit:
+    """What an audit found: ``findings`` with issues, one row of ``rates``, repeated hypotheses, recurring weak statements."""
+
+    findings: DataFrame
+    rates: DataFrame
+    convergence: DataFrame
+    weak: DataFrame
+
+
+def run(log: DataFrame, session: object = None, execute: Callable[[str], list[tuple]] | None = None, order: str = "event_id") -> Audit:
+    """The audit of one session (by default that of the last row) of a log with ``order`` as its key.
+
+    ``execute`` gives the rows of a statement; without it nothing is run again. Statements run one after another from
+    the driver, each as a job of its own: the candidates of one session, a bounded list.
+    """
+    findings = static_issues(confirmed_rows(log, session, order))
+    if execute:
+        again = [(r[order], *both_r(execute, r["sql"], r["lag"])) for r in findings.filter(candidates(findings)).select(order, "sql", "lag").toLocalIterator()]
+        reruns = log.sparkSession.createDataFrame(again, f"{order} bigint, r double, r0 double")
+    else:
+        reruns = log.sparkSession.createDataFrame([], f"{order} bigint, r double, r0 double")
+    checked = with_reruns(findings, reruns, [order])
+    return Audit(checked, rates(log, checked), convergence(checked), recurring_weak(checked))
+
+
+def write_report(audit: Audit, folder: str, regime: dict[str, float] | None = None) -> None:
+    """The audit as audit.md in ``folder``, and the files that the loop reads next time."""
+    from lagloom.sources.sinks import markdown_table
+
+    os.makedirs(folder, exist_ok=True)
+    regime = regime or fixed.CURRENT_REGIME
+    detail = audit.findings.filter(F.size("issues") > 0).select("iteration", "score", F.array_join("issues", ", ").alias("issues"), F.regexp_replace(F.substring("sql", 1, 120), r"\s+", " ").alias("sql")).orderBy("iteration")
+    parts = {"Rates": audit.rates, "Repeated hypotheses": audit.convergence, "Recurring weak statements": audit.weak, "Issues": detail}
+    with open(os.path.join(folder, "audit.md"), "w", encoding="utf-8") as f:
+        f.write(f"# Audit\n\nRegime: {', '.join(f'{k} {v}' for k, v in regime.items())}\n")
+        f.writelines(f"\n## {name}\n\n{markdown_table(df)}\n" for name, df in parts.items())
+    traps = [r["fingerprint"] for r in audit.convergence.collect()]
+    pairs = [r[0] for r in audit.findings.select(F.explode(alias_pairs(F.col("sql")))).distinct().orderBy("col").collect()]
+    weak = [f"weak: {r['beginning']}" for r in audit.weak.orderBy("beginning").toLocalIterator()]
+    apply_fixes(folder, regime, traps, [*(f"alias: {p}" for p in pairs), *weak])
+
+
 def merged(old: list[str], new: list[str]) -> list[str]:
     """A blacklist with new entries, each once, in order."""
     return list(dict.fromkeys([*old, *new]))
@@ -103,9 +217,6 @@ def apply_fixes(folder: str, regime: dict[str, float], traps: list[str], pattern
 
     The blacklist grows by what is new; a pattern is appended once.
     """
-    import json
-    import os
-
     os.makedirs(folder, exist_ok=True)
     with open(os.path.join(folder, "regime.json"), "w", encoding="utf-8") as f:
         json.dump(regime, f)

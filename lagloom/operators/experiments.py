@@ -6,6 +6,7 @@ attempts, timings and tokens. Windows are partitioned by session, so a log of ma
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -30,14 +31,53 @@ def total_stats(log: DataFrame) -> DataFrame:
     return log.agg(F.count("*").alias("total"), *outcome_counts(), r4(F.avg(F.when(F.col("confirmed"), F.col("score")))).alias("avg_confirmed_score"), F.countDistinct("session").alias("sessions"))
 
 
-def session_summary(log: DataFrame) -> DataFrame:
-    """Sums, means, repair rate in percent and the distribution of lags ('lag:count' in order) for each session."""
+def session_summary(log: DataFrame, means: dict[str, str]) -> DataFrame:
+    """For each session: iterations, time and tokens in all and by iteration, ``means`` (name -> column) to whole numbers,
+    the distribution of lags ('lag:count' in order) and the share of iterations with a repaired statement."""
     lags = log.groupBy("session", "lag").agg(F.count("*").alias("n"))
-    spread = lags.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lag", "n"))), lambda x: F.concat_ws(":", x.lag, x.n)), ",").alias("lags"))
-    sums = log.groupBy("session").agg(F.sum("tokens").cast("bigint").alias("tokens"), r4(F.avg("ms")).alias("avg_ms"), r4(F.avg((F.col("attempts") > 1).cast("double")) * 100).alias("repair_pct"))
+    spread = lags.groupBy("session").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lag", "n"))), lambda x: F.concat_ws(":", x.lag, x.n)), ",").alias("lag_distribution"))
+    n = F.count("*")
+    sums = log.groupBy("session").agg(
+        n.alias("iterations"), F.round(F.sum("ms") / 1000.0, 1).alias("total_wall_s"), F.round(F.sum("ms") / n / 1000.0, 1).alias("avg_iter_s"),
+        F.sum("tokens").cast("bigint").alias("total_tokens"), F.round(F.sum("tokens") / n, 0).alias("avg_tokens_per_iter"),
+        *[F.round(F.sum(c) / n, 0).alias(k) for k, c in means.items()],
+        F.round(F.count_if(F.col("attempts") > 1) / n * 100, 1).alias("sql_repair_rate"),
+    )
     return sums.join(spread, "session")
 
 
+def session_metrics(log: DataFrame) -> DataFrame:
+    """Outcomes, rates and means of each session to one place, and its longest chain; a null score counts as 0."""
+    score, n = F.coalesce("score", F.lit(0)), F.count("*")
+    share = lambda c: F.round(F.count_if(c) / n * 100, 1)
+    sums = log.groupBy("session").agg(
+        n.alias("total"), *outcome_counts(), share(F.col("confirmed")).alias("confirmation_rate"), F.round(F.sum(score) / n, 1).alias("avg_score"),
+        F.coalesce(F.round(F.avg(F.when(F.col("confirmed"), score)), 1), F.lit(0.0)).alias("avg_confirmed_score"), share(~F.col("sql_ok")).alias("sql_error_rate"),
+    )
+    return sums.join(chain_depth(log).groupBy("session").agg(F.max("depth").alias("max_chain")), "session")
+
+
+def session_top(log: DataFrame, top: int = 3) -> DataFrame:
+    """The ``top`` iterations of each session by score, the earlier first on ties; a null score counts as 0."""
+    scored = log.withColumn("score", F.coalesce("score", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("session").orderBy(F.desc("score"), "iteration"))
+    return scored.select("session", place.alias("place"), "score", "hypothesis", "confirmed").filter(F.col("place") <= top)
+
+
+def insert(runs: DataFrame, path: str) -> None:
+    """Append runs (session, iteration, attempts, ...) to the table of experiments; those that are there stay."""
+    from lagloom.operators.tables import first_by_key
+
+    new, keys = attempt_columns(runs), ["session", "iteration"]
+    new = first_by_key(new, keys, [F.xxhash64(*[c for c in new.columns if c not in keys])])
+    try:
+        new = new.join(runs.sparkSession.read.schema(new.schema).parquet(path).select(*keys), keys, "left_anti")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    new.write.mode("append").parquet(path)
+
+
 def lag_effectiveness(log: DataFrame) -> DataFrame:
     s = F.col("score")
     return log.groupBy("lag").agg(F.count("*").alias("n"), r4(F.avg(F.coalesce(F.col("confirmed"), F.lit(False)).cast("double")) * 100).alias("confirm_pct"), r4(F.avg(F.when(s != 0, s))).alias("avg_score"))

@@ -34,11 +34,16 @@ class Checks:
     least_rows: int = 0
     expected: tuple[str, list[str]] | None = None
     least_per_key: tuple[str, int] | None = None
+    #: column -> (earliest that its first value, earliest that its last value may be)
+    since: dict[str, tuple[str, str]] = field(default_factory=dict)
 
 
 def run_checks(df: DataFrame, c: Checks) -> DataFrame:
     """(table, check, bad) rows."""
     exprs = {f"null {x}": F.count_if(F.col(x).isNull()) for x in c.not_null} | {k: F.count_if(v) for k, v in c.bad.items()}
+    for x, (first, last) in c.since.items():
+        late = lambda v, least: F.when(F.coalesce(v >= F.lit(least).cast("date"), F.lit(False)), 0).otherwise(1).cast("bigint")
+        exprs |= {f"first {x}": late(F.min(x), first), f"last {x}": late(F.max(x), last)}
     exprs |= {f"rows >= {c.least_rows}": F.when(F.count("*") < c.least_rows, 1).otherwise(0).cast("bigint")}
     out = [df.agg(*[e.alias(k) for k, e in exprs.items()]).unpivot([], list(exprs), "check", "bad")]
     if c.key:
@@ -52,3 +57,16 @@ def run_checks(df: DataFrame, c: Checks) -> DataFrame:
         if c.least_per_key:
             out.append(per.agg(F.count_if(F.col("n") < c.least_per_key[1]).alias("bad")).select(F.lit(f"rows per {name}").alias("check"), "bad"))
     return reduce(DataFrame.unionByName, out).select(F.lit(c.table).alias("table"), "check", F.col("bad").cast("bigint").alias("bad"))
+
+
+def suite(tables: dict[str, DataFrame], expected: dict[str, tuple[str, list[str]]]) -> DataFrame:
+    """(table, check, bad) of what must hold for the tables indices, key_rate, forex and market; ``expected`` names the
+    values that a table's column must have."""
+    c = F.col
+    checks = [
+        Checks("indices", ["close"], {"close < 0": c("close") < 0}, ["ticker", "trade_date"], 1, expected.get("indices"), None, {"trade_date": ("2010-01-01", "2020-01-01")}),
+        Checks("key_rate", ["rate_pct", "inflation"], {"rate out of 0 to 100": (c("rate_pct") < 0) | (c("rate_pct") > 100)}, [], 101),
+        Checks("forex", ["rate"], {"rate <= 0": c("rate") <= 0}, ["trade_date", "currency"], 501, expected.get("forex")),
+        Checks("market", ["close"], {"close <= 0": c("close") <= 0}, ["trade_date", "instrument"], 1001, expected.get("market"), ("instrument", 100)),
+    ]
+    return reduce(DataFrame.unionByName, [run_checks(tables[x.table], x) for x in checks])

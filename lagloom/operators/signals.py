@@ -55,6 +55,13 @@ def row_lag_correlation(series: DataFrame, key: str) -> DataFrame:
     return lagged.groupBy(key).agg(r4(safe_corr("x", "y")).alias("r_lag0"), r4(safe_corr("x1", "y")).alias("r_lag1"), F.count("*").alias("n"))
 
 
+def row_lead_correlation(series: DataFrame, key: str, steps: int = 1) -> DataFrame:
+    """r of x with y ``steps`` rows later within each key, and the rows that have such a later one."""
+    w = Window.partitionBy(key).orderBy("day")
+    led = series.withColumn("ahead", F.lead("y", steps).over(w)).withColumn("due", F.lead("day", steps).over(w))
+    return led.filter("due is not null").groupBy(key).agg(r4(safe_corr("x", "ahead")).alias("r_lead"), F.count("*").alias("n"))
+
+
 def pct_change(series: DataFrame, key: str, value: str) -> DataFrame:
     prev = F.lag(value).over(Window.partitionBy(key).orderBy("day"))
     return series.withColumn("prev", prev).filter("prev is not null").withColumn("pct", F.round((F.col(value) - F.col("prev")) / F.col("prev") * 100, 4) + F.lit(0.0))

@@ -40,6 +40,17 @@ def rerank(articles: DataFrame, keywords: list[str], top: int = 5, first: int =
     return hits.orderBy(F.desc("score"), "date", "id").limit(top).select("id", "date", "score", short.alias("excerpt"))
 
 
+def news_context(articles: DataFrame, hypothesis: str, since: str, until: str, top: int = 5, stems: dict[str, list[str]] | None = None) -> DataFrame:
+    """The articles of a window of dates (both ends inside) that fit a hypothesis best, each as a line for a prompt.
+
+    Terms come from the hypothesis's stems (``search_terms``); the dates are a filter of the scan. Without an article
+    there is no row.
+    """
+    window = articles.filter(F.col("date").between(F.lit(since).cast("date"), F.lit(until).cast("date")))
+    found = rerank(window, search_terms(hypothesis, stems), top)
+    return found.select("id", "date", "score", F.concat(F.lit("["), F.date_format("date", "yyyy-MM-dd"), F.lit("] "), "excerpt", F.lit("…")).alias("block"))
+
+
 def chunk_rows(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """key, chunk (numbered after short ones are gone), document and its md5 id."""
     rows = docs.select(*key, F.posexplode(chunks(F.col(text))).alias("chunk", "document"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.functions.stats import exact_avg, r4
@@ -19,34 +19,43 @@ def key_rate_daily(key_rate: DataFrame) -> DataFrame:
     return key_rate.withColumn("period_date", month_period(F.col("period"))).filter("period_date is not null").select("period_date", "rate_pct", "inflation")
 
 
-def market_context(driver: DataFrame, others: dict[str, DataFrame], rates: DataFrame) -> DataFrame:
-    """Series (trade_date, value) joined to the driver's days; the month's rate by equality, null in a missing month."""
-    out = driver
+def wide(series: DataFrame, names: dict[str, str], key: str = "instrument") -> DataFrame:
+    """Days as rows and series as columns (name -> key), in one aggregation of ``series``, and with ``has_<name>``
+    whether that day has a row of the series at all (its value may be null)."""
+    of = lambda k: F.col(key) == k
+    picked = series.filter(F.col(key).isin(list(names.values())))
+    cells = [c for name, k in names.items() for c in (F.max(F.when(of(k), F.col("close"))).alias(name), (F.count_if(of(k)) > 0).alias(f"has_{name}"))]
+    return picked.groupBy("trade_date").agg(*cells)
+
+
+def market_context(market: DataFrame, names: dict[str, str], others: dict[str, DataFrame], rates: DataFrame) -> DataFrame:
+    """The days of the first of ``names`` (column -> instrument) with the others' values, those of further series
+    (trade_date, close), and the month's rate by equality, null in a missing month. ``market`` is read once."""
+    first = next(iter(names))
+    out = wide(market, names).filter(f"has_{first}").select("trade_date", *names)
     for name, series in others.items():
         out = out.join(series.select("trade_date", F.col("close").alias(name)), "trade_date", "left")
     month = rates.select(F.col("period_date").alias("_month"), "rate_pct", "inflation")
     return out.join(month, F.trunc("trade_date", "month") == F.col("_month"), "left").drop("_month")
 
 
-def asof(days: DataFrame, rates: DataFrame, on: str, at: str, values: list[str]) -> DataFrame:
-    """For each row of ``days`` the last known ``values`` at or before it.
+def asof(days: DataFrame, rates: DataFrame, on: str, at: str, values: list[str], carry: int = 36_525) -> DataFrame:
+    """For each row of ``days`` the last known ``values`` at or before its date.
 
-    Both sides are dealt by year; what was last known when a year begins comes from the small table of each year's
-    last rates, so that no single task sorts all days.
+    The rates, the small side, become a calendar: each holds on every date up to the next, the last for ``carry`` days
+    (a century). The as-of join is then one by equality, in which no task sorts or ranks days; the calendar has a row a
+    date, whatever the days. Of rates of one date the largest counts; a null rate is known as null.
     """
-    every = days.select(F.col(on).alias("_at"), F.lit(1).alias("_day"), *[F.lit(None).cast(rates.schema[v].dataType).alias(v) for v in values], *days.columns)
-    known = rates.select(F.col(at).alias("_at"), F.lit(0).alias("_day"), *values)
-    both = every.unionByName(known, allowMissingColumns=True).withColumn("_year", F.year("_at"))
-    inside = Window.partitionBy("_year").orderBy("_at", "_day").rowsBetween(Window.unboundedPreceding, 0)
-    state = F.struct("_at", *values)
-    filled = both.withColumn("_last", F.last(F.when(F.col("_day") == 0, state), ignorenulls=True).over(inside))
-    # One row a year: the carry into later years.
-    yearly = rates.groupBy(F.year(at).alias("_year")).agg(F.max_by(F.struct(F.col(at).alias("_at"), *values), at).alias("_carry"))
-    years = both.select("_year").distinct().join(yearly, "_year", "left")
-    carry = years.select("_year", F.last("_carry", ignorenulls=True).over(Window.orderBy("_year").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    out = filled.filter("_day = 1").join(F.broadcast(carry), "_year", "left")
-    last = F.coalesce("_last", "_before")
-    return out.select(*days.columns, *[last.getField(v).alias(v) for v in values])
+    one = rates.filter(F.col(at).isNotNull()).groupBy(at).agg(F.max(F.struct(*values)).alias("_state"))
+    until = F.coalesce(F.date_sub(F.lead(at).over(Window.orderBy(at)), 1), F.date_add(at, carry))
+    calendar = one.withColumn("_until", until).select(F.explode(F.sequence(at, "_until")).alias("_on"), "_state")
+    return days.join(calendar, F.col(on) == F.col("_on"), "left").select(*days.columns, *[F.col(f"_state.{v}").alias(v) for v in values])
+
+
+def first_near(rows: DataFrame, value: str, at: float, within: float, order: str, default: dict[str, Column]) -> DataFrame:
+    """One row: the first in ``order`` whose ``value`` lies nearer than ``within`` to ``at``, else ``default``."""
+    near = rows.filter(F.abs(F.col(value) - at) < within).agg(F.min_by(F.struct(*default), order).alias("_first"))
+    return near.select(*[F.coalesce(F.col(f"_first.{c}"), v).alias(c) for c, v in default.items()])
 
 
 def wage_dynamics(eav: DataFrame, indicators: dict[str, str], first: int, last: int) -> DataFrame:

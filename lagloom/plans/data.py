@@ -57,6 +57,28 @@ def quality_report(spark, d):
     return quality.run_checks(T.market(spark, d), checks)
 
 
+_SUITE = {
+    "indices": [("null close", "close IS NULL"), ("close < 0", "close < 0")],
+    "key_rate": [("null rate_pct", "rate_pct IS NULL"), ("null inflation", "inflation IS NULL"), ("rate out of 0 to 100", "rate_pct < 0 OR rate_pct > 100")],
+    "forex": [("null rate", "rate IS NULL"), ("rate <= 0", "rate <= 0")],
+    "market": [("null close", "close IS NULL"), ("close <= 0", "close <= 0")],
+}
+_SUITE_SQL = " UNION ALL ".join(
+    [f"SELECT '{t}' AS \"table\", '{k}' AS \"check\", count(*) FILTER ({c}) AS bad FROM {t}" for t, cs in _SUITE.items() for k, c in cs]
+    + [f"SELECT '{t}', 'rows >= {n}', CASE WHEN count(*) < {n} THEN 1 ELSE 0 END FROM {t}" for t, n in (("indices", 1), ("key_rate", 101), ("forex", 501), ("market", 1001))]
+    + [f"SELECT '{t}', 'unique {', '.join(ks)}', count(*) FROM (SELECT {', '.join(ks)} FROM {t} GROUP BY ALL HAVING count(*) > 1)" for t, ks in (("indices", ["ticker", "trade_date"]), ("forex", ["trade_date", "currency"]), ("market", ["trade_date", "instrument"]))]
+    + [f"SELECT '{t}', 'expected {k}', {len(v)} - count(DISTINCT {k}) FROM {t} WHERE {k} IN ({', '.join(repr(x) for x in v)})" for t, (k, v) in T.EXPECTED.items()]
+    + ["SELECT 'market', 'rows per instrument', count(*) FILTER (n < 100) FROM (SELECT instrument, count(*) AS n FROM market GROUP BY 1)"]
+    + ["SELECT 'indices', 'first trade_date', CASE WHEN min(trade_date) >= DATE '2010-01-01' THEN 0 ELSE 1 END FROM indices", "SELECT 'indices', 'last trade_date', CASE WHEN max(trade_date) >= DATE '2020-01-01' THEN 0 ELSE 1 END FROM indices"]
+)
+
+
+@query(f"WITH {T.MARKET}, {T.INDICES}, {T.KEY_RATE}, {T.FOREX} {_SUITE_SQL}")
+def quality_suite(spark, d):
+    lines = T.lines(spark, d)
+    return quality.suite({"indices": T.indices_of(lines), "key_rate": T.key_rate_of(lines), "forex": T.forex(spark, d), "market": T.market(spark, d)}, T.EXPECTED)
+
+
 _ROW = "l_shipdate, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus"
 _PK = ["l_orderkey", "l_linenumber"]
 
@@ -75,18 +97,18 @@ def upsert_latest(spark, d):
     return tables.last_by_key(T.table(spark, d, "lineitem"), _PK, _order()).select(*_PK, "l_partkey", "l_suppkey", "l_extendedprice")
 
 
-@query("""WITH old AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 2 = 0), new AS (SELECT c_custkey, c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 3 = 0)
+@query("""WITH old AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal < 6000), new AS (SELECT c_custkey, c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_acctbal >= 2000)
 SELECT * FROM old WHERE c_custkey NOT IN (SELECT c_custkey FROM new) UNION ALL SELECT * FROM new""")
 def merge_upsert(spark, d):
     c = T.table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
-    return tables.upsert(c.filter("c_custkey % 2 = 0"), c.filter("c_custkey % 3 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1), ["c_custkey"], [F.col("c_name")])
+    return tables.upsert(c.filter("c_acctbal < 6000"), c.filter("c_acctbal >= 2000").withColumn("c_acctbal", F.col("c_acctbal") + 1), ["c_custkey"], [F.col("c_name")])
 
 
-@query("""WITH old AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 2 = 0), new AS (SELECT c_custkey, c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_custkey % 3 = 0)
+@query("""WITH old AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal < 6000), new AS (SELECT c_custkey, c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_acctbal >= 2000)
 SELECT * FROM old UNION ALL SELECT * FROM new WHERE c_custkey NOT IN (SELECT c_custkey FROM old)""")
 def merge_insert_or_ignore(spark, d):
     c = T.table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
-    return tables.insert_or_ignore(c.filter("c_custkey % 2 = 0"), c.filter("c_custkey % 3 = 0").withColumn("c_acctbal", F.col("c_acctbal") + 1), ["c_custkey"], [F.col("c_name")])
+    return tables.insert_or_ignore(c.filter("c_acctbal < 6000"), c.filter("c_acctbal >= 2000").withColumn("c_acctbal", F.col("c_acctbal") + 1), ["c_custkey"], [F.col("c_name")])
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
@@ -159,6 +181,15 @@ def keyword_rerank_topk(spark, d):
     return texts.rerank(T.articles(spark, d), _TERMS)
 
 
+_FOUND = list(dict.fromkeys(t for stem, words in T.STEMS.items() if stem in T.HYPOTHESIS.lower() for t in words))[:6]
+_FOUND_SCORE = " + ".join(f"CAST(contains(lower(text), '{k.lower()}') AS INTEGER)" for k in _FOUND)
+
+
+@query(f"WITH {T.ARTICLES} SELECT id, date, {_FOUND_SCORE} AS score, '[' || strftime(date, '%Y-%m-%d') || '] ' || trim(replace(text[1:280], chr(10), ' ')) || '…' AS block FROM articles WHERE date BETWEEN DATE '1996-01-01' AND DATE '1998-06-30' AND (" + " OR ".join(f"contains(lower(text), '{k.lower()}')" for k in _FOUND[:3]) + ") ORDER BY score DESC, date, id LIMIT 5")
+def news_context(spark, d):
+    return texts.news_context(T.articles(spark, d), T.HYPOTHESIS, "1996-01-01", "1998-06-30", stems=T.STEMS)
+
+
 _CUT = r"list_filter(list_transform(CASE WHEN length(text) > 0 THEN range(0, length(text), 700) ELSE [] END, lambda s: regexp_replace(text[s + 1 : s + 900], '^\s+|\s+$', '', 'g')), lambda c: length(c) > 50)"
 
 

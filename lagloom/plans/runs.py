@@ -10,6 +10,7 @@ from lagloom.operators import audit, tables
 from lagloom.operators import experiments as E
 from lagloom.plans import stand_ins as T
 from lagloom.plans.registry import query
+from lagloom.sources import sinks
 from lagloom.sources.shared import new_path
 from lagloom.streaming import rollup
 
@@ -27,10 +28,19 @@ def total_stats(spark, d):
     return E.total_stats(T.log(spark, d))
 
 
-@query(f"""{_L}, l AS (SELECT session, lag, count(*) AS n FROM log GROUP BY ALL), s AS (SELECT session, string_agg(lag || ':' || n, ',' ORDER BY lag) AS lags FROM l GROUP BY session)
-SELECT session, CAST(sum(tokens) AS BIGINT) AS tokens, round(avg(ms), 4) + 0.0 AS avg_ms, round(avg(CAST(attempts > 1 AS DOUBLE)) * 100, 4) + 0.0 AS repair_pct, any_value(lags) AS lags FROM log JOIN s USING (session) GROUP BY session""")
+_MEANS = {"avg_rag_ms": "ms_rag", "avg_news_ms": "ms_news", "avg_sql_ms": "ms_sql", "avg_llm_gen_ms": "ms_generate", "avg_llm_eval_ms": "ms_evaluate", "avg_ctx_rag_chars": "context", "avg_ctx_news_chars": "context_news"}
+
+
+@query(f"""{_L}, l AS (SELECT session, lag, count(*) AS n FROM log GROUP BY ALL), s AS (SELECT session, string_agg(lag || ':' || n, ',' ORDER BY lag) AS lag_distribution FROM l GROUP BY session)
+SELECT session, count(*) AS iterations, round(sum(ms) / 1000.0, 1) AS total_wall_s, round(sum(ms) / count(*) / 1000.0, 1) AS avg_iter_s, CAST(sum(tokens) AS BIGINT) AS total_tokens, round(sum(tokens) / count(*), 0) AS avg_tokens_per_iter,
+  {", ".join(f"round(sum({c}) / count(*), 0) AS {k}" for k, c in _MEANS.items())}, any_value(lag_distribution) AS lag_distribution, round(count(*) FILTER (attempts > 1) / count(*) * 100, 1) AS sql_repair_rate
+FROM log JOIN s USING (session) GROUP BY session""")
 def session_summary(spark, d):
-    return E.session_summary(T.log(spark, d))
+    return E.session_summary(T.log(spark, d), _MEANS)
+
+
+_DEPTH = """i AS (SELECT *, sum(CASE WHEN NOT confirmed THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY iteration) AS island FROM typed),
+p AS (SELECT *, sum(CASE WHEN NOT confirmed THEN 0 ELSE 1 END) OVER (PARTITION BY session, island ORDER BY iteration) AS depth FROM i)"""
 
 
 @query(f"{_L} SELECT lag, count(*) AS n, round(avg(CAST(coalesce(confirmed, false) AS DOUBLE)) * 100, 4) + 0.0 AS confirm_pct, round(avg(CASE WHEN score <> 0 THEN score END), 4) + 0.0 AS avg_score FROM log GROUP BY lag")
@@ -49,21 +59,49 @@ _CLASS = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower({{0}}), '{p.l
 def _typed(spark, d):
     log = T.log(spark, d)
     typed = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", error_class(F.col(c)))
-    return log.withColumns({"error_type_1": typed("error_1"), "error_type_2": typed("error_2"), "sql_2": F.when(F.col("attempts") > 1, F.concat("sql", F.lit(" -- 2"))), "sql_ok": (F.col("attempts") < 3) | F.col("error_2").isNull()})
+    return log.withColumns({"error_type_1": typed("error_1"), "error_type_2": typed("error_2"), "error_type_3": typed("error_3"), "sql_2": F.when(F.col("attempts") > 1, F.concat("sql", F.lit(" -- 2"))), "sql_ok": (F.col("attempts") < 3) | F.col("error_2").isNull()})
 
 
-_T1, _T2 = (f"CASE WHEN coalesce({c}, '') <> '' THEN {_CLASS.format(c)} END" for c in ("error_1", "error_2"))
-_TYPED = f"{_L}, typed AS (SELECT *, {_T1} AS error_type_1, {_T2} AS error_type_2, CASE WHEN attempts > 1 THEN sql || ' -- 2' END AS sql_2, attempts < 3 OR error_2 IS NULL AS sql_ok FROM log)"
+_T1, _T2, _T3 = (f"CASE WHEN coalesce({c}, '') <> '' THEN {_CLASS.format(c)} END" for c in ("error_1", "error_2", "error_3"))
+_TYPED = f"{_L}, typed AS (SELECT *, {_T1} AS error_type_1, {_T2} AS error_type_2, {_T3} AS error_type_3, CASE WHEN attempts > 1 THEN sql || ' -- 2' END AS sql_2, attempts < 3 OR error_2 IS NULL AS sql_ok FROM log)"
 
 
-@query(f"{_TYPED}, e AS (SELECT error_type_1 AS error_type FROM typed UNION ALL SELECT error_type_2 FROM typed) SELECT error_type, count(*) AS n FROM e WHERE error_type IS NOT NULL GROUP BY 1 ORDER BY n DESC, error_type LIMIT 8")
+@query(f"{_TYPED}, e AS (SELECT error_type_1 AS error_type FROM typed UNION ALL SELECT error_type_2 FROM typed UNION ALL SELECT error_type_3 FROM typed) SELECT error_type, count(*) AS n FROM e WHERE error_type IS NOT NULL GROUP BY 1 ORDER BY n DESC, error_type LIMIT 8")
 def error_type_frequency(spark, d):
-    return E.error_types(_typed(spark, d), ["error_type_1", "error_type_2"])
+    return E.error_types(_typed(spark, d), ["error_type_1", "error_type_2", "error_type_3"])
 
 
-@query(f"{_TYPED} SELECT event_id, error_type_1, error_type_2 FROM typed")
+@query(f"{_TYPED} SELECT event_id, error_type_1, error_type_2, error_type_3 FROM typed")
 def error_taxonomy(spark, d):
-    return _typed(spark, d).select("event_id", "error_type_1", "error_type_2")
+    return _typed(spark, d).select("event_id", "error_type_1", "error_type_2", "error_type_3")
+
+
+@query(f"""{_TYPED}, {_DEPTH} SELECT session, count(*) AS total, {_OUT}, round(count(*) FILTER (confirmed) / count(*) * 100, 1) AS confirmation_rate, round(sum(coalesce(score, 0)) / count(*), 1) AS avg_score,
+coalesce(round(avg(coalesce(score, 0)) FILTER (confirmed), 1), 0.0) AS avg_confirmed_score, round(count(*) FILTER (NOT sql_ok) / count(*) * 100, 1) AS sql_error_rate, CAST(max(depth) AS INTEGER) AS max_chain FROM p GROUP BY session""")
+def session_metrics(spark, d):
+    return E.session_metrics(_typed(spark, d))
+
+
+@query(f"{_L} SELECT session, CAST(row_number() OVER (PARTITION BY session ORDER BY coalesce(score, 0) DESC, iteration) AS INTEGER) AS place, coalesce(score, 0) AS score, hypothesis, confirmed FROM log QUALIFY row_number() OVER (PARTITION BY session ORDER BY coalesce(score, 0) DESC, iteration) <= 3")
+def session_top(spark, d):
+    return E.session_top(T.log(spark, d))
+
+
+@query(f"{_TYPED}, a AS (SELECT event_id, session, iteration, attempts, [{{'sql': sql, 'error': error_1, 'error_type': error_type_1}}, {{'sql': sql_2, 'error': error_2, 'error_type': error_type_2}}, {{'sql': NULL, 'error': error_3, 'error_type': error_type_3}}][1:attempts] AS tries FROM typed) SELECT session, iteration, len(tries) AS sql_attempts, {', '.join(f'tries[{i}].{f} AS {f}_{i}' for i in (1, 2, 3) for f in ('sql', 'error', 'error_type'))} FROM a")
+def experiment_insert(spark, d):
+    t = _typed(spark, d)
+    tries = F.array(*[F.struct((F.col(q) if q else F.lit(None).cast("string")).alias("sql"), F.col(f"error_{i}").alias("error"), F.col(f"error_type_{i}").alias("error_type")) for i, q in ((1, "sql"), (2, "sql_2"), (3, None))])
+    runs = t.select("session", "iteration", F.slice(tries, F.lit(1), F.col("attempts")).alias("attempts"))
+    path = new_path(spark, "experiments")
+    # Twice, as after a crash: the second insert adds nothing.
+    E.insert(runs, path)
+    E.insert(runs, path)
+    return spark.read.schema(E.attempt_columns(runs).schema).parquet(path)
+
+
+@query("SELECT to_json({'event_id': event_id, 'event_type': event_type, 'user_id': user_id}) AS value FROM events")
+def json_log(spark, d):
+    return sinks.json_rows(T.table(spark, d, "events").select("event_id", "event_type", "user_id"))
 
 
 @query(f"{_TYPED} SELECT session, iteration, hypothesis, sql, score FROM typed WHERE sql_ok")
@@ -127,9 +165,12 @@ def fingerprint_convergence(spark, d):
     return audit.convergence(T.log(spark, d), top=None)
 
 
-@query(f"{_L} SELECT {_FP} AS fingerprint, count(*) AS n FROM log GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, fingerprint LIMIT 5")
+_LATEST = "(SELECT session FROM log ORDER BY event_id DESC LIMIT 1)"
+
+
+@query(f"{_L} SELECT {_FP} AS fingerprint, count(*) AS n FROM log WHERE confirmed AND session = {_LATEST} GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, fingerprint LIMIT 5")
 def convergence_top(spark, d):
-    return audit.convergence(T.log(spark, d))
+    return audit.convergence(audit.confirmed_rows(T.log(spark, d)))
 
 
 @query(f"{_L}, f AS (SELECT session, iteration, {_FP} AS fp FROM log), n AS (SELECT *, CAST(row_number() OVER (PARTITION BY session, fp ORDER BY iteration) AS INTEGER) AS seen FROM f) SELECT * FROM n WHERE seen >= 3")
@@ -168,9 +209,54 @@ def audit_issues(spark, d):
     return audit.static_issues(T.log(spark, d)).select("event_id", F.array_join("issues", ",").alias("issues"))
 
 
-@query(f"{_ISSUES} SELECT unnest(CASE WHEN len(issues) = 0 THEN ['CLEAN'] ELSE issues END) AS issue, count(*) AS n FROM issues GROUP BY 1")
+#: What running statements again tells, as remainders of the event's id; some fail, some name no lag.
+_AUDITED = f"""{_L}, reruns AS (
+  SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN CAST(event_id * 7 % 101 AS DOUBLE) / 100.0 END AS r, CASE WHEN event_id % 6 <> 0 THEN CAST(event_id * 11 % 101 AS DOUBLE) / -100.0 END AS r0 FROM log
+), told AS (
+  SELECT *, list_filter([CASE WHEN {_ALIAS} THEN 'ALIASING' END, CASE WHEN {_TAUT} THEN 'TAUTOLOGY' END, CASE WHEN {_OFF} AND NOT {_ON} THEN 'REGIME_INACTIVE' END], lambda x: x IS NOT NULL) AS one, {_STRUCT} AS st FROM log WHERE confirmed
+), static AS (SELECT *, CASE WHEN len(one) = 0 AND st THEN ['STRUCTURAL'] ELSE one END AS before FROM told
+), audited AS (
+  SELECT static.*, CASE
+      WHEN len(before) > 0 OR coalesce(score, 0) < 65 OR sql = '' OR r IS NULL THEN before
+      WHEN lag > 0 AND r0 IS NOT NULL AND abs(abs(r) - abs(r0)) < 0.08 THEN ['STRUCTURAL']
+      WHEN abs(r) < 0.3 THEN ['WEAK_R'] ELSE before END AS issues
+  FROM static JOIN reruns USING (event_id))"""
+
+
+def _audited(spark, d):
+    """The confirmed rows of all sessions with their issues."""
+    log, i = T.log(spark, d), F.col("event_id")
+    reruns = log.select("event_id", F.when(i % 13 != 0, (i * 7 % 101).cast("double") / 100.0).alias("r"), F.when(i % 6 != 0, (i * 11 % 101).cast("double") / -100.0).alias("r0"))
+    return audit.with_reruns(audit.static_issues(log.filter("confirmed")), reruns, ["event_id"])
+
+
+@query(f"{_AUDITED} SELECT unnest(CASE WHEN len(issues) = 0 THEN ['CLEAN'] ELSE issues END) AS issue, count(*) AS n FROM audited GROUP BY 1")
 def audit_summary(spark, d):
-    return audit.summary(audit.static_issues(T.log(spark, d)))
+    return audit.summary(_audited(spark, d))
+
+
+@query(f"{_AUDITED} SELECT event_id, session, iteration, score, array_to_string(issues, ',') AS issues FROM audited WHERE session = {_LATEST}")
+def audit_run(spark, d):
+    found = audit.confirmed_rows(T.log(spark, d)).select("event_id")
+    return _audited(spark, d).join(found, "event_id", "left_semi").select("event_id", "session", "iteration", "score", F.array_join("issues", ",").alias("issues"))
+
+
+@query(f"""{_AUDITED}, t AS (SELECT session, count(*) AS total FROM log GROUP BY session),
+c AS (SELECT session, count(*) AS convergence_traps FROM (SELECT session, {_FP} AS f FROM audited GROUP BY ALL HAVING count(*) >= 3) GROUP BY session),
+a AS (SELECT session, count(*) AS confirmed_raw, count(*) FILTER (len(issues) = 0) AS clean_confirmed, {", ".join(f"count(*) FILTER (list_contains(issues, '{v}')) AS {k}" for k, v in audit.KINDS.items())}, CAST(sum(len(issues)) AS BIGINT) AS total_issues FROM audited GROUP BY session)
+SELECT t.session, total, a.* EXCLUDE (session), coalesce(convergence_traps, 0) AS convergence_traps, round(confirmed_raw / total * 100, 1) AS raw_rate, round(clean_confirmed / total * 100, 1) AS clean_rate FROM t JOIN a USING (session) LEFT JOIN c USING (session)""")
+def audit_rates(spark, d):
+    return audit.rates(T.log(spark, d), _audited(spark, d))
+
+
+@query(f"{_AUDITED} SELECT trim(regexp_replace(lower(sql[1:80]), '\\s+', ' ', 'g')) AS beginning, count(*) AS n FROM audited WHERE list_contains(issues, 'WEAK_R') GROUP BY ALL HAVING count(*) >= 3")
+def recurring_weak(spark, d):
+    return audit.recurring_weak(_audited(spark, d), by=[])
+
+
+@query(f"{_L} SELECT event_id, list_filter([{', '.join(f'CASE WHEN regexp_matches(sql, $$(?i)' + chr(92) + f'b{c}' + chr(92) + f's+AS' + chr(92) + f's+{i}' + chr(92) + f'b$$) THEN $${c} AS {i}$$ END' for i in fixed.FOREIGN_INSTRUMENTS for c in fixed.CONTEXT_COLUMNS)}], lambda x: x IS NOT NULL) AS pairs FROM log WHERE confirmed")
+def alias_pairs(spark, d):
+    return T.log(spark, d).filter("confirmed").select("event_id", audit.alias_pairs(F.col("sql")).alias("pairs"))
 
 
 @query(f"{_L} SELECT last(session ORDER BY event_id) AS session FROM log")
@@ -185,8 +271,6 @@ def lag_topic_sweep(spark, d):
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def streaming_event_rollup(spark, d):
-    import uuid
-
-    name = f"rollup_{uuid.uuid4().hex}"
-    rollup.event_counts(spark, f"{d}/events.parquet", new_path(spark, "stream"), name).awaitTermination()
-    return spark.table(name)
+    out = new_path(spark, "rollup")
+    rollup.event_counts(spark, f"{d}/events.parquet", out, new_path(spark, "stream"))
+    return rollup.counted(spark, out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,12 +45,13 @@ _RATE_LABEL = "CASE WHEN rate_pct > 5 THEN 'high_rate' ELSE 'low_rate' END"
 _Z_LABEL = "CASE WHEN z > 150000 THEN 'above' ELSE 'below' END"
 
 
-def _driven(spark: SparkSession, d: str) -> DataFrame:
-    """The source's days with the day's driver and the month's rate."""
-    drv = T.market(spark, d).filter("instrument = '2-HIGH'").select(F.col("trade_date").alias("day"), F.col("close").alias("z"))
-    rates = views.key_rate_daily(T.key_rate(spark, d)).select(F.col("period_date").alias("month"), "rate_pct")
-    src = _source(spark, d).join(drv, "day", "left")
-    return src.join(rates, F.trunc("day", "month") == F.col("month"), "left").select("day", "x", S.regime(F.col("z"), 150000, "above", "below").alias("regime"), S.regime(F.col("rate_pct"), 5, "high_rate", "low_rate").alias("rate_regime"))
+def _driven(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The source's days with the day's driver and the month's rate, and the target; each table is read once."""
+    both = views.wide(T.market(spark, d), {"x": "1-URGENT", "z": "2-HIGH"}).filter("has_x").withColumnRenamed("trade_date", "day")
+    lines = T.lines(spark, d)
+    rates = views.key_rate_daily(T.key_rate_of(lines)).select(F.col("period_date").alias("month"), "rate_pct")
+    driven = both.join(rates, F.trunc("day", "month") == F.col("month"), "left").select("day", "x", S.regime(F.col("z"), 150000, "above", "below").alias("regime"), S.regime(F.col("rate_pct"), 5, "high_rate", "low_rate").alias("rate_regime"))
+    return driven, T.indices_of(lines).filter("ticker = 'NO'").select(F.col("trade_date").alias("day"), F.col("close").alias("y"))
 
 
 _DRIVEN = f"{_BASE}, {T.RATES}, {_DRIVER}, driven AS (SELECT src.day, x, {_Z_LABEL} AS regime, {_RATE_LABEL} AS rate_regime FROM src LEFT JOIN drv USING (day) LEFT JOIN rates ON date_trunc('month', src.day) = period_date)"
@@ -56,17 +59,17 @@ _DRIVEN = f"{_BASE}, {T.RATES}, {_DRIVER}, driven AS (SELECT src.day, x, {_Z_LAB
 
 @query(f"{_DRIVEN} SELECT 14 AS lag_days, regime, {_CORR} AS correlation, count(*) AS n FROM driven JOIN tgt ON tgt.day = driven.day + 14 GROUP BY regime")
 def regime_correlation(spark, d):
-    return S.lag_correlation(_driven(spark, d), _target(spark, d), [14], ("regime",))
+    return S.lag_correlation(*_driven(spark, d), [14], ("regime",))
 
 
 @query(f"{_DRIVEN} SELECT lag_days, regime, {_CORR} AS correlation, count(*) AS n FROM driven CROSS JOIN {lags_sql([0, 14, 30])} JOIN tgt ON tgt.day = driven.day + lag_days GROUP BY lag_days, regime")
 def lag_regime_correlation(spark, d):
-    return S.lag_correlation(_driven(spark, d), _target(spark, d), [0, 14, 30], ("regime",))
+    return S.lag_correlation(*_driven(spark, d), [0, 14, 30], ("regime",))
 
 
 @query(f"{_DRIVEN} SELECT 0 AS lag_days, regime, rate_regime, {_CORR} AS correlation, count(*) AS n FROM driven JOIN tgt USING (day) GROUP BY regime, rate_regime")
 def regime_matrix(spark, d):
-    return S.lag_correlation(_driven(spark, d), _target(spark, d), [0], ("regime", "rate_regime"))
+    return S.lag_correlation(*_driven(spark, d), [0], ("regime", "rate_regime"))
 
 
 @query(f"{_BASE} SELECT 7 AS lag_days, CAST(year(src.day) AS INTEGER) AS year, {_CORR} AS correlation, count(*) AS n FROM src JOIN tgt ON tgt.day = src.day + 7 GROUP BY year(src.day)")
@@ -80,12 +83,15 @@ def quarterly_stability(spark, d):
 
 
 def _grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Market series and daily topic counts as sources, tickers as targets, all long."""
+    """Market series, daily topic counts and the months' rates on market days as sources, tickers as targets, all long."""
     market = T.market(spark, d).select(F.col("instrument").alias("source"), F.col("trade_date").alias("day"), F.col("close").alias("x"))
     topics = texts.topic_counts(T.articles(spark, d), T.TOPIC_WORDS)
     news = topics.unpivot("news_date", list(T.TOPIC_WORDS), "source", "x").select(F.concat(F.lit("news_"), "source").alias("source"), F.col("news_date").alias("day"), F.col("x").cast("double").alias("x"))
-    targets = T.indices(spark, d).select(F.col("ticker").alias("target"), F.col("trade_date").alias("day"), F.col("close").alias("y"))
-    return market.unionByName(news), targets
+    lines = T.lines(spark, d)
+    context = views.market_context(T.market(spark, d), {"urgent": "1-URGENT"}, {}, views.key_rate_daily(T.key_rate_of(lines)))
+    macro = context.unpivot("trade_date", ["rate_pct", "inflation"], "source", "x").select(F.concat(F.lit("macro_"), "source").alias("source"), F.col("trade_date").alias("day"), "x")
+    targets = T.indices_of(lines).select(F.col("ticker").alias("target"), F.col("trade_date").alias("day"), F.col("close").alias("y"))
+    return market.unionByName(news).unionByName(macro), targets
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
@@ -98,7 +104,9 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
 _TOPICS = ", ".join("CAST(count(CASE WHEN " + " OR ".join(f"contains(text, '{w}')" for w in ws) + f" THEN 1 END) AS INTEGER) AS \"{k}\"" for k, ws in T.TOPIC_WORDS.items())
 _NEWS = f"{T.ARTICLES}, daily AS (SELECT date AS news_date, {_TOPICS} FROM articles GROUP BY date)"
 _LONG = " UNION ALL ".join(f"SELECT 'news_{k}' AS source, news_date AS day, CAST(\"{k}\" AS DOUBLE) AS x FROM daily" for k in T.TOPIC_WORDS)
-_CELLS = f"""WITH {T.MARKET}, {T.INDICES}, {_NEWS}, sources AS (SELECT instrument AS source, trade_date AS day, close AS x FROM market UNION ALL {_LONG}),
+_MACRO = " UNION ALL ".join(f"SELECT 'macro_{k}' AS source, trade_date AS day, {k} AS x FROM context" for k in ("rate_pct", "inflation"))
+_CELLS = f"""WITH {T.MARKET}, {T.INDICES}, {T.RATES}, {_NEWS}, context AS (SELECT trade_date, rate_pct, inflation FROM market LEFT JOIN rates ON period_date = date_trunc('month', trade_date) WHERE instrument = '1-URGENT'),
+sources AS (SELECT instrument AS source, trade_date AS day, close AS x FROM market UNION ALL {_LONG} UNION ALL {_MACRO}),
 pairs AS (SELECT source, ticker AS target, lag_days AS lag, x, close AS y FROM sources CROSS JOIN {lags_sql(T.LAGS6)} JOIN indices ON trade_date = day + lag_days
   WHERE NOT (source LIKE 'news_%' AND lag_days = 0) AND NOT (source = '1-URGENT' AND ticker = 'AF' AND lag_days = 0)),
 cells AS (SELECT source, target, lag, {_CORR} AS corr, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 150 AND NOT isnan(corr(x, y))),
@@ -147,6 +155,24 @@ def row_lag_correlation(spark, d):
     return S.row_lag_correlation(two, "ticker")
 
 
+@query(f"WITH {T.MARKET}, {T.INDICES}, {_TWO}, l AS (SELECT *, lead(y) OVER w AS ahead, lead(day) OVER w AS due FROM two WINDOW w AS (PARTITION BY ticker ORDER BY day)) SELECT ticker, {_CORR.replace('y)', 'ahead)')} AS r_lead, count(*) AS n FROM l WHERE due IS NOT NULL GROUP BY ticker")
+def row_lead_correlation(spark, d):
+    m = T.market(spark, d).filter("instrument = '1-URGENT'").select("trade_date", F.col("close").alias("x"))
+    two = T.indices(spark, d).join(m, "trade_date").select("ticker", F.col("trade_date").alias("day"), "x", F.col("close").alias("y"))
+    return S.row_lead_correlation(two, "ticker")
+
+
+@query(f"WITH {T.MARKET} SELECT instrument, count(*) AS n, min(close) AS low, max(close) AS high FROM market WHERE trade_date BETWEEN DATE '1996-03-01' AND DATE '1996-09-30' AND instrument IN ('1-URGENT', '5-LOW') GROUP BY instrument")
+def bound_parameters(spark, d):
+    sql = "SELECT instrument, count(*) AS n, min(close) AS low, max(close) AS high FROM {market} WHERE trade_date BETWEEN :since AND :until AND array_contains(:names, instrument) GROUP BY instrument"
+    return spark.sql(sql, args={"since": date(1996, 3, 1), "until": date(1996, 9, 30), "names": F.array(F.lit("1-URGENT"), F.lit("5-LOW"))}, market=T.market(spark, d))
+
+
+@query(f"WITH {T.RATES}, r AS (SELECT period_date, rate_pct FROM rates WHERE abs(rate_pct - 5.02) < 0.05 ORDER BY period_date LIMIT 1) SELECT coalesce((SELECT period_date FROM r), DATE '1995-01-01') AS period_date, coalesce((SELECT rate_pct FROM r), 5.0) AS rate_pct")
+def lookup_with_default(spark, d):
+    return views.first_near(views.key_rate_daily(T.key_rate(spark, d)), "rate_pct", 5.02, 0.05, "period_date", {"period_date": F.lit("1995-01-01").cast("date"), "rate_pct": F.lit(5.0)})
+
+
 @query(f"WITH {T.MARKET}, l AS (SELECT trade_date AS day, instrument, close, lag(close) OVER (PARTITION BY instrument ORDER BY trade_date) AS prev FROM market) SELECT *, round((close - prev) / prev * 100, 4) + 0.0 AS pct FROM l WHERE prev IS NOT NULL")
 def pct_change(spark, d):
     return S.pct_change(T.market(spark, d).withColumnRenamed("trade_date", "day"), "instrument", "close").select("day", "instrument", "close", "prev", "pct")
@@ -173,10 +199,9 @@ SELECT u.trade_date, u.close AS urgent, i.close AS "index", {", ".join(f"{k}.clo
 FROM market u LEFT JOIN indices i ON i.trade_date = u.trade_date AND i.ticker = 'NO' {" ".join(f"LEFT JOIN market {k} ON {k}.trade_date = u.trade_date AND {k}.instrument = '{v}'" for k, v in _INSTR.items())}
 LEFT JOIN rates ON period_date = date_trunc('month', u.trade_date) WHERE u.instrument = '1-URGENT'""")
 def market_context(spark, d):
-    m = T.market(spark, d)
-    others = {"index": T.indices(spark, d).filter("ticker = 'NO'")} | {k: m.filter(F.col("instrument") == v) for k, v in _INSTR.items()}
-    driver = m.filter("instrument = '1-URGENT'").select("trade_date", F.col("close").alias("urgent"))
-    return views.market_context(driver, others, views.key_rate_daily(T.key_rate(spark, d)))
+    lines = T.lines(spark, d)
+    index = T.indices_of(lines).filter("ticker = 'NO'")
+    return views.market_context(T.market(spark, d), {"urgent": "1-URGENT"} | _INSTR, {"index": index}, views.key_rate_daily(T.key_rate_of(lines)))
 
 
 @query(f"""WITH {T.MARKET}, {T.RATES}, quarterly AS (SELECT * FROM rates WHERE month(period_date) IN (2, 5, 8, 11))
@@ -234,6 +259,15 @@ def topic_market_lag(spark, d):
     return S.lag_correlation(news, _source(spark, d).withColumnRenamed("x", "y"), [7, 14, 30])
 
 
+@query(f"WITH {T.MARKET}, s AS (SELECT instrument, quantile_cont(close, 0.5) AS median, quantile_cont(close, 0.9) AS p90 FROM market GROUP BY 1) SELECT instrument, true AS median_near, true AS p90_near FROM s")
+def spread_approximate(spark, d):
+    """Percentiles in bounded memory, each within one rank in a hundred of the exact one."""
+    m = T.market(spark, d)
+    found = m.groupBy("instrument").agg(F.percentile_approx("close", [0.5, 0.9], 10_000).alias("p"))
+    ranks = m.join(found, "instrument").groupBy("instrument").agg(*[(F.avg((F.col("close") <= F.col("p")[i]).cast("double"))).alias(n) for i, n in enumerate(("median", "p90"))])
+    return ranks.select("instrument", (F.abs(F.col("median") - 0.5) < 0.01).alias("median_near"), (F.abs(F.col("p90") - 0.9) < 0.01).alias("p90_near"))
+
+
 @query(f"WITH {T.MARKET} SELECT instrument, round(stddev(close), 2) AS sd, round(quantile_cont(close, 0.5), 4) AS median, round(quantile_cont(close, 0.9), 4) AS p90 FROM market GROUP BY 1")
 def spread_statistics(spark, d):
     return T.market(spark, d).groupBy("instrument").agg(F.round(F.stddev("close"), 2).alias("sd"), F.round(F.percentile("close", F.lit(0.5)), 4).alias("median"), F.round(F.percentile("close", F.lit(0.9)), 4).alias("p90"))

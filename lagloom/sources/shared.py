@@ -1,7 +1,9 @@
 """Intermediate tables in the folder that driver and executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster. Where it is unset (tests, a laptop) a temporary folder
-stands in. Tables are written by Spark's own committer, so a lost executor costs a retried task and no data.
+``spark.checkpoint.dir`` names that folder on a cluster, or ``SparkContext.setCheckpointDir`` does. Where neither is set,
+a temporary folder stands in on a local master (tests, a laptop); on any other it would lie on one machine, and others
+would read incomplete tables, so that is an error. Tables are written by Spark's own committer, so a lost executor
+costs a retried task and no data. They lie in a folder of the application, which ``clear`` deletes.
 """
 
 from __future__ import annotations
@@ -16,20 +18,36 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL: list[str] = []
 
 
+def one_machine(master: str) -> bool:
+    """Whether driver and executors are one process ('local', 'local[8]'; 'local-cluster[...]' has executors of its own)."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder's URI, without a trailing slash."""
-    named = spark.conf.get("spark.checkpoint.dir", "")
+    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
     if named:
         return named.rstrip("/")
+    if not one_machine(spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="lagloom-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
     return f"file://{_LOCAL[0]}"
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lagloom/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/lagloom/{name}-{uuid.uuid4().hex}"
+    """A path in the application's folder that nothing else uses."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has kept. Results that still read it must be written first."""
+    drop(spark, _own(spark))
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

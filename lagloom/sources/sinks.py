@@ -3,8 +3,17 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
+
+from lagloom.operators.tables import last_by_key, upsert
 
 
 def full_refresh(df: DataFrame, path: str) -> None:
@@ -31,11 +40,11 @@ def views(spark: SparkSession, tables: dict[str, DataFrame]) -> None:
         df.createOrReplaceTempView(name)
 
 
-def markdown_table(df: DataFrame, limit: int = 100) -> str:
-    """A report table of at most ``limit`` rows."""
-    rows = df.limit(limit).collect()
+def markdown_table(df: DataFrame) -> str:
+    """All rows as a table, fetched a partition at a time; meant for results of a size that is read."""
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
+    lines += ["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in df.toLocalIterator()]
+    return "\n".join(lines)
 
 
 def audit_report(summary: DataFrame, convergence: DataFrame, path: str) -> None:
@@ -44,7 +53,67 @@ def audit_report(summary: DataFrame, convergence: DataFrame, path: str) -> None:
         f.write(f"# Audit\n\n{markdown_table(summary)}\n\n## Repeated hypotheses\n\n{markdown_table(convergence)}\n")
 
 
-def chart_data(frames: dict[str, DataFrame], path: str, limit: int = 5000) -> None:
-    """The datasets behind a report's charts as one JSON file."""
+def chart_data(frames: dict[str, DataFrame], path: str) -> None:
+    """The datasets behind a report's charts as one JSON file: every row, written as it comes, a partition at a time."""
     with open(path, "w", encoding="utf-8") as f:
-        json.dump({k: [r.asDict(recursive=True) for r in df.limit(limit).collect()] for k, df in frames.items()}, f, default=str, ensure_ascii=False)
+        f.write("{")
+        for i, (name, df) in enumerate(frames.items()):
+            f.write(f"{', ' * (i > 0)}{json.dumps(name)}: [")
+            for k, r in enumerate(df.toLocalIterator()):
+                f.write(", " * (k > 0) + json.dumps(r.asDict(recursive=True), default=str, ensure_ascii=False))
+            f.write("]")
+        f.write("}")
+
+
+def json_rows(df: DataFrame) -> DataFrame:
+    """Each row as one JSON object, for logs of lines and message queues."""
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def laid_out(df: DataFrame, path: str, by: list[str], within: list[str]) -> None:
+    """A table partitioned by ``by`` and sorted ``within`` files, so that filters on either skip files and row groups.
+
+    A partition's rows are dealt over several tasks by the sort columns: a hot partition is no single task's work.
+    """
+    dealt = df.repartitionByRange(*by, *within).sortWithinPartitions(*by, *within)
+    dealt.write.mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def upsert_chunks(spark: SparkSession, path: str, chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None) -> None:
+    """Chunks (id, document, ...) into a table by id: new ones replace old ones of their id.
+
+    ``embed`` gives vectors for texts (any model behind a function; it runs in the tasks, a batch at a time); without it
+    ``chunks`` brings its own column ``embedding``. A new version of the table is written whole and named
+    afterwards, so that readers never meet half a table.
+    """
+    new = embedded(chunks, embed) if embed else chunks
+    at = current(spark, path)
+    merged = upsert(spark.read.parquet(at), new, ["id"], [F.xxhash64("document")]) if at else last_by_key(new, ["id"], [F.xxhash64("document")])
+    version = f"{path}/v-{uuid.uuid4().hex}"
+    merged.write.parquet(version)
+    spark.range(1).select(F.current_timestamp().alias("at"), F.lit(version).alias("version")).write.mode("append").parquet(f"{path}/versions")
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of the version that ``upsert_chunks`` wrote last."""
+    try:
+        return spark.read.schema("at timestamp, version string").parquet(f"{path}/versions").agg(F.max_by("version", "at")).first()[0]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
+def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], rows: int = 256) -> DataFrame:
+    """``chunks`` with ``embedding`` of their ``document`` by a model behind a function."""
+    schema = StructType([*chunks.schema.fields, StructField("embedding", ArrayType(FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_schema(schema)
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                piece = batch.slice(at, rows)
+                vectors = embed(piece.column(piece.schema.get_field_index("document")).to_pylist())
+                yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(vectors, out.field("embedding").type)], schema=out)
+
+    return chunks.mapInArrow(run, schema)

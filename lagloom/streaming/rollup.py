@@ -28,11 +28,24 @@ def load(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str,
     return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def event_counts(spark: SparkSession, path: str, checkpoint: str, name: str) -> StreamingQuery:
-    """Events per day and type from a folder of Parquet files, into an in-memory table (a few rows a day)."""
+def event_counts(spark: SparkSession, path: str, out: str, checkpoint: str, late: str = "1 day") -> None:
+    """Events per day and type from Parquet files into the table ``out``, by appends: a day is written once, when the
+    watermark has passed it, and its state is dropped. Days that are still open lie in ``out``/open after each run.
+
+    A run takes the files that are new since the last one with this checkpoint, and ends.
+    """
     schema = spark.read.parquet(path).schema
     # As a pattern, for a stream's plain path must be a folder; the pattern matches a file and a folder alike.
     events = spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]").withColumn("ts", F.col("ts").cast("timestamp"))
-    counted = events.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
-    out = counted.select(F.col("window.start").cast("date").alias("day"), "event_type", "n")
-    return out.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    counted = events.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("n"))
+    days = counted.select(F.col("window.start").cast("date").alias("day"), "event_type", "n")
+    days.writeStream.format("parquet").option("path", f"{out}/closed").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    # The watermark never passes the last days of what is there: the state store holds them.
+    state = spark.read.format("statestore").load(checkpoint).select(F.col("key.window.start").cast("date").alias("day"), F.col("key.event_type").alias("event_type"), F.col("value.count").alias("n"))
+    state.write.mode("overwrite").parquet(f"{out}/open")
+
+
+def counted(spark: SparkSession, out: str) -> DataFrame:
+    """The table of ``event_counts``: closed days and those still open."""
+    schema = "day date, event_type string, n bigint"
+    return spark.read.schema(schema).parquet(f"{out}/closed").unionByName(spark.read.schema(schema).parquet(f"{out}/open"))

@@ -52,7 +52,7 @@ def test_scan_counts_cells_and_breaks_ties_by_lag(spark):
 def test_month_gap_is_null_and_asof_carries(spark):
     days = frame(spark, [(D(2023, 12, 31), 1.0), (D(2024, 1, 5), 2.0), (D(2024, 2, 5), 3.0), (D(2026, 1, 1), 4.0)], "trade_date date, close double")
     rates = frame(spark, [(D(2024, 1, 1), 10.0, 1.0)], "period_date date, rate_pct double, inflation double")
-    got = {r["trade_date"]: r["rate_pct"] for r in views.market_context(days, {}, rates).collect()}
+    got = {r["trade_date"]: r["rate_pct"] for r in views.market_context(days.withColumn("instrument", F.lit("d")), {"close": "d"}, {}, rates).collect()}
     assert got == {D(2023, 12, 31): None, D(2024, 1, 5): 10.0, D(2024, 2, 5): None, D(2026, 1, 1): None}
     got = {r["trade_date"]: r["rate_pct"] for r in views.asof(days, rates, "trade_date", "period_date", ["rate_pct"]).collect()}
     assert got == {D(2023, 12, 31): None, D(2024, 1, 5): 10.0, D(2024, 2, 5): 10.0, D(2026, 1, 1): 10.0}
