@@ -41,6 +41,11 @@ def local_number(text: Column) -> Column:
     return plain.try_cast("double")
 
 
+def percent_number(text: Column) -> Column:
+    """'0,25%' and '0.25%' -> 0.25; null where that is no number."""
+    return F.translate(F.regexp_replace(text, "[ \\s%]", ""), ",", ".").try_cast("double")
+
+
 def volume_number(text: Column) -> Column:
     """'1,5K', '2M', '3B' -> a number."""
     unit = F.upper(F.substring(F.trim(text), -1, 1))
