@@ -98,5 +98,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts through the cache in the shared folder: a second run over the same texts encodes nothing."""
-    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), "byte_bpe_50k.json", f"{shared_dir(spark)}/lagloom/token-counts")
+    """Counts through a cache in the shared folder, one for each folder of tables: a second run over it encodes nothing."""
+    corpus = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:16]
+    return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), "byte_bpe_50k.json", f"{shared_dir(spark)}/lagloom/token-counts-{corpus}")

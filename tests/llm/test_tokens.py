@@ -166,3 +166,14 @@ def test_many_misses_go_by_shuffle(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(token_counts, "FEW_MISSES", 0)
     docs = spark.createDataFrame([(1, "some words"), (2, "some words"), (3, "x")], "doc_id long, text string")
     assert sorted(tuple(r)[:3] for r in token_counts.count_tokens(docs, "byte_bpe_50k.json", f"file://{tmp_path}/c").collect()) == [(1, 10, 2), (2, 10, 2), (3, 1, 1)]
+
+
+def test_the_query_reads_what_it_has_stored(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "some words"), (2, "some words"), (3, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = sorted(map(tuple, token_counts.op2_token_counts(spark, str(tmp_path)).collect()))
+
+    def fails(name):
+        raise AssertionError("a stored text is encoded again")
+
+    monkeypatch.setattr(token_counts, "_count", fails)
+    assert sorted(map(tuple, token_counts.op2_token_counts(spark, str(tmp_path)).collect())) == want
