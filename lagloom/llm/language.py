@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagloom.llm.arrow import Columns, map_columns
+from lagloom.llm.decontaminate import small
 from lagloom.llm.toxicity import crc_mod
 
 DIMS, GRAMS = 1 << 14, 3
@@ -90,7 +91,7 @@ def train(texts: list[str], labels: list[str], landmarks: int = 256, ridge: floa
 def fit(docs: DataFrame, sample: int = 2_000, most_chars: int = 20_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Classifier:
     """A classifier from at most ``sample`` labelled texts, as many of each language as there are or as fit.
 
-    Of each language those of the smallest hashes are taken, in turn with those of the others, so that a rare language
+    Of each language those of the smallest hashes are taken (from a share by hash of about twice ``sample``), in turn with those of the others, so that a rare language
     is not missing. Rows without a label or without a letter teach nothing. A text that would bring the sample above
     ``most_chars`` characters in all is passed over, which bounds the driver's memory.
     """
@@ -100,9 +101,12 @@ def fit(docs: DataFrame, sample: int = 2_000, most_chars: int = 20_000_000, id_c
     def make():
         return lambda c: {"lang": c["lang"], "key": c["key"], "size": [len(t) if has_letter(t) else 0 for t in c["text"]]}
 
-    # First which texts, by numbers only; then the texts of those rows alone cross to the driver. Each task keeps at
-    # most ``sample`` rows of a language, however many it has.
-    sizes = map_columns(rows.select("lang", "key", "text"), make, "lang string, key long, size long").filter("size > 0")
+    # Hashes are spread evenly: those under a bound that falls with a language's rows leave about twice ``sample`` of
+    # them, whatever their number, before anything is read or ranked.
+    many = small(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    few = rows.join(many, "lang").filter(F.pmod("key", F.lit(1 << 31)) / (1 << 31) * F.col("n") < 2 * sample)
+    # First which texts, by numbers only; then the texts of those rows alone cross to the driver.
+    sizes = map_columns(few.select("lang", "key", "text"), make, "lang string, key long, size long").filter("size > 0")
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("key"))
     ranked = sizes.withColumn("turn", turn).filter(F.col("turn") <= sample)
     keys, held = set(), 0
