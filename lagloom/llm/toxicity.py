@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,28 +27,33 @@ def _bucket(term: str) -> int:
     return zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
 
 
-def _often(bucket: int, n: int) -> int:
-    """The bucket of a beginning that ``n`` distinct words of a text share."""
-    return (bucket * 0x9E3779B1 + n * 0x85EBCA77) % BUCKETS
+def _often(buckets: np.ndarray, n: int) -> np.ndarray:
+    """The buckets of beginnings that ``n`` distinct words of a text share."""
+    return (buckets * 0x9E3779B1 + n * 0x85EBCA77) % BUCKETS
 
 
-def hashed_terms(text: str | None, known: dict[str, tuple[int, ...]]) -> set[int]:
-    """Buckets of the distinct lower-cased words, and of their beginnings (4 to 7 letters of a longer word).
+def term_buckets(text: str | None, known: dict[str, tuple[int, ...]]) -> np.ndarray:
+    """Sorted buckets of the distinct lower-cased words, and of their beginnings (4 to 7 letters of a longer word).
 
     Beginnings carry a stem across its endings; they differ from a word that is as long. A beginning of two distinct
     words, and of four, has further buckets: one such word may be chance. ``known`` remembers at most 200,000 words.
     """
-    met: Counter[int] = Counter()
+    own: list[int] = []
     for word in set(_TERM.findall((text or "").lower())):
         at = known.get(word)
         if at is None:
             at = (_bucket(word), *(_bucket(word[:k] + "-") for k in range(4, min(8, len(word)))))
             if len(known) < 200_000:
                 known[word] = at
-        met.update(at)
-    out = set(met)
-    out.update(_often(b, n) for b, count in met.items() if count > 1 for n in (2, 4) if count >= n)
-    return out
+        own += at
+    met, counts = np.unique(np.asarray(own, np.int64), return_counts=True)
+    if len(met) == len(own):
+        return met
+    return np.unique(np.concatenate([met, _often(met[counts >= 2], 2), _often(met[counts >= 4], 4)]))
+
+
+def hashed_terms(text: str | None, known: dict[str, tuple[int, ...]]) -> set[int]:
+    return set(term_buckets(text, known).tolist())
 
 
 @dataclass
@@ -61,10 +65,11 @@ class Machine:
     factors: np.ndarray
     place: np.ndarray
 
-    def score(self, terms: list[set[int]]) -> np.ndarray:
+    def score(self, terms: list) -> np.ndarray:
+        """Of texts as arrays or sets of buckets."""
         out = np.zeros(len(terms))
         for i, t in enumerate(terms):
-            rows = self.place[np.fromiter(t, np.int64, len(t))]
+            rows = self.place[t if isinstance(t, np.ndarray) else np.fromiter(t, np.int64, len(t))]
             rows = rows[rows >= 0]
             v = self.factors[rows]
             s = v.sum(axis=0)
@@ -160,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: str =
         seen: dict[str, tuple[int, ...]] = {}
 
         def terms(c: Columns) -> Columns:
-            return {"doc_id": c["doc_id"], "y": c["y"], "terms": [sorted(hashed_terms(t, seen)) for t in c["text"]]}
+            return {"doc_id": c["doc_id"], "y": c["y"], "terms": [term_buckets(t, seen) for t in c["text"]]}
 
         return terms
 
@@ -183,7 +188,7 @@ def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", te
         seen: dict[str, tuple[int, ...]] = {}
 
         def score(c: Columns) -> Columns:
-            p = machine.score([hashed_terms(t, seen) for t in c["text"]])
+            p = machine.score([term_buckets(t, seen) for t in c["text"]])
             return {"doc_id": c["doc_id"], "score": p, "predicted": (p >= 0.5).astype(np.int32)}
 
         return score
@@ -193,12 +198,19 @@ def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", te
 
 
 def keep_clean(docs: DataFrame, machine: Machine, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with all their columns; null texts stay unless empty texts are toxic."""
+    """The rows of ``docs`` that are not predicted toxic, with all their columns.
+
+    Null and empty texts stay unless texts without known terms count as toxic. A machine that was given no labels, or
+    those of one kind, knows no difference, and rejects nothing.
+    """
+    if not len(machine.weights):
+        return docs
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, tuple[int, ...]] = {}
         for piece in slices(batches, 256):
             texts = piece.column(piece.schema.get_field_index(text_col)).to_pylist()
-            yield piece.filter(pa.array(machine.score([hashed_terms(t, seen) for t in texts]) < 0.5))
+            yield piece.filter(pa.array(machine.score([term_buckets(t, seen) for t in texts]) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 
