@@ -1,6 +1,9 @@
-"""Near copies by exact Jaccard similarity of five-word shingles.
+"""Near copies by exact Jaccard similarity of five-word shingles, for the pipeline: SimHash first, then what it cannot reach.
 
-Candidates share one of 32 band keys, each made of 4 of a text's 128 min-hashes. A pair of similarity s is missed with
+The Gray-order index of ``simhash`` finds texts whose five-word fingerprints differ in at most 3 bits; each is held
+against one text of its group, whole shingle set against whole shingle set. At a similarity of 0.8 fingerprints differ
+in about 10 of 64 bits, up to 17 in one of a hundred pairs, and no index of 64 bits can look that far; so for the other pairs
+candidates share one of 32 band keys, each made of 4 of a text's 128 min-hashes. A pair of similarity s is missed with
 probability (1 - s^4)^32, which is 5e-8 at 0.8 and less above. Every candidate is then verified on the whole shingle
 sets, so nothing below the threshold is linked.
 
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lagloom.llm.arrow import Columns, arrow_schema, map_columns, slices
 from lagloom.llm.decontaminate import small
-from lagloom.llm.simhash import _LOWER, EDGES, components
+from lagloom.llm.simhash import _LOWER, EDGES, components, fingerprint, links
 from lagloom.sources.shared import keep
 
 WORDS, BANDS, EACH, SEED = 5, 32, 4, 42
@@ -91,12 +94,23 @@ def _fits(x: str, y: str) -> F.Column:
     return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
 
 
+def by_simhash(signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Verified edges (a, b) among texts that SimHash groups: each text against that of the smallest node of its group."""
+    nodes = signed.select("node", "size", "fp")
+    groups = components(links(nodes.select("fp").distinct()))
+    grouped = keep(nodes.join(groups.select(F.col("node").alias("fp"), "root"), "fp", "left").select("node", "size", F.coalesce("root", "fp").alias("root")), "groups")
+    heads = grouped.groupBy("root").agg(F.min(F.struct("node", "size")).alias("head"), F.count("*").alias("n")).filter("n > 1").select("root", F.col("head.node").alias("b"), F.col("head.size").alias("s"))
+    pairs = grouped.join(heads, "root").filter("node > b").filter(_fits("size", "s")).select(F.col("node").alias("a"), "b")
+    return _verified(keep(pairs, "pairs"), texts)
+
+
 def roots(signed: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) for nodes with a near copy. ``signed``: node, size, bands, a row for each node; ``texts``: node, text."""
+    """(node, root) for nodes with a near copy. ``signed``: node, size, fp, bands, a row for each node; ``texts``: node, text."""
     rows = signed.select("node", "size", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    held = keep(rows.join(shared, "band").withColumn("root", F.col("node")), "bands")
-    edges = named = None
+    edges = by_simhash(signed, texts)
+    named = keep(components(edges), "roots")
+    held = keep(rows.join(shared, "band").join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "bands")
     turn = 0
     while True:
         # Bands whose members lie in several components, each with the member of least hash in this turn.
@@ -112,9 +126,8 @@ def roots(signed: DataFrame, texts: DataFrame) -> DataFrame:
             x = mixed.select("band", F.col("node").alias("a"), F.col("size").alias("s"), F.col("root").alias("r"))
             pairs = x.join(mixed, "band").filter(F.col("a") > F.col("node")).filter(F.col("r") != F.col("root")).filter(_fits("size", "s"))
             new = _verified(keep(pairs.select("a", F.col("node").alias("b")).distinct(), "pairs"), texts)
-            edges = new if edges is None else edges.unionByName(new)
-            return components(edges)
-        edges = new if edges is None else edges.unionByName(new)
+            return components(edges.unionByName(new))
+        edges = edges.unionByName(new)
         if found:
             named = keep(components(edges), "roots")
             held = held.drop("root").join(named, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -135,13 +148,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def make():
         def sign(c: Columns) -> Columns:
             sets = [shingles(t) for t in c["text"]]
-            return {"id": c["id"], "row_key": c["row_key"], "node": c["node"], "size": [len(x) for x in sets], "bands": [bands(x) for x in sets]}
+            return {"id": c["id"], "row_key": c["row_key"], "node": c["node"], "size": [len(x) for x in sets], "fp": [fingerprint(t, WORDS) for t in c["text"]], "bands": [bands(x) for x in sets]}
 
         return sign
 
-    signed = map_columns(docs.select(F.col(id_col).cast("long").alias("id"), key.alias("row_key"), F.xxhash64(text).alias("node"), text.alias("text")), make, "id long, row_key long, node long, size long, bands array<long>")
+    signed = map_columns(docs.select(F.col(id_col).cast("long").alias("id"), key.alias("row_key"), F.xxhash64(text).alias("node"), text.alias("text")), make, "id long, row_key long, node long, size long, fp long, bands array<long>")
     signed = keep(signed, "signed")
-    one = keep(signed.groupBy("node").agg(F.first("size").alias("size"), F.first("bands").alias("bands")), "distinct")
+    one = keep(signed.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
     named = keep(roots(one, texts), "roots")
     rows = signed.groupBy("row_key").agg(F.first("node").alias("node"), F.first("id").alias("id"), F.count("*").alias("n"))
     rows = keep(rows.join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "rows")
