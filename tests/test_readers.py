@@ -9,6 +9,8 @@ from xml.sax.saxutils import escape
 import pytest
 from pyspark.sql import functions as F
 
+from lagloom import schemas
+from lagloom.operators import audit, experiments
 from lagloom.sources import files, shared, sinks, web
 
 
@@ -230,3 +232,38 @@ def test_kept_tables_are_cleared(spark):
 def test_percent_column_keeps_its_point(spark, tmp_path):
     (tmp_path / "q.csv").write_text("d,p,o,h,l,v,c\n05.01.2024,\"1.234,5\",1,1,1,1K,0.25%\n", encoding="utf-8")
     assert [r["change_pct"] for r in files.local_quotes(spark, str(tmp_path), {"q.csv": "Q"}).collect()] == [0.25]
+
+
+def test_stored_logs_feed_the_analytics(spark):
+    """Experiments and telemetry in their stored form, through audit, statistics and summaries."""
+    blank = dict.fromkeys(schemas.EXPERIMENTS.fieldNames())
+    own = [blank | {"id": i, "session_id": "s", "iteration": i, "hypothesis": "h", "sql_final": "SELECT usd_rub AS dxy", "confirmed": c, "signal_score": 80, "lag_days": 0, "sql_attempts": 2, "sql_success": 1, "sql_v1_error": "Binder Error", "sql_v1_error_type": "binder"} for i, c in ((1, 1), (2, 0), (3, None))]
+    log = schemas.log_of(spark.createDataFrame([tuple(r[n] for n in blank) for r in own], schemas.EXPERIMENTS))
+    rates = audit.run(log).rates.first()
+    assert (rates["total"], rates["confirmed_raw"], rates["clean_confirmed"], rates["aliasing"]) == (3, 1, 0, 1)
+    assert [tuple(r) for r in experiments.error_types(log, ["error_type_1", "error_type_2", "error_type_3"]).collect()] == [("binder", 3)]
+    m = experiments.session_metrics(log).first()
+    assert (m["confirmed"], m["rejected"], m["partial"], m["avg_score"], m["sql_error_rate"], m["max_chain"]) == (1, 1, 1, 80.0, 0.0, 1)
+    t = dict.fromkeys(schemas.TELEMETRY.fieldNames(), None) | {"session_id": "s", "iteration": 1, "lag_days": 7, "t_total_ms": 1500, "tok_session_total": 11, "t_rag_ms": 3, "sql_attempts": 2}
+    s = experiments.session_summary(schemas.times_of(spark.createDataFrame([tuple(t.values()), tuple((t | {"t_total_ms": 500, "sql_attempts": 1}).values())], schemas.TELEMETRY)), {"avg_rag_ms": "ms_rag"}).first()
+    assert (s["iterations"], s["total_wall_s"], s["avg_iter_s"], s["total_tokens"], s["avg_rag_ms"], s["lag_distribution"], s["sql_repair_rate"]) == (2, 2.0, 1.0, 22, 3.0, "7:2", 50.0)
+
+
+def test_refreshes_appends_and_views(spark, tmp_path):
+    a, b = spark.createDataFrame([(1, "x")], "n int, s string"), spark.createDataFrame([(2, None)], "n int, s string")
+    sinks.full_refresh(a, str(tmp_path / "t"))
+    sinks.full_refresh(b, str(tmp_path / "t"))
+    assert rows(spark.read.parquet(str(tmp_path / "t")), "n", "s") == [(2, None)]
+    for df in (a, b):
+        sinks.append_json(df, str(tmp_path / "j"))
+    assert rows(files.json_lines(spark, str(tmp_path / "j"), "n int, s string"), "n", "s") == [(1, "x"), (2, None)]
+    assert [json.loads(r[0]) for r in sinks.json_rows(b).collect()] == [{"n": 2, "s": None}]
+    sinks.views(spark, {"one_a": a, "one_b": b})
+    assert spark.sql("SELECT count(*) FROM one_a JOIN one_b ON true").first()[0] == 1
+
+
+def test_runs_are_inserted_once(spark, tmp_path):
+    runs = spark.sql("SELECT 's' AS session, 1 AS iteration, array(named_struct('sql', 'a', 'error', 'e', 'error_type', 't')) AS attempts UNION ALL SELECT 's', 2, null")
+    for _ in range(2):
+        experiments.insert(runs, str(tmp_path / "e"))
+    assert rows(spark.read.parquet(str(tmp_path / "e")), "iteration", "sql_attempts", "error_type_1") == [(1, 1, "t"), (2, 0, None)]
