@@ -26,5 +26,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    for name in ("signals", "data", "runs"):
+    for name in ("signals", "data", "runs", "trips"):
         import_module(f"lagloom.plans.{name}")

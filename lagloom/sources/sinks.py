@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -117,3 +120,42 @@ def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]],
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(vectors, out.field("embedding").type)], schema=out)
 
     return chunks.mapInArrow(run, schema)
+
+
+def _letters(k: int) -> str:
+    return chr(65 + k) if k < 26 else _letters(k // 26 - 1) + chr(65 + k % 26)
+
+
+def spreadsheet(sheets: dict[str, list[list]], shared_strings: bool = True) -> bytes:
+    """An Office Open XML file of sheets (name -> rows of numbers, texts and None), by the standard library."""
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    strings: dict[str, int] = {}
+
+    def cell(row: int, k: int, v: object) -> str:
+        at = f'r="{_letters(k)}{row + 1}"'
+        if isinstance(v, (int, float)):
+            return f"<c {at}><v>{v!r}</v></c>"
+        if not shared_strings:
+            return f'<c {at} t="inlineStr"><is><t>{escape(str(v))}</t></is></c>'
+        return f'<c {at} t="s"><v>{strings.setdefault(str(v), len(strings))}</v></c>'
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        names = "".join(f'<sheet name={quoteattr(n)} sheetId="{i + 1}" r:id="rId{i + 1}"/>' for i, n in enumerate(sheets))
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{names}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="rId{i + 1}" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
+        for i, rows in enumerate(sheets.values()):
+            data = "".join(f'<row r="{n + 1}">{"".join(cell(n, k, v) for k, v in enumerate(row) if v is not None)}</row>' for n, row in enumerate(rows) if any(v is not None for v in row))
+            z.writestr(f"xl/worksheets/sheet{i + 1}.xml", f'<worksheet xmlns="{main}"><sheetData>{data}</sheetData></worksheet>')
+        if strings:
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">{"".join(f"<si><t>{escape(x)}</t></si>" for x in strings)}</sst>')
+    return out.getvalue()
+
+
+def archive(files: dict[str, bytes]) -> bytes:
+    """A zip file of files."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in files.items():
+            z.writestr(name, content)
+    return out.getvalue()

@@ -4,7 +4,6 @@ import json
 import sqlite3
 import zipfile
 from urllib.parse import parse_qs, urlparse
-from xml.sax.saxutils import escape
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,34 +13,8 @@ from lagloom.operators import audit, experiments
 from lagloom.sources import files, shared, sinks, web
 
 
-def column(k):
-    return chr(65 + k) if k < 26 else column(k // 26 - 1) + column(k % 26)
-
-
 def xlsx(path, sheets, shared_strings=True):
-    """A minimal Office Open XML file: numbers as numbers, text shared or inline, None left out."""
-    strings, parts = [], []
-
-    def cell(k, i, v):
-        at = f'r="{column(k)}{i + 1}"'
-        if isinstance(v, (int, float)):
-            return f"<c {at}><v>{v}</v></c>"
-        if not shared_strings:
-            return f'<c {at} t="inlineStr"><is><t>{escape(v)}</t></is></c>'
-        strings.append(v)
-        return f'<c {at} t="s"><v>{len(strings) - 1}</v></c>'
-
-    for rows in sheets.values():
-        data = "".join(f'<row r="{i + 1}">{"".join(cell(k, i, v) for k, v in enumerate(row) if v is not None)}</row>' for i, row in enumerate(rows) if any(v is not None for v in row))
-        parts.append(f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{data}</sheetData></worksheet>')
-    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    with zipfile.ZipFile(path, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{"".join(f"""<sheet name="{escape(n)}" sheetId="{i + 1}" r:id="rId{i + 1}"/>""" for i, n in enumerate(sheets))}</sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="rId{i + 1}" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
-        for i, part in enumerate(parts):
-            z.writestr(f"xl/worksheets/sheet{i + 1}.xml", part)
-        if shared_strings:
-            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">{"".join(f"<si><t>{escape(s)}</t></si>" for s in strings)}</sst>')
+    path.write_bytes(sinks.spreadsheet(sheets, shared_strings))
 
 
 def rows(df, *names):
