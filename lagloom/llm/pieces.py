@@ -3,7 +3,8 @@
 A byte-pair tokenizer with a regular-expression pre-tokenizer never merges across a boundary of pre-tokens, and no
 pre-token of the supported kinds holds a space after another character. A text may therefore be cut before every
 space that follows a character other than white space, each piece encoded alone, and the ids joined. Pieces recur, so
-their ids are remembered per worker (at most ``limit`` pieces; beyond it they are encoded anew, with the same ids).
+their ids are remembered per worker (at most ``limit`` pieces of at most 64 characters, so a bounded number of bytes; others
+are encoded anew, with the same ids).
 Tokenizers of any other kind get the whole text in one call.
 """
 
@@ -18,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Characters of a piece that is worth remembering.
+LONGEST = 64
 _CUT = re.compile(r"(?<=\S) ")
 
 
@@ -99,7 +102,7 @@ class PieceEncoder:
             got[i] = ids
         room = self.limit - len(self.words)
         if room > 0:
-            self.words.update((pieces[i], got[i]) for i in many[:room])
+            self.words.update([(pieces[i], got[i]) for i in many if len(pieces[i]) <= LONGEST][:room])
         return got
 
     def _careful(self, text: str) -> bytes:
