@@ -6,8 +6,8 @@ most 3 bits are linked, and components of links are the near-duplicate groups.
 Search. If two fingerprints differ in at most 3 of some free bits and those are split into 4 blocks, they agree on
 one block. Distinct fingerprints are therefore dealt into groups of equal block values; a group of more than
 ``GROUP`` members is dealt again by 4 blocks of the bits that are still free, so no task gets an unbounded group and
-no link is lost. Each level fixes a quarter of the free bits (64, 48, 36, 27, 20, 15, 11, 8), and 8 free bits allow 256
-distinct members, so that no group is dealt more than 7 times. A group is sorted by Gray rank, which puts fingerprints of few differences next to each other. Runs
+no link is lost. Each deal fixes a quarter of the free bits; after 7 of them at most 9 are free, and 9 bits allow no
+more than 512 distinct members, so nothing is dealt more than 7 times. A group is sorted by Gray rank, which puts fingerprints of few differences next to each other. Runs
 of 8 form nodes, 8 nodes an upper node; a node keeps the bits on which all below it agree (mask and pattern). Two
 nodes are compared by their shared masked bits, and both groups below are pruned as soon as those differ in more than
 3 places. A group returns a spanning forest of its links, not its pairs.
