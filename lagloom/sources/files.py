@@ -61,7 +61,7 @@ def zip_indices(spark: SparkSession, path: str) -> DataFrame:
         at = next((i for i, x in enumerate(lines) if x.startswith("BOARDID")), None)
         if at is None:
             return pd.DataFrame({c: [] for c in order})
-        t = pd.read_csv(io.StringIO("\n".join(lines[at:])), sep=";", decimal=",").rename(columns=names)
+        t = pd.read_csv(io.StringIO("\n".join(lines[at:])), sep=";", decimal=",", float_precision="round_trip").rename(columns=names)
         t["ticker"] = re.split(r"[_.]", file.rsplit("/", 1)[-1])[0]
         t["trade_date"] = pd.to_datetime(t["trade_date"], dayfirst=True, errors="coerce").dt.date
         for c in order:
