@@ -62,7 +62,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null or empty text is a piece of its end id alone; null ids and repeated rows each keep their pieces; an empty
     table gives no rows.
     """
-    return packing.pack(docs, "word_bpe_49k.json")
+    # Workers serve all stages: fewer words than op4 remembers leave room for the others.
+    return packing.pack(docs, "word_bpe_49k.json", remembered=100_000)
 
 
 STAGES = [
