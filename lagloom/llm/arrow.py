@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -25,6 +27,33 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int, most_bytes: int = 1 <<
             yield batch.slice(at, step)
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, most_bytes: int = 1 << 22) -> DataFrame:
+    """``df.mapInArrow`` with Arrow batches of at most ``most_bytes``.
+
+    The JVM and Python both hold a batch, and Spark's own bound of 64 MB makes that a large part of an executor of several
+    cores. A lower bound that the session has stays; else its setting is lowered.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"-?\d+", conf.get(key))[0]) not in range(1, most_bytes + 1):
+        conf.set(key, str(most_bytes))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _hand_back()
+
+    return df.mapInArrow(whole, schema)
+
+
+def _hand_back() -> None:
+    """Free memory goes back to the system: Python workers live on between stages, and their neighbours need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_columns(df: DataFrame, make: Callable[[], Callable[[Columns], Columns]], schema: str, rows: int = 256) -> DataFrame:
     """Rows by a function of columns (name -> list). ``make`` is called once in each task and gives that function."""
     out = arrow_schema(schema)
@@ -34,7 +63,7 @@ def map_columns(df: DataFrame, make: Callable[[], Callable[[Columns], Columns]],
         for piece in slices(batches, rows):
             yield pa.RecordBatch.from_pydict(f(piece.to_pydict()), schema=out)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def map_text(df: DataFrame, make: Callable[[], Callable[[list], list]], text_col: str, chars_col: str = "n_chars", rows: int = 256) -> DataFrame:
@@ -53,4 +82,4 @@ def map_text(df: DataFrame, make: Callable[[], Callable[[list], list]], text_col
                 piece = piece.set_column(n, piece.schema.field(n), pa.array(sizes, piece.schema.field(n).type))
             yield piece
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)

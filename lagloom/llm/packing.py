@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lagloom.llm.arrow import Columns, arrow_schema, map_columns, slices
+from lagloom.llm.arrow import Columns, arrow_schema, map_batches, map_columns, slices
 from lagloom.llm.pieces import encoder
 from lagloom.sources.shared import keep
 
@@ -74,13 +74,13 @@ def plan_bins(lengths: dict[int, int], capacity: int) -> list[tuple[int, list[tu
     return plan
 
 
-def _pieces(name: str, end_id: int, capacity: int):
+def _pieces(name: str, end_id: int, capacity: int, remembered: int):
     out = arrow_schema(PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ranks, end = TaskContext.get().partitionId(), Counter(), np.asarray([end_id], "<u4").tobytes()
         for some in slices(batches, 1024):
-            all_ids, at = encoder(name).encode_array(some.column(1))
+            all_ids, at = encoder(name, remembered).encode_array(some.column(1))
             rows = []
             for doc, i, j in zip(some.column(0).to_pylist(), at[:-1], at[1:], strict=True):
                 ids = all_ids[i:j].tobytes() + end
@@ -125,16 +125,17 @@ def _place(places: dict[int, tuple[np.ndarray, ...]]):
     return lambda: place
 
 
-def pack(docs: DataFrame, name: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, name: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", remembered: int = 400_000) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text is empty: one piece with the end id alone. Only documents of more than ``capacity`` tokens are cut.
     Repeated rows and repeated or null ids are packed like any other row. An empty table gives no rows. Other columns
     of ``docs`` are not read. Which of two pieces of equal length goes into which bin is left to the order of input.
+    ``remembered`` bounds the words whose ids a worker remembers: fewer take less memory and more time.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = keep(texts.mapInArrow(_pieces(name, end_id, capacity), PIECES), "pieces")
+    pieces = keep(map_batches(texts, _pieces(name, end_id, capacity, remembered), PIECES), "pieces")
     # How many pieces of a length the tasks before held: one row a task and length, however many documents there are.
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     base = counts.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("base"))

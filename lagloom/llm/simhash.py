@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.arrow import Columns, arrow_schema, map_columns, slices
+from lagloom.llm.arrow import Columns, arrow_schema, map_batches, map_columns, slices
 from lagloom.sources.shared import keep
 
 GROUP, FAN, ALL = 512, 8, np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -150,7 +150,7 @@ def _deal(rows: DataFrame) -> DataFrame:
                     out["gray"].append(gray[own])
             yield pa.RecordBatch.from_pydict({c: np.concatenate(v) for c, v in out.items()}, schema=schema)
 
-    return rows.mapInArrow(run, _ROWS)
+    return map_batches(rows, run, _ROWS)
 
 
 def _within(groups: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def _within(groups: DataFrame) -> DataFrame:
         if len(keys):
             yield edges(keys, fps)
 
-    return groups.repartition("key").sortWithinPartitions("key", "gray").select("key", "fp").mapInArrow(run, EDGES)
+    return map_batches(groups.repartition("key").sortWithinPartitions("key", "gray").select("key", "fp"), run, EDGES)
 
 
 def links(distinct: DataFrame) -> DataFrame:

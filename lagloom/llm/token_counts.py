@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.arrow import arrow_schema, slices
+from lagloom.llm.arrow import arrow_schema, map_batches, slices
 from lagloom.llm.pieces import encoder, vocabulary
 from lagloom.llm.decontaminate import small
 from lagloom.sources.shared import keep, new_path, shared_dir
@@ -85,7 +85,7 @@ def count_tokens(docs: DataFrame, name: str, cache: str | None = None, limit: in
         # One text a digest: copies meet in the map-side part already, so a hot text crosses the shuffle once a task.
         first = keyed.groupBy("digest").agg(F.min("text").alias("text"))
         first = first if few is not misses else first.join(misses.hint("merge"), "digest", "left_semi")
-        counted = first.mapInArrow(_count(name), COUNTED).withColumn("version", F.lit(version))
+        counted = map_batches(first, _count(name), COUNTED).withColumn("version", F.lit(version))
         counted.write.mode("append").partitionBy("version").parquet(path)
     counts = stored(spark, path, version)
     # Left outer, so that a hot digest's rows can be split among tasks (the counts have one row a digest).

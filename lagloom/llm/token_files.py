@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.arrow import Columns, arrow_schema, map_columns, slices
+from lagloom.llm.arrow import Columns, arrow_schema, map_batches, map_columns, slices
 from lagloom.llm.pieces import encoder
 from lagloom.llm.rans import Coder, quantise
 from lagloom.sources.shared import drop, new_path
@@ -105,7 +105,7 @@ def write_tokens(docs: DataFrame, path: str, name: str, end_id: int, id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     ranged = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     raw = new_path(spark, "ids")
-    ranged.mapInArrow(_frames(name, end_id), RAW).write.parquet(raw)
+    map_batches(ranged, _frames(name, end_id), RAW).write.parquet(raw)
     frames = spark.read.schema(RAW).parquet(raw)
     # At most one row per vocabulary entry: bounded by the tokenizer, whatever the corpus.
     counts = frames.select("ids").mapInPandas(_histogram, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lagloom.llm.arrow import arrow_schema, slices
+from lagloom.llm.arrow import arrow_schema, map_batches, slices
 from lagloom.llm.decontaminate import small
 from lagloom.sources.shared import keep
 
@@ -111,7 +111,7 @@ def build_index(vectors: DataFrame, pivots: int = 64, sample: int = 4096, id_col
     got = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(64, min(sample, (1 << 22) // max(1, width)))).collect()
     known = floored([r["embedding"] for r in got], width)
     index = Index(None, width, longest2, choose_pivots(known, longest2, pivots), known, np.asarray([r["vec_id"] for r in got], np.int64))
-    index.parts = keep(_sorted(rows, index).mapInArrow(_annuli(index.facts()), PARTS), "annuli")
+    index.parts = keep(map_batches(_sorted(rows, index), _annuli(index.facts()), PARTS), "annuli")
     return index
 
 
@@ -128,7 +128,7 @@ def _sorted(rows: DataFrame, index: Index, scaled: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"pivot": near.astype(np.int32), "dist": d[np.arange(len(x)), near], "vec_id": c["vec_id"], "vec": [v.tobytes() for v in x]}, schema=schema)
 
     # Ranges over (pivot, distance, id): one frequent pivot, or one frequent vector, is spread over many ranges.
-    return rows.mapInArrow(key, KEYED).repartitionByRange("pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id")
+    return map_batches(rows, key, KEYED).repartitionByRange("pivot", "dist", "vec_id").sortWithinPartitions("pivot", "dist", "vec_id")
 
 
 def _tail(x: np.ndarray, facts: dict) -> np.ndarray:
@@ -218,7 +218,7 @@ def _cells(index: Index) -> tuple[np.ndarray, list[np.ndarray]]:
         if grps:
             yield pa.RecordBatch.from_pydict({"cell": [grps[0]], "grps": [grps], "bounds": [bounds.tobytes()]}, schema=out)
 
-    got = parts.repartitionByRange("grp").sortWithinPartitions("grp").mapInArrow(merge, schema).toArrow().to_pydict()
+    got = map_batches(parts.repartitionByRange("grp").sortWithinPartitions("grp"), merge, schema).toArrow().to_pydict()
     bounds = np.asarray([np.frombuffer(b) for b in got["bounds"]]).reshape(len(got["bounds"]), 2 * width + 2)
     return bounds, [np.asarray(g, np.int64) for g in got["grps"]]
 
@@ -306,11 +306,11 @@ def _search(facts: dict, k: int):
 
 def search(index: Index, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
     """The table of what was found, a superset of the k best of each query, with the numbers of products made."""
-    blocks = keep(_sorted(queries, index, scaled=True).mapInArrow(_sent(index, k, block), PARTS), "blocks")
+    blocks = keep(map_batches(_sorted(queries, index, scaled=True), _sent(index, k, block), PARTS), "blocks")
     asked = index.parts.join(small(blocks.select("grp").distinct()), "grp", "left_semi")
     # Each vector is read and shuffled once, each query once for each group that may hold one of its best.
     both = asked.select(*blocks.columns).unionByName(blocks)
-    return keep(both.repartition("grp").sortWithinPartitions("grp", "kind").mapInArrow(_search(index.facts(), k), FOUND), "found")
+    return keep(map_batches(both.repartition("grp").sortWithinPartitions("grp", "kind"), _search(index.facts(), k), FOUND), "found")
 
 
 def share_made(found: DataFrame, index: Index, queries: DataFrame) -> float:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm.arrow import Columns, map_columns, slices
+from lagloom.llm.arrow import Columns, map_batches, map_columns, slices
 
 BUCKETS = 1 << 18
 _TERM = re.compile(r"[^\W_]+")
@@ -36,14 +36,14 @@ def term_buckets(text: str | None, known: dict[str, tuple[int, ...]]) -> np.ndar
     """Sorted buckets of the distinct lower-cased words, and of their beginnings (4 to 7 letters of a longer word).
 
     Beginnings carry a stem across its endings; they differ from a word that is as long. A beginning of two distinct
-    words, and of four, has further buckets: one such word may be chance. ``known`` remembers at most 200,000 words.
+    words, and of four, has further buckets: one such word may be chance. ``known`` remembers at most 50,000 words.
     """
     own: list[int] = []
     for word in set(_TERM.findall((text or "").lower())):
         at = known.get(word)
         if at is None:
             at = (_bucket(word), *(_bucket(word[:k] + "-") for k in range(4, min(8, len(word)))))
-            if len(known) < 200_000:
+            if len(known) < 50_000:
                 known[word] = at
         own += at
     met, counts = np.unique(np.asarray(own, np.int64), return_counts=True)
@@ -110,9 +110,10 @@ def train(terms: list[np.ndarray], labels: np.ndarray, features: int = 2048, ran
     starts = np.cumsum(sizes) - sizes
     rng = np.random.default_rng(seed)
     # Factors lie by rank first, so that each is one contiguous array.
-    w, v = np.zeros(len(seen)), (rng.normal(0, 0.02, (len(seen), rank)) * np.sqrt(rates / rate)[:, None]).T.copy()
+    w = np.zeros(len(seen))
+    v = np.stack([rng.normal(0, 0.02, len(seen)) * np.sqrt(rates / rate) for _ in range(rank)]).astype(np.float32) if rank else np.zeros((0, len(seen)), np.float32)
     bias = float(np.log(y.mean() / (1 - y.mean())))
-    gw, gv, gb = np.full(len(w), 1e-4), np.full(v.shape, 1e-4), 1e-2
+    gw, gv, gb = np.full(len(w), 1e-4), np.full(v.shape, 1e-4, np.float32), 1e-2
     at = np.zeros(len(seen), np.int64)
     for _ in range(steps):
         own = rng.integers(0, n, 128)
@@ -171,10 +172,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 12_000, id_col: str =
 
     rows = map_columns(texts, make, "doc_id long, y int, terms array<int>").groupBy("doc_id", "y").agg(F.min("terms").alias("terms"))
     # Arrays stay in Arrow's buffers: as Python lists the terms of the sample would take ten times the memory.
-    got = rows.toArrow().combine_chunks().sort_by("doc_id")
-    terms = pa.chunked_array(got.column("terms")).combine_chunks()
-    values, at = np.asarray(terms.values), np.asarray(terms.offsets)
-    return train([values[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], np.asarray(got.column("y")))
+    got = rows.orderBy("doc_id").toArrow()
+    # Views into Arrow's own buffers, a chunk after the other.
+    own = [(np.asarray(c.values), np.asarray(c.offsets)) for c in got.column("terms").chunks]
+    return train([values[i:j] for values, at in own for i, j in zip(at[:-1], at[1:], strict=True)], np.asarray(got.column("y")))
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,7 +213,7 @@ def keep_clean(docs: DataFrame, machine: Machine, text_col: str = "text") -> Dat
             texts = piece.column(piece.schema.get_field_index(text_col)).to_pylist()
             yield piece.filter(pa.array(machine.score([term_buckets(t, seen) for t in texts]) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

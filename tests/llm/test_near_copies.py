@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from lagloom.llm import near_copies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -75,3 +76,64 @@ def test_texts_that_share_an_id_are_judged_apart(spark):
     rows = [(1, one), (2, one), (2, two), (3, two), (4, three), (4, three), (None, one), (None, "a text of its own without an id")]
     got = sorted(((r["doc_id"] or 0), r["text"]) for r in stage(spark, rows).collect())
     assert got == sorted([(1, one), (2, two), (4, three), (0, "a text of its own without an id")])
+
+
+def test_texts_that_share_a_passage_only(spark, monkeypatch):
+    """Common keys are cut into blocks; the near copies among them are found all the same."""
+    monkeypatch.setattr(near_copies, "WHOLE", 7)
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for k in range(80):
+        own = [f"o{k}x{i}" for i in range(25)]
+        rows.append((len(rows), " ".join(own + passage)))
+        if k % 8 == 0:
+            for p in rng.sample(range(25), 1):
+                own[p] = "changed"
+            rows.append((len(rows), " ".join(own + passage)))
+    want, links = slow_kept(rows)
+    assert links >= 20 and 70 < len(want) < len(rows)
+    assert sorted(r["doc_id"] for r in stage(spark, rows).collect()) == sorted(want)
+
+
+def test_a_key_in_blocks_gives_the_pairs_of_the_whole(spark, monkeypatch):
+    """Pairs of different components with likely signatures, once each, and none within the largest component."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (4, 128), np.uint8)
+    rows, signed = [], []
+    for n in range(60):
+        own = base[n % 4].copy()
+        own[rng.choice(128, int(rng.integers(0, 60)), replace=False)] = 7
+        rows.append((1, n, int(rng.integers(80, 130)), 0 if n % 3 else n))
+        signed.append((n, bytearray(own.tobytes())))
+    held, signed_df = spark.createDataFrame(rows, "band long, node long, size long, root long"), spark.createDataFrame(signed, "node long, sketch binary")
+    want = set()
+    for _, a, s, r in rows:
+        for _, b, t, q in rows:
+            same = sum(x == y for x, y in zip(signed[a][1], signed[b][1], strict=True))
+            if a > b and r != q and same >= near_copies.AGREE and 5 * min(s, t) >= 4 * max(s, t):
+                want.add((a, b))
+    assert len(want) > 20
+    for whole in (4096, 9):
+        monkeypatch.setattr(near_copies, "WHOLE", whole)
+        got = [tuple(r) for r in near_copies._outside(held, signed_df).collect()]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(1, "a b c d e f", "k1", True, 5), (1, "a b c d e f", "k1", True, 5), (2, "a b c d e f", "k2", False, 6), (3, "other words", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row_key string, twice boolean, band long")
+    assert sorted(map(tuple, near_copies.keep_first(df).collect()), key=str) == [rows[0], rows[3]]
+
+
+def test_signatures_agree_as_sets_do():
+    """Lowest bytes of min-hashes agree in a share of about the similarity; at 0.8 far more than must."""
+    rng = np.random.default_rng(2)
+    for n in (5, 40, 400):
+        for _ in range(20):
+            a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+            b = np.unique(np.concatenate([a[: int(0.89 * len(a))], rng.integers(0, 1 << 64, n - int(0.89 * n), np.uint64)]))
+            x, y = (np.frombuffer(near_copies.signature(s)[1], np.uint8) for s in (a, b))
+            j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            assert abs((x == y).mean() - j) < 0.25
+            assert j < 0.79 or (x == y).sum() > near_copies.AGREE
