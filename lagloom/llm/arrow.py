@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -27,15 +27,19 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int, most_bytes: int = 1 <<
             yield batch.slice(at, step)
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType, most_bytes: int = 1 << 22) -> DataFrame:
-    """``df.mapInArrow`` with Arrow batches of at most ``most_bytes``.
+def small_batches(spark: SparkSession, most_bytes: int = 1 << 22) -> None:
+    """Bound the session's Arrow batches, unless it has a lower bound.
 
     The JVM and Python both hold a batch, and Spark's own bound of 64 MB makes that a large part of an executor of several
-    cores. A lower bound that the session has stays; else its setting is lowered.
+    cores that also joins and sorts.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.match(r"-?\d+", conf.get(key))[0]) not in range(1, most_bytes + 1):
-        conf.set(key, str(most_bytes))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match(r"-?\d+", spark.conf.get(key))[0]) not in range(1, most_bytes + 1):
+        spark.conf.set(key, str(most_bytes))
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """``df.mapInArrow``, after whose tasks a worker hands free memory back."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
