@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lagloom.llm import decontaminate, near_copies, packing, secrets, toxicity
+from lagloom.llm.arrow import small_batches
 from lagloom.sources.shared import keep
 
 
@@ -25,6 +26,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     repeated rows are judged by their texts; without labels every row has the score 0.5 and none would stay, so then all
     stay; an empty table gives no rows.
     """
+    small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = toxicity.fit(docs, labels.filter(toxicity.crc_mod("doc_id", 5) != 0))
     return toxicity.keep_clean(docs, machine)
@@ -36,6 +38,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows are keyed by id and text: texts that share an id are judged apart, of rows equal in both one stays, rows without
     an id come last. Null, empty and blank texts are copies of each other; an empty table gives no rows.
     """
+    small_batches(spark)
     return near_copies.keep_first(docs)
 
 
@@ -53,6 +56,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null texts stay null, texts without a secret stay as they are; null ids and repeated rows stay.
     """
+    small_batches(spark)
     return secrets.redact_secrets(docs)
 
 
@@ -62,6 +66,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A null or empty text is a piece of its end id alone; null ids and repeated rows each keep their pieces; an empty
     table gives no rows.
     """
+    small_batches(spark)
     # Workers serve all stages: fewer words than op4 remembers leave room for the others.
     return packing.pack(docs, "word_bpe_49k.json", remembered=100_000)
 
