@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lagloom.llm.cascade import OP11_SQL, op11_cascading_release
 from lagloom.llm.decontaminate import OP3_SQL, op3_benchmark_decontamination
 from lagloom.llm.html_text import op10_html_extraction
 from lagloom.llm.language import op6_language_id
@@ -26,8 +27,9 @@ QUERIES = {
         op8_secret_scans,
         op9_toxicity,
         op10_html_extraction,
+        op11_cascading_release,
     )
 }
 
 #: Where SQL can state a result. The others are tested against brute force in tests/llm.
-ORACLE_SQL = {"op3_benchmark_decontamination": OP3_SQL, "op7_exact_topk": OP7_SQL}
+ORACLE_SQL = {"op3_benchmark_decontamination": OP3_SQL, "op7_exact_topk": OP7_SQL, "op11_cascading_release": OP11_SQL}
