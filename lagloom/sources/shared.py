@@ -55,7 +55,15 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
+
+
+def discard(*kept: DataFrame) -> None:
+    """Delete tables that ``keep`` has written and nothing reads any more."""
+    for df in kept:
+        drop(df.sparkSession, df._kept_at)
 
 
 def drop(spark: SparkSession, path: str) -> None:
