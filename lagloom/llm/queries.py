@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lagloom.llm.cascade import OP11_SQL, op11_cascading_release
+from lagloom.llm.collocations import OP12_SQL, op12_phrase_collocations
 from lagloom.llm.decontaminate import OP3_SQL, op3_benchmark_decontamination
 from lagloom.llm.html_text import op10_html_extraction
 from lagloom.llm.language import op6_language_id
@@ -28,8 +29,9 @@ QUERIES = {
         op9_toxicity,
         op10_html_extraction,
         op11_cascading_release,
+        op12_phrase_collocations,
     )
 }
 
 #: Where SQL can state a result. The others are tested against brute force in tests/llm.
-ORACLE_SQL = {"op3_benchmark_decontamination": OP3_SQL, "op7_exact_topk": OP7_SQL, "op11_cascading_release": OP11_SQL}
+ORACLE_SQL = {"op3_benchmark_decontamination": OP3_SQL, "op7_exact_topk": OP7_SQL, "op11_cascading_release": OP11_SQL, "op12_phrase_collocations": OP12_SQL}
