@@ -7,6 +7,7 @@ from lagloom.llm.collocations import OP12_SQL, op12_phrase_collocations
 from lagloom.llm.decontaminate import OP3_SQL, op3_benchmark_decontamination
 from lagloom.llm.html_text import op10_html_extraction
 from lagloom.llm.language import op6_language_id
+from lagloom.llm.minhash import op13_minhash_near_dedup
 from lagloom.llm.packing import op4_best_fit_packing
 from lagloom.llm.secrets import op8_secret_scans
 from lagloom.llm.simhash import op5_simhash_near_dedup
@@ -30,6 +31,7 @@ QUERIES = {
         op10_html_extraction,
         op11_cascading_release,
         op12_phrase_collocations,
+        op13_minhash_near_dedup,
     )
 }
 
