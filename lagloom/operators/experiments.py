@@ -1,21 +1,18 @@
 """Analytics over run logs: one row per iteration of a session.
 
 Columns: session, iteration, hypothesis, confirmed (true, false, null for partial), score, lag, attempts, errors of the
-attempts, timings and tokens. Windows are partitioned by session, so a log of many sessions spreads over tasks.
+attempts, timings and tokens. What runs over a session's order is a two-level scan (``prefix``): one session may be the whole log.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.functions import fixed
 from lagloom.functions.stats import r4
-
-
-def _order() -> WindowSpec:
-    return Window.partitionBy("session").orderBy("iteration")
+from lagloom.operators import prefix
 
 
 def outcome_counts() -> list:
@@ -102,40 +99,54 @@ def score_histogram(log: DataFrame, width: int = 10, last: int = 100) -> DataFra
 
 def outcome_buckets(log: DataFrame, size: int = 50) -> DataFrame:
     """Outcomes for each ``size`` iterations of a session; bucket is the first iteration's number from 0."""
-    rn = F.row_number().over(_order()) - 1
-    return log.withColumn("bucket", (F.floor(rn / size) * size).cast("int")).groupBy("session", "bucket").agg(*outcome_counts())
+    rows = _numbered(log.select("session", "iteration", "confirmed"))
+    return rows.withColumn("bucket", (F.floor((F.col("rn") - 1) / size) * size).cast("int")).groupBy("session", "bucket").agg(*outcome_counts())
 
 
 def timing_buckets(log: DataFrame, step: int = 20) -> DataFrame:
     """Mean time and context for each ``step`` iterations; the label is the bucket's middle."""
-    rn = F.row_number().over(_order()) - 1
-    label = (F.floor(rn / step) * step + step // 2).cast("int")
-    return log.withColumn("label", label).groupBy("session", "label").agg(r4(F.avg("ms")).alias("avg_ms"), r4(F.avg("context")).alias("avg_context"))
+    rows = _numbered(log.select("session", "iteration", "ms", "context"))
+    label = (F.floor((F.col("rn") - 1) / step) * step + step // 2).cast("int")
+    return rows.withColumn("label", label).groupBy("session", "label").agg(r4(F.avg("ms")).alias("avg_ms"), r4(F.avg("context")).alias("avg_context"))
+
+
+def _numbered(log: DataFrame) -> DataFrame:
+    """``log`` with rn, the number of each row in its session; a session of any size is cut into ranges (``prefix``)."""
+    return prefix.numbered(log, ["session"], ["iteration"], "rn", "iterations")
+
 
+def rolling_rate(log: DataFrame, window: int = 30, size: int = 4096) -> DataFrame:
+    """Share of confirmed among the last ``window`` iterations, from the first full window on.
 
-def rolling_rate(log: DataFrame, window: int = 30) -> DataFrame:
-    """Share of confirmed among the last ``window`` iterations, from the first full window on."""
-    frame = _order().rowsBetween(-(window - 1), 0)
+    Sessions are dealt in pieces of ``size`` iterations that begin with the ``window`` - 1 before them.
+    """
+    dealt = prefix.pieces(_numbered(log.select("session", "iteration", "confirmed")), "rn", size, window - 1)
+    frame = Window.partitionBy("session", "piece").orderBy("rn").rowsBetween(-(window - 1), 0)
     hit = F.coalesce(F.col("confirmed"), F.lit(False)).cast("double")
-    rows = log.select("session", "iteration", F.row_number().over(_order()).alias("rn"), r4(F.avg(hit).over(frame) * 100).alias("rate_pct"))
-    return rows.filter(F.col("rn") >= window).drop("rn")
+    rows = dealt.withColumn("rate_pct", r4(F.avg(hit).over(frame) * 100))
+    own = F.floor((F.col("rn") - 1) / size) == F.col("piece")
+    return rows.filter(own & (F.col("rn") >= window)).select("session", "iteration", "rate_pct")
 
 
 def cumulative_tokens(log: DataFrame, step: int = 10) -> DataFrame:
-    frame = _order().rowsBetween(Window.unboundedPreceding, 0)
-    rows = log.select("session", "iteration", F.row_number().over(_order()).alias("rn"), F.sum("tokens").over(frame).cast("bigint").alias("tokens"))
-    return rows.filter(F.col("rn") % step == 0).drop("rn")
+    """Tokens so far at every ``step``-th iteration; null before the first known number."""
+    cut = prefix.cut(log.select("session", "iteration", "tokens"), ["session"], ["iteration"], "iterations")
+    known = F.when(F.col("tokens").isNotNull(), F.lit(1)).cast("bigint")
+    rows = prefix.running(cut, ["session"], ["iteration"], {"rn": ("sum", F.lit(1).cast("bigint")), "total": ("sum", F.col("tokens").cast("bigint")), "known": ("max", known)})
+    return rows.filter(F.col("rn") % step == 0).select("session", "iteration", F.when(F.col("known").isNotNull(), F.col("total")).alias("tokens"))
 
 
 def chain_depth(log: DataFrame) -> DataFrame:
-    """Iterations in a row that were not rejected; a rejection resets to 0."""
-    island = F.sum(F.when(~F.col("confirmed"), 1).otherwise(0)).over(_order().rowsBetween(Window.unboundedPreceding, 0))
-    rows = log.select("session", "iteration", "confirmed", F.coalesce(island, F.lit(0)).alias("island"))
-    w = Window.partitionBy("session", "island").orderBy("iteration")
-    step = F.when(~F.col("confirmed"), 0).otherwise(1)
-    deep = rows.select("session", "iteration", F.sum(F.coalesce(step, F.lit(1))).over(w).cast("int").alias("depth"))
-    best = Window.partitionBy("session").orderBy("iteration").rowsBetween(Window.unboundedPreceding, 0)
-    return deep.withColumn("max_depth", F.max("depth").over(best))
+    """Iterations in a row that were not rejected; a rejection resets to 0.
+
+    The depth is the distance to the last rejection: running maxima of row numbers and of depths, over ranges of a session.
+    """
+    cut = prefix.cut(log.select("session", "iteration", "confirmed"), ["session"], ["iteration"], "iterations")
+    keys, order = ["session"], ["iteration"]
+    rows = prefix.running(cut, keys, order, {"rn": ("sum", F.lit(1).cast("bigint"))})
+    rows = prefix.running(rows, keys, order, {"last": ("max", F.when(~F.col("confirmed"), F.col("rn")))})
+    deep = rows.withColumn("depth", (F.col("rn") - F.coalesce("last", F.lit(0))).cast("int"))
+    return prefix.running(deep, keys, order, {"max_depth": ("max", F.col("depth"))}).select("session", "iteration", "depth", "max_depth")
 
 
 def top_signals(log: DataFrame, least: int = 70, chars: int = 60, limit: int = 10) -> DataFrame:

@@ -1,7 +1,7 @@
 """Lead-lag signals between daily series.
 
-A lag is a column, and ``date_add(day, lag)`` an ordinary join key: a whole grid of sources, targets and lags is one
-equi-join and one aggregation with map-side combine, not a query for each cell.
+A lag is a column, and ``date_add(day, lag)`` an ordinary join key: all lags of a pair are one equi-join and one
+aggregation with map-side combine. A whole grid of sources, targets and lags is a matter of matrix products (``gram``).
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.functions.stats import r4, safe_corr, strength
+from lagloom.operators import gram
 
 
 def lag_pairs(source: DataFrame, target: DataFrame, lags: list[int], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -29,12 +30,19 @@ def regime(driver: Column, threshold: float, above: str, below: str) -> Column:
     return F.when(driver > threshold, above).otherwise(below)
 
 
-def scan(sources: DataFrame, targets: DataFrame, lags: list[int], min_n: int, exclude: Column | None = None) -> DataFrame:
-    """All cells of sources (source, day, x) by targets (target, day, y) by lags with n >= min_n and a correlation."""
-    pairs = lag_pairs(sources, targets, lags)
+def scan(sources: DataFrame, targets: DataFrame, lags: list[int], min_n: int, exclude: Column | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+    """All cells of sources (source, day, x) by targets (target, day, y) by lags with n >= min_n and a correlation.
+
+    ``exclude`` names cells by source, target and lag_days. Both sides are limited to the days from ``since`` to ``until``,
+    bounds that reach the scans of either side. Cells are matrix products (``gram``), not a join on the day.
+    """
+    for bound, compare in ((since, F.col("day") >= F.lit(since).cast("date")), (until, F.col("day") <= F.lit(until).cast("date"))):
+        if bound is not None:
+            sources, targets = sources.filter(compare), targets.filter(compare)
+    cells = gram.correlations(sources, targets, lags).withColumn("lag_days", F.col("lag"))
     if exclude is not None:
-        pairs = pairs.filter(~exclude)
-    cells = pairs.groupBy("source", "target", F.col("lag_days").alias("lag")).agg(r4(safe_corr("x", "y")).alias("corr"), F.count("*").alias("n"))
+        cells = cells.filter(~exclude)
+    cells = cells.select("source", "target", "lag", r4(F.col("r")).alias("corr"), "n")
     return cells.filter((F.col("n") >= min_n) & F.col("corr").isNotNull()).withColumn("abs_corr", F.abs("corr"))
 
 

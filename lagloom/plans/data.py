@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from lagloom.functions import text as X
 from lagloom.functions.stats import r4
-from lagloom.operators import quality, tables, texts
+from lagloom.operators import quality, tables, texts, vectors
 from lagloom.plans import stand_ins as T
 from lagloom.plans.registry import query
 from lagloom.sources import files
+from lagloom.sources.shared import new_path
 
 
 @query("""SELECT "column", n_null, (SELECT count(*) FROM documents) AS n_rows FROM (
@@ -239,6 +240,28 @@ def vector_topk_filtered(spark, d):
     return texts.nearest(T.chunks(spark, d), T.query_vector(spark, d), 5, where).select("id", "company", "year", (F.round("distance", 6) + F.lit(0.0)).alias("distance"))
 
 
+def _index(spark, d):
+    return vectors.build(T.chunks(spark, d), new_path(spark, "index"), ["collection", "year"])
+
+
+_ASKED = f"WITH {T.CHUNKS}, h AS (SELECT q.id AS query_id, c.id, c.company, c.year, {_DIST} AS distance FROM chunks c, (SELECT * FROM chunks WHERE id % 20 = 0) q)"
+
+
+@query(f"{_ASKED} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank, id, round(distance, 6) + 0.0 AS distance FROM h QUALIFY rank <= 10")
+def vector_index_topk(spark, d):
+    """An index of all chunks, and the nearest ten of every twentieth, exact: lists are read until no other can hold a nearer one."""
+    queries = T.chunks(spark, d).filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return _index(spark, d).search(queries, 10, exact=True).withColumn("distance", F.round("distance", 6) + F.lit(0.0))
+
+
+@query(f"{_ASKED} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank, id, round(distance, 6) + 0.0 AS distance FROM h WHERE year BETWEEN 2017 AND 2019 AND company = 'company3' QUALIFY rank <= 5")
+def vector_index_filtered(spark, d):
+    """The same under a filter on the metadata: years are partitions, of which others are not read."""
+    queries = T.chunks(spark, d).filter("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    where = F.col("year").between(2017, 2019) & (F.lower("company") == "company3")
+    return _index(spark, d).search(queries, 5, where, exact=True).withColumn("distance", F.round("distance", 6) + F.lit(0.0))
+
+
 @query(f"""{_NEAR}, k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY collection ORDER BY distance, id) <= 4),
 p AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY collection, company, filename, page ORDER BY distance, id) = 1),
 t AS (SELECT * FROM p ORDER BY distance, id LIMIT 8)

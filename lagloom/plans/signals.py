@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagloom.operators import signals as S
-from lagloom.operators import texts, views
+from lagloom.operators import selection, texts, views
 from lagloom.plans import stand_ins as T
 from lagloom.plans.registry import query
+from lagloom.sources.shared import keep
 
 _SRC = "src AS (SELECT trade_date AS day, close AS x FROM market WHERE instrument = '1-URGENT')"
 _TGT = "tgt AS (SELECT trade_date AS day, close AS y FROM indices WHERE ticker = 'NO')"
@@ -94,11 +95,15 @@ def _grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return market.unionByName(news).unionByName(macro), targets
 
 
+#: The scan's window, on both sides.
+SINCE, UNTIL = "1995-03-01", "2000-12-31"
+
+
 def _cells(spark: SparkSession, d: str) -> DataFrame:
     sources, targets = _grid(spark, d)
     # News against the same day tells nothing of lead and lag; one pair is a tautology by design.
     out = (F.col("source").startswith("news_") & (F.col("lag_days") == 0)) | ((F.col("source") == "1-URGENT") & (F.col("target") == "AF") & (F.col("lag_days") == 0))
-    return S.scan(sources, targets, T.LAGS6, 150, out)
+    return S.scan(sources, targets, T.LAGS6, 150, out, SINCE, UNTIL)
 
 
 _TOPICS = ", ".join("CAST(count(CASE WHEN " + " OR ".join(f"contains(text, '{w}')" for w in ws) + f" THEN 1 END) AS INTEGER) AS \"{k}\"" for k, ws in T.TOPIC_WORDS.items())
@@ -108,7 +113,7 @@ _MACRO = " UNION ALL ".join(f"SELECT 'macro_{k}' AS source, trade_date AS day, {
 _CELLS = f"""WITH {T.MARKET}, {T.INDICES}, {T.RATES}, {_NEWS}, context AS (SELECT trade_date, rate_pct, inflation FROM market LEFT JOIN rates ON period_date = date_trunc('month', trade_date) WHERE instrument = '1-URGENT'),
 sources AS (SELECT instrument AS source, trade_date AS day, close AS x FROM market UNION ALL {_LONG} UNION ALL {_MACRO}),
 pairs AS (SELECT source, ticker AS target, lag_days AS lag, x, close AS y FROM sources CROSS JOIN {lags_sql(T.LAGS6)} JOIN indices ON trade_date = day + lag_days
-  WHERE NOT (source LIKE 'news_%' AND lag_days = 0) AND NOT (source = '1-URGENT' AND ticker = 'AF' AND lag_days = 0)),
+  WHERE day BETWEEN '{SINCE}' AND '{UNTIL}' AND trade_date BETWEEN '{SINCE}' AND '{UNTIL}' AND NOT (source LIKE 'news_%' AND lag_days = 0) AND NOT (source = '1-URGENT' AND ticker = 'AF' AND lag_days = 0)),
 cells AS (SELECT source, target, lag, {_CORR} AS corr, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 150 AND NOT isnan(corr(x, y))),
 best AS (SELECT *, abs(corr) AS abs_corr FROM cells QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY abs(corr) DESC, lag) = 1)"""
 
@@ -259,16 +264,17 @@ def topic_market_lag(spark, d):
     return S.lag_correlation(news, _source(spark, d).withColumnRenamed("x", "y"), [7, 14, 30])
 
 
-@query(f"WITH {T.MARKET}, s AS (SELECT instrument, quantile_cont(close, 0.5) AS median, quantile_cont(close, 0.9) AS p90 FROM market GROUP BY 1) SELECT instrument, true AS median_near, true AS p90_near FROM s")
+@query(f"WITH {T.MARKET} SELECT instrument, quantile_disc(close, 0.5) AS median, quantile_disc(close, 0.9) AS p90 FROM market GROUP BY 1")
 def spread_approximate(spark, d):
-    """Percentiles in bounded memory, each within one rank in a hundred of the exact one."""
-    m = T.market(spark, d)
-    found = m.groupBy("instrument").agg(F.percentile_approx("close", [0.5, 0.9], 10_000).alias("p"))
-    ranks = m.join(found, "instrument").groupBy("instrument").agg(*[(F.avg((F.col("close") <= F.col("p")[i]).cast("double"))).alias(n) for i, n in enumerate(("median", "p90"))])
-    return ranks.select("instrument", (F.abs(F.col("median") - 0.5) < 0.01).alias("median_near"), (F.abs(F.col("p90") - 0.9) < 0.01).alias("p90_near"))
+    """Percentiles by a sketch: exact where a group has fewer than 10,000 distinct values, within a ten-thousandth of the ranks beyond."""
+    found = T.market(spark, d).groupBy("instrument").agg(F.percentile_approx("close", [0.5, 0.9], 10_000).alias("p"))
+    return found.select("instrument", F.col("p")[0].alias("median"), F.col("p")[1].alias("p90"))
 
 
 @query(f"WITH {T.MARKET} SELECT instrument, round(stddev(close), 2) AS sd, round(quantile_cont(close, 0.5), 4) AS median, round(quantile_cont(close, 0.9), 4) AS p90 FROM market GROUP BY 1")
 def spread_statistics(spark, d):
-    return T.market(spark, d).groupBy("instrument").agg(F.round(F.stddev("close"), 2).alias("sd"), F.round(F.percentile("close", F.lit(0.5)), 4).alias("median"), F.round(F.percentile("close", F.lit(0.9)), 4).alias("p90"))
-
+    """Exact percentiles by narrowing ranges: no task holds a group's values."""
+    m = keep(T.market(spark, d).select("instrument", "close"), "market")
+    sd = m.groupBy("instrument").agg(F.round(F.stddev("close"), 2).alias("sd"))
+    found = selection.percentiles(m, ["instrument"], "close", {"median": 0.5, "p90": 0.9})
+    return sd.join(found, "instrument").select("instrument", "sd", F.round("median", 4).alias("median"), F.round("p90", 4).alias("p90"))

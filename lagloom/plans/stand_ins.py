@@ -70,13 +70,19 @@ def indices_of(lines: DataFrame) -> DataFrame:
 
 
 def key_rate_of(lines: DataFrame) -> DataFrame:
-    period = F.concat(F.month("trade_date").cast("string"), F.lit("."), F.year("trade_date").cast("string")).alias("period")
-    return lines.groupBy(period).agg((_mean("l_discount", True) * 100).alias("rate_pct"), (_mean("l_tax", True) * 100).alias("inflation"))
+    months = lines.groupBy(F.trunc("trade_date", "month").alias("month")).agg(F.min("trade_date").alias("day"), (_mean("l_discount", True) * 100).alias("rate_pct"), (_mean("l_tax", True) * 100).alias("inflation"))
+    return months.select(_period("day"), "rate_pct", "inflation")
 
 
 def key_rate(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem").withColumn("period", F.concat(F.month("l_shipdate").cast("string"), F.lit("."), F.year("l_shipdate").cast("string")))
-    return li.groupBy("period").agg((exact_avg("l_discount") * 100).alias("rate_pct"), (exact_avg("l_tax") * 100).alias("inflation"))
+    months = table(spark, d, "lineitem").groupBy(F.trunc("l_shipdate", "month").alias("month")).agg(F.min("l_shipdate").alias("day"), (exact_avg("l_discount") * 100).alias("rate_pct"), (exact_avg("l_tax") * 100).alias("inflation"))
+    return months.select(_period("day"), "rate_pct", "inflation")
+
+
+def _period(day: str) -> Column:
+    """'M.YYYY', of a day that is an aggregate: what filters on the text say is not pushed below the grouping by month,
+    where every line would be formatted and parsed."""
+    return F.concat(F.month(day).cast("string"), F.lit("."), F.year(day).cast("string")).alias("period")
 
 
 KEY_RATE = """key_rate AS (

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lagloom.operators import tables, texts
 from lagloom.plans import stand_ins as T
 from lagloom.plans.registry import query
-from lagloom.sources import files, sinks, web
+from lagloom.sources import buckets, files, sinks, web
 from lagloom.sources.shared import new_path, put
 from lagloom.streaming import rollup
 
@@ -245,7 +245,20 @@ def chunk_upsert(spark, d):
     model = lambda texts: [[float(len(t))] for t in texts]
     sinks.upsert_chunks(spark, path, a.select("id", F.col("lang").alias("document")), model)
     sinks.upsert_chunks(spark, path, a.filter("lang = 'en'").select("id", F.col("text").alias("document")), model)
-    return spark.read.parquet(sinks.current(spark, path))
+    return buckets.read(spark, path)
+
+
+@query("""WITH one AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal < 6000), two AS (SELECT c_custkey, c_name, c_acctbal + 1 AS c_acctbal FROM customer WHERE c_acctbal >= 2000),
+three AS (SELECT c_custkey, c_name || '*' AS c_name, c_acctbal FROM customer WHERE c_acctbal < 0)
+SELECT * FROM three UNION ALL SELECT * FROM two UNION ALL SELECT * FROM one WHERE c_acctbal BETWEEN 0 AND 1999.9999""")
+def bucket_upserts(spark, d):
+    """Three upserts into a table in hash buckets, and an insert that finds all its keys there."""
+    path, order = new_path(spark, "customers"), [F.col("c_name")]
+    c = T.table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")
+    for rows in (c.filter("c_acctbal < 6000"), c.filter("c_acctbal >= 2000").withColumn("c_acctbal", F.col("c_acctbal") + 1), c.filter("c_acctbal < 0").withColumn("c_name", F.concat("c_name", F.lit("*")))):
+        buckets.upsert(spark, path, rows, ["c_custkey"], order, 16)
+    buckets.insert(spark, path, c, ["c_custkey"], order)
+    return buckets.read(spark, path)
 
 
 _REGIONS = {"ASIA": "Asia and Oceania", "EUROPE": "Europe"}

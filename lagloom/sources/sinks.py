@@ -4,19 +4,18 @@ from __future__ import annotations
 
 import io
 import json
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape, quoteattr
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
-from lagloom.operators.tables import last_by_key, upsert
+from lagloom.sources import buckets
+from lagloom.sources.shared import discard, keep
 
 
 def full_refresh(df: DataFrame, path: str) -> None:
@@ -82,29 +81,18 @@ def laid_out(df: DataFrame, path: str, by: list[str], within: list[str]) -> None
     dealt.write.mode("overwrite").partitionBy(*by).parquet(path)
 
 
-def upsert_chunks(spark: SparkSession, path: str, chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None) -> None:
-    """Chunks (id, document, ...) into a table by id: new ones replace old ones of their id.
+def upsert_chunks(spark: SparkSession, path: str, chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None) -> list[int]:
+    """Chunks (id, document, ...) into a table by id: new ones replace old ones of their id; gives the buckets rewritten.
 
-    ``embed`` gives vectors for texts (any model behind a function; it runs in the tasks, a batch at a time); without it
-    ``chunks`` brings its own column ``embedding``. A new version of the table is written whole and named
-    afterwards, so that readers never meet half a table.
+    ``embed`` gives vectors for texts (any model behind a function; it runs in the tasks, a batch at a time, once a chunk);
+    without it ``chunks`` brings its own column ``embedding``. The table lies in hash buckets of the id (``buckets``, which
+    also reads it), of which only those that new chunks fall into are rewritten.
     """
-    new = embedded(chunks, embed) if embed else chunks
-    at = current(spark, path)
-    merged = upsert(spark.read.parquet(at), new, ["id"], [F.xxhash64("document")]) if at else last_by_key(new, ["id"], [F.xxhash64("document")])
-    version = f"{path}/v-{uuid.uuid4().hex}"
-    merged.write.parquet(version)
-    spark.range(1).select(F.current_timestamp().alias("at"), F.lit(version).alias("version")).write.mode("append").parquet(f"{path}/versions")
-
-
-def current(spark: SparkSession, path: str) -> str | None:
-    """The folder of the version that ``upsert_chunks`` wrote last."""
-    try:
-        return spark.read.schema("at timestamp, version string").parquet(f"{path}/versions").agg(F.max_by("version", "at")).first()[0]
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return None
+    new = keep(embedded(chunks, embed), "embedded") if embed else chunks
+    hit = buckets.upsert(spark, path, new, ["id"], [F.xxhash64("document")])
+    if embed:
+        discard(new)
+    return hit
 
 
 def embedded(chunks: DataFrame, embed: Callable[[list[str]], list[list[float]]], rows: int = 256) -> DataFrame:

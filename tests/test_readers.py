@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lagloom import schemas
 from lagloom.operators import audit, experiments
-from lagloom.sources import files, shared, sinks, web
+from lagloom.sources import buckets, files, shared, sinks, web
 
 
 def xlsx(path, sheets, shared_strings=True):
@@ -99,10 +99,10 @@ def test_reports_from_pdfs_and_archives(spark, tmp_path):
 def test_chunks_are_upserted_with_vectors(spark, tmp_path):
     path = str(tmp_path / "chunks")
     embed = lambda texts: [[float(len(t)), 1.0] for t in texts]
-    assert sinks.current(spark, path) is None
+    assert not buckets.exists(spark, path)
     sinks.upsert_chunks(spark, path, spark.createDataFrame([("a", "one"), ("b", "two")], "id string, document string"), embed)
     sinks.upsert_chunks(spark, path, spark.createDataFrame([("b", "three"), ("c", "four"), ("c", "four")], "id string, document string"), embed)
-    got = rows(spark.read.parquet(sinks.current(spark, path)), "id", "document", "embedding")
+    got = rows(buckets.read(spark, path), "id", "document", "embedding")
     assert got == [("a", "one", [3.0, 1.0]), ("b", "three", [5.0, 1.0]), ("c", "four", [4.0, 1.0])]
 
 

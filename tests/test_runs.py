@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -208,3 +209,33 @@ def test_fixes_are_written_once(tmp_path):
 def test_convergence(spark):
     df = spark.createDataFrame([("Lag 7 x",), ("lag 14 x ",), ("Lag 3 x",), ("other",)], "hypothesis string")
     assert [(r["fingerprint"], r["n"]) for r in audit.convergence(df).collect()] == [("lag N x", 3)]
+
+
+def test_windows_over_one_session_that_is_the_whole_log(spark):
+    """Ranges of one session, small pieces: rolling rates, sums, chains and buckets as a walk over the rows gives them."""
+    rng = random.Random(12)
+    rows = [(s, i, rng.choice([True, False, None]), rng.choice([None, 5, 9]), rng.randint(1, 9), rng.randint(1, 9)) for s, n in (("all", 230), (None, 3), ("few", 11)) for i in range(n)]
+    log = spark.createDataFrame(rows, "session string, iteration int, confirmed boolean, tokens long, ms int, context int").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rate = {(r.session, r.iteration): r.rate_pct for r in E.rolling_rate(log, 5, size=16).collect()}
+        tokens = {(r.session, r.iteration): r.tokens for r in E.cumulative_tokens(log, 3).collect()}
+        chain = {(r.session, r.iteration): (r.depth, r.max_depth) for r in E.chain_depth(log).collect()}
+        outcomes = {(r.session, r.bucket): (r.confirmed, r.rejected, r.partial) for r in E.outcome_buckets(log, 50).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for s in ("all", None, "few"):
+        own = [r for r in rows if r[0] == s]
+        depth = most = 0
+        for i, r in enumerate(own):
+            depth = 0 if r[2] is False else depth + 1
+            most = max(most, depth)
+            assert chain[s, i] == (depth, most)
+            if i >= 4:
+                assert rate[s, i] == round(sum(x[2] is True for x in own[i - 4 : i + 1]) / 5 * 100, 4)
+            if (i + 1) % 3 == 0:
+                known = [x[3] for x in own[: i + 1] if x[3] is not None]
+                assert tokens[s, i] == (sum(known) if known else None)
+        for b in range(0, len(own), 50):
+            part = [x[2] for x in own[b : b + 50]]
+            assert outcomes[s, b] == (part.count(True), part.count(False), part.count(None))
