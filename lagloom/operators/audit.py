@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lagloom.functions import fixed
 from lagloom.functions.text import hypothesis_fingerprint
+from lagloom.operators.statements import measured
 
 
 def _any(cols: list[Column]) -> Column:
@@ -174,14 +175,17 @@ class Audit:
     weak: DataFrame
 
 
-def run(log: DataFrame, session: object = None, execute: Callable[[str], list[tuple]] | None = None, order: str = "event_id") -> Audit:
+def run(log: DataFrame, session: object = None, execute: Callable[[str], list[tuple]] | None = None, order: str = "event_id", series: tuple[DataFrame, ...] | None = None) -> Audit:
     """The audit of one session (by default that of the last row) of a log with ``order`` as its key.
 
-    ``execute`` gives the rows of a statement; without it nothing is run again. Statements run one after another from
-    the driver, each as a job of its own: the candidates of one session, a bounded list.
+    ``series`` (sources, targets and, if wanted, regimes of ``statements.measured``) measures all candidates of the lag-join
+    shape in one job. ``execute`` gives the rows of any statement: those run one after another from the driver, each as
+    a job of its own, the candidates of one session. Without either nothing is run again.
     """
     findings = static_issues(confirmed_rows(log, session, order))
-    if execute:
+    if series:
+        reruns = measured(findings.filter(candidates(findings)).select(order, "sql"), *series).select(order, "r", "r0")
+    elif execute:
         again = [(r[order], *both_r(execute, r["sql"], r["lag"])) for r in findings.filter(candidates(findings)).select(order, "sql", "lag").toLocalIterator()]
         reruns = log.sparkSession.createDataFrame(again, f"{order} bigint, r double, r0 double")
     else:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lagloom.functions import fixed
 from lagloom.functions.text import error_class, hypothesis_fingerprint
-from lagloom.operators import audit, tables
+from lagloom.operators import audit, lineage, statements, tables
 from lagloom.operators import experiments as E
 from lagloom.plans import stand_ins as T
 from lagloom.plans.registry import query
@@ -209,9 +210,16 @@ def audit_issues(spark, d):
     return audit.static_issues(T.log(spark, d)).select("event_id", F.array_join("issues", ",").alias("issues"))
 
 
-#: What running statements again tells, as remainders of the event's id; some fail, some name no lag.
-_AUDITED = f"""{_L}, reruns AS (
-  SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN CAST(event_id * 7 % 101 AS DOUBLE) / 100.0 END AS r, CASE WHEN event_id % 6 <> 0 THEN CAST(event_id * 11 % 101 AS DOUBLE) / -100.0 END AS r0 FROM log
+#: Statements of the log's findings: a market series against an index, at the finding's lag, some within a period, some of another shape.
+_INSTRUMENTS, _INDEXES, _PERIOD = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], ["AF", "NO", "RF"], ("1996-01-01", "1998-06-30")
+_PICK = f"CASE WHEN k % 13 <> 0 THEN {_INSTRUMENTS!r}[k % 5 + 1] END AS source, {_INDEXES!r}[k % 3 + 1] AS target, k % 4 = 1 AS within"
+_AUDITED = f"""WITH {T.MARKET}, {T.INDICES}, {T.LOG}, grid AS (
+  SELECT instrument AS source, ticker AS target, lag_days AS lag, within, CASE WHEN isnan(corr(m.close, i.close)) THEN NULL ELSE round(corr(m.close, i.close), 4) + 0.0 END AS r
+  FROM market m CROSS JOIN (VALUES (0), (7), (14), (30), (60), (90)) l(lag_days) CROSS JOIN (VALUES (true), (false)) w(within) JOIN indices i ON i.trade_date = m.trade_date + lag_days
+  WHERE NOT within OR m.trade_date BETWEEN DATE '{_PERIOD[0]}' AND DATE '{_PERIOD[1]}' GROUP BY ALL
+), asked AS (SELECT event_id, lag, {_PICK} FROM log), reruns AS (
+  SELECT event_id, g.r, CASE WHEN asked.lag > 0 THEN z.r END AS r0 FROM asked LEFT JOIN grid g USING (source, target, lag, within)
+  LEFT JOIN grid z ON z.source = asked.source AND z.target = asked.target AND z.within = asked.within AND z.lag = 0
 ), told AS (
   SELECT *, list_filter([CASE WHEN {_ALIAS} THEN 'ALIASING' END, CASE WHEN {_TAUT} THEN 'TAUTOLOGY' END, CASE WHEN {_OFF} AND NOT {_ON} THEN 'REGIME_INACTIVE' END], lambda x: x IS NOT NULL) AS one, {_STRUCT} AS st FROM log WHERE confirmed
 ), static AS (SELECT *, CASE WHEN len(one) = 0 AND st THEN ['STRUCTURAL'] ELSE one END AS before FROM told
@@ -223,11 +231,39 @@ _AUDITED = f"""{_L}, reruns AS (
   FROM static JOIN reruns USING (event_id))"""
 
 
+def _stated(spark, d):
+    """(event_id, statement): the log's findings as statements."""
+    k = F.col("k")
+    of = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (k % n + 1).cast("int"))
+    later = F.when(F.col("lag") > 0, F.concat(F.lit(" + INTERVAL "), F.col("lag").cast("string"), F.lit(" DAYS"))).otherwise("")
+    period = F.when(k % 4 == 1, f" AND s.trade_date BETWEEN DATE '{_PERIOD[0]}' AND DATE '{_PERIOD[1]}'").otherwise("")
+    text = F.concat(F.lit("SELECT CORR(s.close, t.close) AS r, COUNT(*) AS n\n FROM market s JOIN indices t ON t.trade_date = s.trade_date"), later, F.lit(" WHERE s.instrument = '"), of(_INSTRUMENTS, 5), F.lit("' AND t.ticker = '"), of(_INDEXES, 3), F.lit("'"), period)
+    return T.log(spark, d).select("event_id", F.when(k % 13 != 0, text).otherwise("SELECT 1").alias("statement"))
+
+
+def _series(spark, d):
+    market = T.market(spark, d).select(F.col("instrument").alias("source"), F.col("trade_date").alias("day"), F.col("close").alias("x"))
+    return market, T.indices(spark, d).select(F.col("ticker").alias("target"), F.col("trade_date").alias("day"), F.col("close").alias("y"))
+
+
 def _audited(spark, d):
-    """The confirmed rows of all sessions with their issues."""
-    log, i = T.log(spark, d), F.col("event_id")
-    reruns = log.select("event_id", F.when(i % 13 != 0, (i * 7 % 101).cast("double") / 100.0).alias("r"), F.when(i % 6 != 0, (i * 11 % 101).cast("double") / -100.0).alias("r0"))
-    return audit.with_reruns(audit.static_issues(log.filter("confirmed")), reruns, ["event_id"])
+    """The confirmed rows of all sessions with their issues; their statements are measured in one grid."""
+    reruns = statements.measured(_stated(spark, d), *_series(spark, d), sql="statement")
+    return audit.with_reruns(audit.static_issues(T.log(spark, d).filter("confirmed")), reruns, ["event_id"])
+
+
+@query(f"{_AUDITED} SELECT event_id, r, r0 FROM reruns")
+def statement_reruns(spark, d):
+    return statements.measured(_stated(spark, d), *_series(spark, d), sql="statement").select("event_id", "r", "r0")
+
+
+@query(f"{_L} SELECT event_id, CASE WHEN k % 5 <> 4 AND k % 4 <> 3 AND k % 3 <> 2 THEN [['usd_rub', 'eur_rub', 'brent_usd', 'close'][k % 4 + 1] || ' AS ' || ['dxy', 'silver', 'price'][k % 3 + 1]] ELSE [] END AS pairs FROM log")
+def alias_lineage(spark, d):
+    """Statements that rename a context column in two steps; those that can't be parsed have no pairs."""
+    part = lambda n: F.regexp_extract("sql", r"^SELECT (\w+) AS (\w+) (FROM ctx.*)$", n)
+    deep = F.concat(F.lit("WITH a AS (SELECT "), part(1), F.lit(" * 1 AS v "), part(3), F.lit(") SELECT v AS "), part(2), F.lit(" FROM a"))
+    ctx = StructType([StructField(c, DoubleType()) for c in [*fixed.CONTEXT_COLUMNS, "close", "rugold"]])
+    return lineage.checked(T.log(spark, d).select("event_id", deep.alias("deep")), "event_id", "deep", {"ctx": ctx})
 
 
 @query(f"{_AUDITED} SELECT unnest(CASE WHEN len(issues) = 0 THEN ['CLEAN'] ELSE issues END) AS issue, count(*) AS n FROM audited GROUP BY 1")
