@@ -11,7 +11,7 @@ from lagloom.operators import audit, lineage, statements, tables
 from lagloom.operators import experiments as E
 from lagloom.plans import stand_ins as T
 from lagloom.plans.registry import query
-from lagloom.sources import sinks
+from lagloom.sources import lines, sinks
 from lagloom.sources.shared import new_path
 from lagloom.streaming import rollup
 
@@ -305,6 +305,30 @@ def lag_topic_sweep(spark, d):
     return E.sweep(T.log(spark, d), fixed.LAGS, list(fixed.TOPICS))
 
 
+def _event_lines(spark, d):
+    """The events as JSON lines in the shared folder, written by the tasks, in folders by type."""
+    path = new_path(spark, "event-lines")
+    T.table(spark, d, "events").select("event_type", "event_id", "user_id", "value").write.partitionBy("event_type").json(path)
+    return path
+
+
+@query("SELECT event_type, user_id, count(*) AS n, max(event_id) AS last FROM events WHERE event_type IN ('purchase', 'error') AND user_id > 20 GROUP BY ALL")
+def line_ranges_scan(spark, d):
+    """JSON lines by byte ranges: the types are chosen by folder while planning, users before rows are made."""
+    rows = lines.read(spark, _event_lines(spark, d), "event_type string, event_id long, user_id long, value double", 1 << 16, push=True)
+    return rows.filter("event_type in ('purchase', 'error') and user_id > 20").groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def line_ranges_stream(spark, d):
+    """The same lines as a stream into a table; the query is started twice on one checkpoint, and reads each line once."""
+    path, out, seen = _event_lines(spark, d), new_path(spark, "streamed"), new_path(spark, "offsets")
+    for _ in range(2):
+        rows = lines.stream(spark, path, "event_type string, event_id long, user_id long", 1 << 16)
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", seen).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("users"))
+
+
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def streaming_event_rollup(spark, d):
     out = new_path(spark, "rollup")
