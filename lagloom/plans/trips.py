@@ -1,14 +1,19 @@
 """Sources and sinks as queries: stand-in tables go out in a source's own format and come back through its reader.
 
-The files are made from daily and yearly aggregates, a few thousand rows whatever the tables' size.
+Spreadsheets and quotes are made from daily and yearly aggregates, a few thousand rows whatever the tables' size; reports and
+archives, which grow with the tables, are written by the tasks.
 """
 
 from __future__ import annotations
 
 import gzip
 import json
+import os
+import uuid
 from collections import defaultdict
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,24 +141,35 @@ _PIECES = r"list_filter(list_transform(CASE WHEN length(text) > 0 THEN range(0,
 
 @query(f"WITH f AS ({_COMPANIES}), c AS (SELECT company, year, filename, {_PIECES} AS cs FROM f) SELECT company, year, filename, 1 AS page, CAST(generate_subscripts(cs, 1) - 1 AS INTEGER) AS chunk, unnest(cs) AS document, md5(company || '_' || filename || '_1_' || (generate_subscripts(cs, 1) - 1)) AS id FROM c")
 def read_report_chunks(spark, d):
-    """Reports as loose files and in archives; an archive of a company and year that is there already is passed over."""
-    own: dict[str, bytes] = {}
-    packed: dict[str, dict[str, bytes]] = defaultdict(dict)
-    loose = set()
-    for r in T.table(spark, d, "benchmark").toLocalIterator():
-        company, year, name, text = f"company {r['item_id'] % 5}", 2015 + r["item_id"] % 7, f"r{r['item_id']}.pdf", (r["text"] or "").encode()
-        if r["item_id"] % 2:
-            own[f"{company}/{year} {name}"] = text
-            loose.add((company, year))
-        else:
-            packed[f"{company}/{year} {r['item_id']}.zip"][f"in/{name}"] = text
-    for name, members in packed.items():
-        company, year = name.split("/")[0], int(name.split("/")[1][:4])
-        if (company, year) in loose:
-            own[f"{company}/{year} {next(iter(members)).split('/')[-1]}"] = next(iter(members.values()))
-            members = {"in/again.pdf": b"x" * 99}
-        own[name] = sinks.archive(members | {"in/readme.txt": b"no"})
-    got = files.report_chunks(spark, _folder(spark, "reports", own), lambda b: [b.decode()])
+    """Reports as loose files and in archives; an archive of a company and year that is there already is passed over.
+
+    The files are written by the tasks into the shared folder, one or two for each row of the table.
+    """
+    path = new_path(spark, "reports")
+    root, zipped = path.removeprefix("file://"), sinks.archive
+    item = F.col("item_id")
+    rows = T.table(spark, d, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("text"), F.concat(F.lit("company "), (item % 5).cast("string")).alias("company"), (2015 + item % 7).cast("int").alias("year"))
+    # Whether a company and year have loose files of odd items.
+    loose = rows.groupBy("company", "year").agg(F.max(item % 2).alias("loose"))
+
+    def write(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                folder, name, text = f"{root}/{r.company}", f"r{r.item_id}.pdf", r.text.encode()
+                own = {}
+                if r.item_id % 2 or r.loose:
+                    own[f"{r.year} {name}"] = text
+                if r.item_id % 2 == 0:
+                    member = {"in/again.pdf": b"x" * 99} if r.loose else {f"in/{name}": text}
+                    own[f"{r.year} {r.item_id}.zip"] = zipped(member | {"in/readme.txt": b"no"})
+                os.makedirs(folder, exist_ok=True)
+                for file, content in own.items():
+                    with open(f"{folder}/{file}", "wb") as f:
+                        f.write(content)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    rows.join(loose, ["company", "year"]).mapInPandas(write, "n int").agg(F.sum("n")).collect()
+    got = files.report_chunks(spark, path, lambda b: [b.decode()])
     # Loose files carry the year in their names; ids are those of the names without it.
     name = F.regexp_extract("filename", r"(r\d+\.pdf)$", 1)
     return got.select("company", "year", name.alias("filename"), "page", "chunk", "document", F.md5(F.concat_ws("_", "company", name, "page", "chunk").cast("binary")).alias("id"))
@@ -187,28 +203,46 @@ def read_json_lines(spark, d):
     return files.json_lines(spark, path, "event_id bigint, event_type string, value double").filter("event_id is not null")
 
 
-@query("SELECT 'example.org' AS domain, url, trim(html, E' \\n\\r\\t') AS html FROM pages")
+@query("SELECT 'site' || (page_id % 8) || '.org' AS domain, url, trim(coalesce(html, ''), E' \\n\\r\\t') AS html FROM pages")
 def web_records(spark, d):
-    """Pages as an archive of gzipped records, and its index, both behind a fetcher."""
-    archive, lines = bytearray(), []
-    for r in T.table(spark, d, "pages").select("url", "html").toLocalIterator():
-        record = gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\n\r\nHTTP/1.1 200 OK\r\n\r\n" + (r["html"] or "").encode() + b"\r\n\r\n")
-        lines.append(json.dumps({"timestamp": "20240101", "url": r["url"], "filename": "a.warc", "offset": len(archive), "length": len(record), "status": "200"}))
-        archive += record
-    whole = bytes(archive)
+    """Pages as archives of gzipped records, and their index, both behind a fetcher.
+
+    Each task writes an archive of its pages into the shared folder, and the index lines of its records; the fetcher reads an
+    index a page of lines at a time and an archive by ranges.
+    """
+    root, index = new_path(spark, "archives").removeprefix("file://"), new_path(spark, "index")
+    lines_of = index.removeprefix("file://")
+
+    def write(batches):
+        os.makedirs(root, exist_ok=True)
+        for batch in batches:
+            name, at, lines = f"{uuid.uuid4().hex}.warc.gz", 0, []
+            with open(f"{root}/{name}", "wb") as f:
+                for r in batch.itertuples(index=False):
+                    record = gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\n\r\nHTTP/1.1 200 OK\r\n\r\n" + (r.html or "").encode() + b"\r\n\r\n")
+                    f.write(record)
+                    lines.append(json.dumps({"timestamp": "20240101", "url": r.url, "filename": name, "offset": at, "length": len(record), "status": "200"}))
+                    at += len(record)
+            yield pd.DataFrame({"domain": batch["domain"], "value": lines})
 
     def fetch(url, headers):
         from urllib.parse import parse_qs, urlparse
 
         if "Range" in headers:
             first, last = map(int, headers["Range"].removeprefix("bytes=").split("-"))
-            return 206, whole[first : last + 1]
+            with open(root + urlparse(url).path, "rb") as f:
+                f.seek(first)
+                return 206, f.read(last + 1 - first)
         q = parse_qs(urlparse(url).query)
-        first, n = int(q["offset"][0]), int(q["limit"][0])
-        return 200, "\n".join(lines[first : first + n]).encode()
-
-    index = web.index_pages(spark, ["example.org"], fetch, "http://index", "2022", "2026", limit=100)
-    return web.records(index, fetch, "http://data").select("domain", "url", "html")
+        folder, at, n = f"{lines_of}/domain={q['url'][0].split('/')[0].removeprefix('*.')}", int(q["offset"][0]), int(q["limit"][0])
+        parts = sorted(x for x in os.listdir(folder) if x.startswith("part-")) if os.path.isdir(folder) else []
+        each = (line for x in parts for line in open(f"{folder}/{x}", "rb"))
+        return 200, b"".join(islice(each, at, at + n))
+
+    pages = T.table(spark, d, "pages").select(F.concat(F.lit("site"), (F.col("page_id") % 8).cast("string"), F.lit(".org")).alias("domain"), "url", "html")
+    pages.mapInPandas(write, "domain string, value string").write.partitionBy("domain").text(index)
+    found = web.index_pages(spark, [f"site{i}.org" for i in range(8)], fetch, "http://index", "2022", "2026", limit=100)
+    return web.records(found, fetch, "http://data").select("domain", "url", "html")
 
 
 @query("SELECT n_nationkey, n_name, CASE WHEN n_regionkey = 2 THEN n_regionkey ELSE n_regionkey + 100 END AS n_regionkey FROM nation")

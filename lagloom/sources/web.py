@@ -98,7 +98,7 @@ def records(index: DataFrame, fetch: Fetch, root: str, wait: float = 30) -> Data
             for r in batch.itertuples(index=False):
                 body = tried(fetch, f"{root}/{r.filename}", {"Range": f"bytes={r.offset}-{r.offset + r.length - 1}"}, wait=wait)
                 page = response_body(body) if body else None
-                if page:
+                if page is not None:
                     rows.append((r.domain, r.timestamp, r.url, page))
             yield pd.DataFrame(rows, columns=["domain", "timestamp", "url", "html"])
 
