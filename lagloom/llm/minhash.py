@@ -6,14 +6,16 @@ bytes kept as its signature. Two sets of similarity s share no key with probabil
 
 Candidates are compared by signature, ``BATCH`` places at a time. After each batch, with m of k places equal, the posterior
 probability that the similarity reaches the threshold is known (a uniform prior makes it a Beta's tail); a candidate is
-pruned as soon as that falls below ``MISS``. Survivors are verified on their whole sets, so nothing below the threshold is linked.
-
-The members of a key are never all paired. In ``TURNS`` turns each is compared with one head a key (by a rank of nodes that
-all keys share, so that a large group of copies has few heads); what is linked joins a component. A key whose
-members have become one component is done. In the others, members outside the largest component are compared inside the
-tasks with those of other components, and only survivors leave a task. A key of more than ``WHOLE`` such members is dealt
-again by a second key: two sets that reach the threshold share about 13 keys, and a single one with probability 1e-6. What is
-still larger is cut into blocks, of which a task holds two. No key is left out, however common.
+pruned as soon as that falls below the chosen miss probability. Survivors are verified on their whole sets, so nothing below
+the threshold is linked.
+
+The members of a key are never all paired. In ``TURNS`` turns they are dealt into groups of about ``WHOLE``, which a task
+compares at a high miss probability (``RASH``), and of what survives only a spanning forest of the most similar pairs leaves
+the task: a large group of near copies becomes one component at one pair a member. Then, at the miss probability ``MISS`` and
+by ``LONG`` places (made for nodes that share a key alone), the members outside a key's largest component are compared with
+those of other components, which finds every link that is left. A pair that shares several keys leaves one task only. A key of more than ``WHOLE`` such members is dealt again by a second key: two sets that reach the threshold share about 13 keys,
+and a single one with probability 1e-6. What is still larger is cut into blocks, of which a task holds two. No key is
+left out, however common.
 """
 
 from __future__ import annotations
@@ -35,12 +37,14 @@ WORDS, BANDS, EACH, SEED = 4, 32, 4, 42
 PLACES = BANDS * EACH
 #: The threshold as a fraction.
 NUM, DEN = 4, 5
-MISS, BATCH = 1e-9, 32
-TURNS, WHOLE = 3, 2048
+MISS, RASH, BATCH, LONG = 1e-5, 0.05, 32, 768
+TURNS, WHOLE = 2, 2048
+#: Links of which one task makes stars.
+EDGES_EACH = 1 << 17
 _MIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _rng = np.random.default_rng(13)
-_FLIP, _ODD = (_rng.integers(0, 1 << 64, PLACES, np.uint64)[:, None] | np.uint64(odd) for odd in (0, 1))
+_FLIP, _ODD = (_rng.integers(0, 1 << 64, LONG, np.uint64)[:, None] | np.uint64(odd) for odd in (0, 1))
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _WHITE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 NODES = "node long, size long, keys array<long>, sketch binary"
@@ -80,19 +84,29 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     return out
 
 
-def signature(own: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """The band keys of a set, and the lowest bytes of its min-hashes."""
-    low = np.full(PLACES, _NONE)
-    for at in range(0, len(own), 1024):
-        x = (own[at : at + 1024] ^ _FLIP) * _ODD
+def least_hashes(own: np.ndarray, places: int) -> np.ndarray:
+    """The least value of a set under each of the first ``places`` hash functions."""
+    low, step = np.full(places, _NONE), 1 << 17
+    for at in range(0, len(own), step // places):
+        x = (own[at : at + step // places] ^ _FLIP[:places]) * _ODD[:places]
         x ^= x >> np.uint64(32)
         x *= _MIX
         low = np.minimum(low, x.min(axis=1))
+    return low
+
+
+def sketch(own: np.ndarray, places: int) -> bytes:
+    # A minimum is small: its high bytes tell little, its lowest one is as good as random.
+    return least_hashes(own, places).astype(np.uint8).tobytes()
+
+
+def signature(own: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The band keys of a set, and the lowest bytes of its min-hashes."""
+    low = least_hashes(own, PLACES)
     key = np.arange(1, BANDS + 1, dtype=np.uint64)
     for part in low.reshape(BANDS, EACH).T:
         key = (key ^ part) * _MIX
         key ^= key >> np.uint64(29)
-    # A minimum is small: its high bytes tell little, its lowest one is as good as random.
     return key.view(np.int64), low.astype(np.uint8).tobytes()
 
 
@@ -107,22 +121,27 @@ def posterior(m: int, k: int, t: float = NUM / DEN) -> float:
     return sum(comb(k + 1, j) * t**j * (1 - t) ** (k + 1 - j) for j in range(m + 1))
 
 
-def least_equal(k: int, miss: float = MISS) -> int:
-    """With fewer of k places equal than this, a candidate is pruned."""
-    return next(m for m in range(k + 1) if posterior(m, k) >= miss)
+def least_equal(k: int, miss: float = MISS, t: float = NUM / DEN) -> int:
+    """With fewer of k places equal than this, a candidate is pruned: the first m at which the posterior reaches ``miss``."""
+    total = 0.0
+    for m in range(k + 1):
+        total += comb(k + 1, m) * t**m * (1 - t) ** (k + 1 - m)
+        if total >= miss:
+            return m
+    return k
 
 
 #: After so many places, so many must be equal. Lowest bytes are equal by chance too, which prunes less, not more.
-_NEED = [(k, least_equal(k)) for k in range(BATCH, PLACES + 1, BATCH)]
+_NEED, _RASH = ([(k, least_equal(k, miss)) for k in range(BATCH, most + 1, BATCH)] for miss, most in ((MISS, LONG), (RASH, PLACES)))
 
 
-def survivors(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Numbers of the rows whose signatures (n, 128) are not pruned, batch after batch."""
+def survivors(x: np.ndarray, y: np.ndarray, needed: list[tuple[int, int]] = _NEED) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the rows whose signatures (n, places) are not pruned, batch after batch, and their equal places."""
     left, equal = np.arange(len(x)), np.zeros(len(x), np.int64)
-    for k, need in _NEED:
+    for k, need in needed:
         equal = equal + (x[left, k - BATCH : k] == y[left, k - BATCH : k]).sum(axis=1)
         left, equal = left[equal >= need], equal[equal >= need]
-    return left
+    return left, equal
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -133,19 +152,9 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def compared(side: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a group, of different components, that sizes and signatures do not exclude.
-
-    Sides 0 and 1 are two blocks, compared with each other; side 2 is a block compared with itself.
-    """
-    if (side == 2).any():
-        # Two members of the largest component have no more to tell each other.
-        names, counts = np.unique(root, return_counts=True)
-        x, y = np.flatnonzero(root != names[counts.argmax()]), np.arange(len(node))
-    else:
-        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    k, need = _NEED[0]
+def _pairs(x: np.ndarray, y: np.ndarray, size: np.ndarray, root: np.ndarray, sketch: np.ndarray, needed: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of members ``x`` with members ``y``, of different components and sizes that fit, the pairs that survive, and their equal places."""
+    found = [(np.zeros(0, np.int64),) * 3]
     for at in range(0, len(x), 32):
         for to in range(0, len(y), 2048):
             i, j = x[at : at + 32], y[to : to + 2048]
@@ -155,24 +164,69 @@ def compared(side: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndar
             p, q = i[p], j[q]
             for part in range(0, len(p), 1 << 14):
                 u, v = p[part : part + (1 << 14)], q[part : part + (1 << 14)]
-                left = survivors(sketch[u], sketch[v])
-                a.append(np.maximum(node[u[left]], node[v[left]]))
-                b.append(np.minimum(node[u[left]], node[v[left]]))
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _signed(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that their signatures do not exclude."""
-    schema = arrow_schema(EDGES)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, 1 << 13):
-            x, y = (np.frombuffer(b"".join(piece.column(k).to_pylist()), np.uint8).reshape(-1, PLACES) for k in (2, 3))
-            left = pa.array(survivors(x, y))
-            yield pa.RecordBatch.from_arrays([piece.column(0).take(left), piece.column(1).take(left)], schema=schema)
+                left, equal = survivors(sketch[u], sketch[v], needed)
+                found.append((u[left], v[left], equal))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def forest(root: np.ndarray, i: np.ndarray, j: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs (i, j) of a spanning forest of greatest weight over the components ``root``."""
+    order, label, taken = np.argsort(-weight, kind="stable"), np.unique(root, return_inverse=True)[1], []
+    while True:
+        a, b = label[i[order]], label[j[order]]
+        order, a, b = (v[a != b] for v in (order, a, b))
+        if not len(order):
+            return np.array(sorted(taken), np.int64)
+        up = list(range(int(label.max()) + 1))
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        # The heaviest pair of each component, the heaviest first.
+        for k in np.unique(np.unique(np.stack([a, b], axis=1).ravel(), return_index=True)[1] // 2):
+            x, y = sorted((top(int(a[k])), top(int(b[k]))))
+            if x != y:
+                up[y] = x
+                taken.append(order[k])
+        label = np.array([top(x) for x in range(len(up))])[label]
+
+
+def spanning(side: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, sketch: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of a group's likely pairs of different components a spanning forest."""
+    every = np.arange(len(node))
+    i, j, equal = _pairs(every, every, size, root, sketch, _RASH)
+    once = i < j
+    i, j, equal = i[once], j[once], equal[once]
+    kept = forest(root, i, j, equal)
+    a, b = node[i[kept]], node[j[kept]]
+    return np.maximum(a, b), np.minimum(a, b)
+
+
+def compared(side: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, sketch: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a group, of different components, that sizes and signatures do not exclude.
 
-    of = lambda a, x: nodes.select(F.col("node").alias(a), F.col("sketch").alias(x))
-    return map_batches(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y"), run, EDGES)
+    Sides 0 and 1 are two blocks, compared with each other; side 2 is a block compared with itself. ``keys``: the group's
+    band, its second band or -1, and for each member the bands of its keys that are dealt singly and of those dealt by two. What
+    two members share shows in their signatures, so a pair that meets in several groups leaves the first alone.
+    """
+    if (side == 2).any():
+        # Two members of the largest component have no more to tell each other.
+        names, counts = np.unique(root, return_counts=True)
+        x, y = np.flatnonzero(root != names[counts.argmax()]), np.arange(len(node))
+    else:
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    i, j, _ = _pairs(x, y, size, root, sketch, _NEED)
+    if len(i):
+        band, second = keys[0, :2].tolist()
+        bits = np.int64(1) << np.arange(BANDS, dtype=np.int64)
+        shared = ((sketch[i, :PLACES] == sketch[j, :PLACES]).reshape(-1, BANDS, EACH).all(axis=2) * bits).sum(axis=1)
+        single, double = (shared & keys[i, c] & keys[j, c] for c in (2, 3))
+        before = lambda of, k: of & ((1 << k) - 1)
+        first = before(single, band) == 0 if second < 0 else (single == 0) & (before(double | 1 << band, second) == 1 << band)
+        i, j = i[first], j[first]
+    return np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -185,45 +239,94 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1)], schema=schema).filter(pa.array([similar(*p) for p in zip(x, y, strict=True)], pa.bool_()))
 
     of = lambda a, x: sets.select(F.col("node").alias(a), F.col("own").alias(x))
-    # First the side that repeats least.
     return keep(map_batches(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y"), run, EDGES), "near")
 
 
-def _fits(x: str, y: str) -> F.Column:
-    return DEN * F.least(x, y) >= NUM * F.greatest(x, y)
-
-
 def _mixed_keys(held: DataFrame) -> DataFrame:
     return held.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key", "n")
 
 
-def _dealt(held: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The members of keys with several components, in groups (grp, side, node, size, root, sketch) that a task can hold."""
-    sizes = _mixed_keys(held)
-    members = keep(held.join(sizes, "key"), "members")
-    common = members.filter(F.col("n") > WHOLE)
-    again = common.select("node", "size", "root", "key").join(common.select("node", F.col("key").alias("second")), "node").filter("key < second")
-    again = again.select("node", "size", "root", F.xxhash64("key", "second").alias("key"))
-    again = again.join(_mixed_keys(again), "key")
-    rows = members.filter(F.col("n") <= WHOLE).select("node", "size", "root", "key", "n").unionByName(again.select("node", "size", "root", "key", "n"))
+_GROUP = ["grp", "side", "node", "size", "root", "keys"]
+
+
+def _dealt(held: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The members of keys with several components, in groups (grp, side, node, size, root, keys, sketch) that a task can hold."""
+    members = keep(held.join(_mixed_keys(held), "key"), "members")
+    common, bit = F.col("n") > WHOLE, F.expr("if(band < 32, shiftleft(1L, band), 0L)")
+    masks = members.groupBy("node").agg(F.bit_or(F.when(~common, bit).otherwise(0)).alias("single"), F.bit_or(F.when(common, bit).otherwise(0)).alias("double"))
+    one = members.filter(~common).withColumn("second", F.lit(-1))
+    two = members.filter(common).select("node", "size", "root", "key", "band")
+    two = two.join(two.select("node", F.col("key").alias("other"), F.col("band").alias("second")), "node").filter("band < second")
+    two = two.withColumn("key", F.xxhash64("key", "other")).drop("other")
+    two = two.join(_mixed_keys(two), "key")
+    columns = ["node", "size", "root", "key", "band", "second", "n"]
+    rows = one.select(*columns).unionByName(two.select(*columns)).join(masks, "node")
     blocks = F.ceil(F.col("n") / WHOLE)
     laid = rows.withColumn("i", F.pmod(F.xxhash64("node"), blocks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     side = F.when(F.col("i") == F.col("j"), 2).when(F.col("i") < F.col("j"), 0).otherwise(1)
-    groups = laid.select(F.struct("key", F.least("i", "j"), F.greatest("i", "j")).alias("grp"), side.alias("side"), "node", "size", "root")
-    return groups.join(nodes.select("node", "sketch"), "node").select("grp", "side", "node", "size", "root", "sketch")
+    grp = F.struct("key", "second", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"))
+    keys = F.array(*[F.col(c).cast("bigint") for c in ("band", "second", "single", "double")])
+    groups = laid.select(grp.alias("grp"), side.alias("side"), "node", "size", "root", keys.alias("keys"))
+    return groups.join(sketches, "node").select(*_GROUP, "sketch")
+
+
+def labelled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of every node that is not the smallest of its component under the edges (a, b)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, i, label[j])
+        np.minimum.at(low, j, label[i])
+        low = low[low]
+        if (low == label).all():
+            member = np.flatnonzero(label != np.arange(len(nodes)))
+            return nodes[member], nodes[label[member]]
+        label = low
+
+
+def grouped(edges: DataFrame) -> DataFrame:
+    """(node, root): the smallest node of each component, for every other node of it.
+
+    Tasks of ``EDGES_EACH`` edges first replace their edges by stars, which leaves little depth; where that is one task, it
+    is the answer, else the stars of all are contracted by joins.
+    """
+    edges = keep(edges, "edges")
+    tasks = max(1, -(-edges.count() // EDGES_EACH))
+    schema = arrow_schema(EDGES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.asarray(x.column(0)), np.asarray(x.column(1))) for x in batches]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(h[k] for h in held)]) for k in (0, 1))
+        node, root = labelled(a, b)
+        for at in range(0, len(node), 1 << 15):
+            yield pa.RecordBatch.from_arrays([pa.array(node[at : at + (1 << 15)]), pa.array(root[at : at + (1 << 15)])], schema=schema)
+
+    dealt = edges.coalesce(1) if tasks == 1 else edges.repartition(tasks)
+    stars = keep(map_batches(dealt, run, EDGES), "stars")
+    discard(edges)
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")) if tasks == 1 else components(stars)
+
+
+def _turned(held: DataFrame, sketches: DataFrame, turn: int) -> DataFrame:
+    """The members of keys with several components, once each, in groups of about ``WHOLE``, with the columns of ``_dealt``."""
+    members = held.join(_mixed_keys(held), "key")
+    block = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.ceil(F.col("n") / WHOLE))
+    groups = members.select(F.struct("key", block.alias("i")).alias("grp"), F.lit(2).alias("side"), "node", "size", "root", F.array().cast("array<bigint>").alias("keys"))
+    return groups.join(sketches, "node").select(*_GROUP, "sketch")
 
 
-def _outside(held: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a key and are not pruned, compared in the tasks: no others leave them."""
+def _within(groups: DataFrame, find) -> DataFrame:
+    """Pairs (a, b) that ``find`` gives for each group; a task reads one whole group after the other."""
     schema = arrow_schema(EDGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
 
         def pairs(rows: list[tuple]) -> pa.RecordBatch:
-            _, side, node, size, root, sketch = zip(*rows, strict=True)
-            marks = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, PLACES)
-            a, b = compared(np.asarray(side), np.asarray(node, np.int64), np.asarray(size), np.asarray(root, np.int64), marks)
+            _, side, node, size, root, keys, sketch = zip(*rows, strict=True)
+            marks = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(rows), -1)
+            a, b = find(np.asarray(side), np.asarray(node, np.int64), np.asarray(size), np.asarray(root, np.int64), marks, np.asarray(keys, np.int64))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
         for piece in slices(batches, 1 << 13):
@@ -235,41 +338,33 @@ def _outside(held: DataFrame, nodes: DataFrame) -> DataFrame:
         if waiting:
             yield pairs(waiting)
 
-    groups = _dealt(held, nodes).repartition("grp").sortWithinPartitions("grp")
-    return map_batches(groups, run, EDGES)
+    return map_batches(groups.repartition("grp").sortWithinPartitions("grp"), run, EDGES)
 
 
 def linked(nodes: DataFrame, sets_of, more: DataFrame | None = None) -> DataFrame:
-    """(node, root) for nodes that are linked. ``nodes``: node, size, keys, sketch; ``sets_of`` gives (node, own) for some nodes.
+    """(node, root) for nodes that are linked. ``nodes``: node, size, keys, sketch; ``sets_of`` gives (node, own, long) for some nodes.
 
     ``more`` are further pairs (a > b) to verify, found another way.
     """
-    rows = nodes.select("node", "size", F.explode("keys").alias("key"))
+    rows = nodes.select("node", "size", F.posexplode("keys").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     held = keep(rows.join(shared, "key").withColumn("root", F.col("node")), "bands")
     some = held.select("node") if more is None else held.select("node").unionByName(more.select(F.col("a").alias("node"))).unionByName(more.select(F.col("b").alias("node")))
-    sets = sets_of(some.distinct())
-    edges, seen = None, None
+    sets, edges = sets_of(some.distinct()), None
     for turn in range(TURNS):
-        # One rank of nodes for all keys of a turn: the keys of a large group share their heads.
-        rank = F.xxhash64("node", F.lit(turn))
-        heads = held.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct(rank.alias("h"), F.col("node").alias("b"), F.col("size").alias("s"), F.col("root").alias("r"))).alias("x")).filter("low < high")
-        mixed = keep(held.join(heads.select("key", "x"), "key"), "mixed")
-        pairs = mixed.filter((F.col("root") != F.col("x.r")) & _fits("size", "x.s")).select(F.greatest("node", "x.b").alias("a"), F.least("node", "x.b").alias("b"))
+        pairs = _within(_turned(held, nodes.select("node", "sketch"), turn), spanning)
         if more is not None and turn == 0:
             pairs = pairs.unionByName(more.select("a", "b"))
         pairs = keep(pairs.distinct(), "pairs")
-        new = _verified(keep(_signed(pairs, nodes), "likely"), sets)
+        new = _verified(pairs, sets)
         edges = new if edges is None else edges.unionByName(new)
-        named = keep(components(edges), "roots")
-        discard(held)
-        held = keep(mixed.drop("x", "root").join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "bands")
-        discard(mixed, pairs)
-        if new.isEmpty():
-            break
-    found = keep(_outside(held, nodes).distinct(), "likely")
-    whole = components(edges.unionByName(_verified(found, sets)))
-    discard(held)
+        named = grouped(edges)
+        after = keep(held.drop("root").join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "bands")
+        discard(held, pairs)
+        held = after
+    found = keep(_within(_dealt(held, sets.select("node", F.col("long").alias("sketch"))), compared).distinct(), "likely")
+    whole = grouped(edges.unionByName(_verified(found, sets)))
+    discard(held, found)
     return whole
 
 
@@ -283,7 +378,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int):
     def of(some: DataFrame) -> DataFrame:
         asked = keep(nodes.select("node", "digest", "mark").join(some, "node"), "asked")
         bits = docs.sparkSession.sparkContext.broadcast(bitmap(asked.select(F.col("mark").bitwiseAND(F.lit(SLOTS - 1)).alias("slot"))))
-        schema = arrow_schema("digest binary, own binary")
+        form = "digest binary, own binary, long binary"
+        schema = arrow_schema(form)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen = set()
@@ -292,11 +388,11 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int):
                 asks = (bits.value[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
                 new = [t for t, m, ask in zip(piece.column(1).to_pylist(), piece.column(0).to_pylist(), asks, strict=True) if ask and not (m in seen or seen.add(m))]
                 found = [s for s in shingle_sets(new, words) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([sketch(s, LONG) for s in found], pa.binary())], schema=schema)
 
-        hashed = map_batches(docs.select(F.xxhash64("text").alias("mark"), "text"), run, "digest binary, own binary")
-        met = hashed.join(asked.select("digest", "node"), "digest").select("node", "own")
-        return keep(met.groupBy("node").agg(F.first("own").alias("own")), "sets")
+        hashed = map_batches(docs.select(F.xxhash64("text").alias("mark"), "text"), run, form)
+        met = hashed.join(asked.select("digest", "node"), "digest").select("node", "own", "long")
+        return keep(met.groupBy("node").agg(F.first("own").alias("own"), F.first("long").alias("long")), "sets")
 
     return of
 

@@ -66,10 +66,11 @@ def _corpus(seed=3):
     return [(i, " ".join(t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("whole", [2048, 8])
-def test_equals_all_pairs(spark, monkeypatch, whole):
-    """With groups of 8 the keys of the passage are dealt again and cut into blocks."""
+@pytest.mark.parametrize(("whole", "each"), [(2048, 1 << 17), (8, 10)])
+def test_equals_all_pairs(spark, monkeypatch, whole, each):
+    """With groups of 8 the keys of the passage are dealt again and cut into blocks; links are contracted over several tasks."""
     monkeypatch.setattr(M, "WHOLE", whole)
+    monkeypatch.setattr(M, "EDGES_EACH", each)
     rows = _corpus()
     assert _get(spark, rows) == brute(rows)
 
@@ -119,10 +120,42 @@ def test_posterior_prunes_at_the_stated_probability():
     assert M.posterior(32, 32) > 0.999 and M.posterior(0, 32) < 1e-20
     for k, need in M._NEED:
         assert M.posterior(need, k) >= M.MISS > M.posterior(need - 1, k)
+    assert all(rash > need for (_, rash), (_, need) in zip(M._RASH, M._NEED, strict=False))
     rng = np.random.default_rng(2)
-    x = rng.integers(0, 256, (2000, M.PLACES), np.uint8)
+    x = rng.integers(0, 256, (2000, M.LONG), np.uint8)
     same = rng.random(x.shape) < 0.8
     y = np.where(same, x, rng.integers(0, 256, x.shape, np.uint8))
-    assert len(M.survivors(x, y)) == 2000
+    left, equal = M.survivors(x, y)
+    assert len(left) == 2000 and (equal == (x == y).sum(axis=1)).all()
     far = np.where(rng.random(x.shape) < 0.3, x, rng.integers(0, 256, x.shape, np.uint8))
-    assert len(M.survivors(x, far)) < 5
+    assert len(M.survivors(x, far)[0]) < 5
+
+
+def test_a_spanning_forest_of_greatest_weight():
+    rng = random.Random(7)
+    for _ in range(60):
+        n = rng.randint(2, 30)
+        root = np.array([rng.randint(0, n) for _ in range(n)])
+        edges = [(i, j, rng.randint(90, 128)) for i in range(n) for j in range(i) if root[i] != root[j] and rng.random() < 0.3]
+        i, j, w = (np.array(c, np.int64) for c in (zip(*edges, strict=True) if edges else ([], [], [])))
+        got = M.forest(root, i, j, w)
+        # Kruskal, an edge at a time.
+        own, weight = {r: {r} for r in root.tolist()}, 0
+        for a, b, x in sorted(edges, key=lambda e: -e[2]):
+            if own[root[a]] is not own[root[b]]:
+                both = own[root[a]] | own[root[b]]
+                own |= dict.fromkeys(both, both)
+                weight += x
+        assert w[got].sum() == weight
+        assert len(got) == len(set(root.tolist())) - len({id(v) for v in own.values()})
+
+
+def test_labels_of_components():
+    rng = np.random.default_rng(4)
+    for _ in range(40):
+        a, b = rng.integers(0, 60, (2, int(rng.integers(0, 50))))
+        near = {int(x): {int(x)} for x in [*a, *b]}
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            both = near[x] | near[y]
+            near |= dict.fromkeys(both, both)
+        assert dict(zip(*(v.tolist() for v in M.labelled(a, b)), strict=True)) == {x: min(c) for x, c in near.items() if x != min(c)}
