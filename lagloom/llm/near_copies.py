@@ -1,248 +1,73 @@
 """Near copies by exact Jaccard similarity of five-word shingles, for the pipeline: SimHash, and what it cannot reach.
 
-Candidates are the links of the Gray-order index of ``simhash`` (five words, 3 of 64 bits), and texts that share a key. At
-a similarity of 0.8 fingerprints differ in about 10 bits, in one of a hundred pairs in 17, and no index over 64 bits can
-look that far; so a text's keys, besides its fingerprint, are 32 band keys, each made of 4 of its 128 min-hashes: a pair
-of similarity s shares none with probability (1 - s^4)^32, which is 5e-8 at 0.8 and less above. Candidates whose min-hashes
-agree in fewer than 72 of 128 places (by their lowest bytes; at 0.8 fewer than one pair in 10^9) are left; all others
-are verified on the whole shingle sets, so nothing below the threshold is linked.
-
-The members of a key are not paired at once: in two turns all are compared with a few of them, so that a large group of
-near copies becomes few components at a few comparisons a member. Then the members outside a key's largest component are
-compared with all others by their signatures, inside the tasks, which emit likely pairs alone; a key of many members
-is cut into blocks of which a task holds two. No key is left out, however common.
+Candidates are the links of the Gray-order index of ``simhash`` (five words, 3 of 64 bits), texts of one fingerprint, and
+texts that share a band of min-hashes. At a similarity of 0.8 fingerprints differ in about 10 bits, in one of a hundred pairs in
+17, and no index over 64 bits can look that far; a pair of that similarity shares none of 32 bands with probability 5e-8.
+``minhash`` prunes candidates by their signatures and verifies the rest on whole sets, so nothing below 0.8 is linked; it also says
+how keys of any size are dealt out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import repeat
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagloom.llm.arrow import Columns, arrow_schema, map_batches, map_columns, slices
+from lagloom.llm import minhash
+from lagloom.llm.arrow import Columns, map_columns
 from lagloom.llm.decontaminate import small
-from lagloom.llm.simhash import _LOWER, EDGES, components, fingerprint, links
-from lagloom.sources.shared import keep
-
-WORDS, BANDS, EACH, SEED = 5, 32, 4, 42
-#: Members of a key with which all others are compared in a turn, and turns.
-HEADS, TURNS = 2, 2
-#: Members of a key that one task compares with each other.
-WHOLE = 4096
-#: Of 128 lowest bytes of min-hashes so many must agree.
-AGREE = 72
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-_rng = np.random.default_rng(11)
-_FLIP, _ODD = (_rng.integers(0, 1 << 64, BANDS * EACH, np.uint64)[:, None] | np.uint64(odd) for odd in (0, 1))
-
-
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct hashes of a text's runs of five words; a shorter text is one run, an empty one has none."""
-    import xxhash
-
-    own = (text or "").encode("utf-8").translate(_LOWER).split()
-    if not own:
-        return np.zeros(0, np.uint64)
-    grams = map(b" ".join, zip(*(own[k:] for k in range(WORDS)), strict=False)) if len(own) >= WORDS else iter([b" ".join(own)])
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
-
-
-def signature(own: np.ndarray) -> tuple[np.ndarray, bytes]:
-    """The 32 band keys of a shingle set, and the lowest bytes of its 128 min-hashes."""
-    low = np.full(BANDS * EACH, _NONE)
-    for at in range(0, len(own), 1024):
-        x = (own[at : at + 1024] ^ _FLIP) * _ODD
-        x ^= x >> np.uint64(32)
-        x *= _MIX
-        low = np.minimum(low, x.min(axis=1))
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for part in low.reshape(BANDS, EACH).T:
-        key = (key ^ part) * _MIX
-        key ^= key >> np.uint64(29)
-    # A minimum is small: its high bytes tell little, its lowest one is as good as random.
-    return key.view(np.int64), low.astype(np.uint8).tobytes()
-
-
-def bands(own: np.ndarray) -> np.ndarray:
-    return signature(own)[0]
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether the Jaccard similarity is 0.8 or more; two empty sets are equal."""
-    if 5 * min(len(a), len(b)) < 4 * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 5 * both >= 4 * (len(a) + len(b) - both)
-
-
-def _likely(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures agree in ``AGREE`` places at least."""
-    schema = arrow_schema(EDGES)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, 1 << 13):
-            x, y = (np.frombuffer(b"".join(piece.column(k).to_pylist()), np.uint8).reshape(-1, BANDS * EACH) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1)], schema=schema).filter(pa.array((x == y).sum(axis=1) >= AGREE))
-
-    marks = signed.select("node", "sketch")
-    laid = pairs.join(marks.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(marks.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-    return keep(map_batches(laid.select("a", "b", "x", "y"), run, EDGES), "likely")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those pairs (a, b) of nodes whose texts are near copies. ``texts`` has a row for each node at least."""
-
-    def make():
-        return lambda c: {"node": c["node"], "own": [shingles(t).tobytes() for t in c["text"]]}
-
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    # Copies of a text are one node; each task hands on one of them.
-    sets = map_columns(texts.join(small(nodes), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), make, "node long, own binary")
-    sets = keep(sets, "sets")
-    schema = arrow_schema(EDGES)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, 1024):
-            x, y = ([np.frombuffer(v.as_buffer(), np.uint64) for v in piece.column(k)] for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(1)], schema=schema).filter(pa.array([similar(*p) for p in zip(x, y, strict=True)], pa.bool_()))
-
-    laid = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    return keep(map_batches(laid.select("a", "b", "x", "y"), run, EDGES), "near")
+from lagloom.llm.simhash import fingerprint, links
+from lagloom.sources.shared import discard, keep
 
+WORDS = 5
 
-def _fits(x: str, y: str) -> F.Column:
-    """Sizes that a similarity of 0.8 allows."""
-    return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
 
-
-def _simhash_pairs(signed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of texts, one for each fingerprint, that the Gray-order index links."""
-    by_print = signed.groupBy("fp").agg(F.min("node").alias("node"))
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes, one for each fingerprint, that the Gray-order index links."""
+    by_print = nodes.groupBy("fp").agg(F.min("node").alias("node"))
     found = links(by_print.select("fp"))
     of = lambda x: by_print.select(F.col("fp").alias(x), F.col("node").alias(f"node_{x}"))
     both = found.join(of("a"), "a").join(of("b"), "b")
     return both.select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b"))
 
 
-def _dealt(held: DataFrame, signed: DataFrame) -> DataFrame:
-    """The members of keys with several components in groups (grp, side, node, size, root, sketch) that a task can hold.
-
-    A key of more than ``WHOLE`` members is cut into blocks, and each two blocks are a group (sides 0 and 1), as is each
-    block with itself (side 2).
-    """
-    sizes = held.groupBy("band").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    members = held.join(sizes.select("band", F.ceil(F.col("n") / WHOLE).alias("blocks")), "band").join(signed.select("node", "sketch"), "node")
-    i, j = F.pmod(F.xxhash64("node"), F.col("blocks")), F.col("j")
-    laid = members.withColumn("i", i).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    side = F.when(F.col("i") == j, 2).when(F.col("i") < j, 0).otherwise(1)
-    return laid.select(F.xxhash64("band", F.least("i", "j"), F.greatest("i", "j")).alias("grp"), side.alias("side"), "node", "size", "root", "sketch")
-
-
-def compared(side: np.ndarray, node: np.ndarray, size: np.ndarray, root: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a group, of different components, whose sizes and signatures a similarity of 0.8 allows."""
-    if (side == 2).any():
-        # Two members of the largest component have no more to tell each other.
-        names, counts = np.unique(root, return_counts=True)
-        x, y = np.flatnonzero(root != names[counts.argmax()]), np.arange(len(node))
-    else:
-        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for at in range(0, len(x), 32):
-        for to in range(0, len(y), 2048):
-            i, j = x[at : at + 32], y[to : to + 2048]
-            near = (sketch[i][:, None, :] == sketch[j]).sum(axis=2) >= AGREE
-            near &= root[i][:, None] != root[j]
-            near &= 5 * np.minimum(size[i][:, None], size[j]) >= 4 * np.maximum(size[i][:, None], size[j])
-            p, q = np.nonzero(near)
-            a.append(np.maximum(node[i[p]], node[j[q]]))
-            b.append(np.minimum(node[i[p]], node[j[q]]))
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _outside(held: DataFrame, signed: DataFrame) -> DataFrame:
-    """Likely pairs (a, b) of different components that share a key, compared in the tasks: no others leave them."""
-    schema = arrow_schema(EDGES)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_back: list[tuple] = []
-
-        def pairs(rows: list[tuple]) -> pa.RecordBatch:
-            _, side, node, size, root, sketch = zip(*rows, strict=True)
-            marks = np.frombuffer(b"".join(sketch), np.uint8).reshape(-1, BANDS * EACH)
-            a, b = compared(np.asarray(side), np.asarray(node, np.int64), np.asarray(size), np.asarray(root, np.int64), marks)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
-
-        for piece in slices(batches, 1 << 13):
-            for row in zip(*piece.to_pydict().values(), strict=True):
-                if held_back and row[0] != held_back[0][0]:
-                    yield pairs(held_back)
-                    held_back = []
-                held_back.append(row)
-        if held_back:
-            yield pairs(held_back)
-
-    groups = _dealt(held, signed).repartition("grp").sortWithinPartitions("grp")
-    return keep(map_batches(groups, run, EDGES).distinct(), "likely")
-
-
-def roots(signed: DataFrame, texts: DataFrame) -> DataFrame:
-    """(node, root) for nodes with a near copy. ``signed``: node, size, fp, bands, sketch, a row for each node; ``texts``: node, text."""
-    rows = signed.select("node", "size", F.explode(F.concat("bands", F.array(F.xxhash64(F.lit("print"), "fp")))).alias("band"))
-    shared = rows.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    held = keep(rows.join(shared, "band").withColumn("root", F.col("node")), "bands")
-    more, edges, turn = _simhash_pairs(signed), None, 0
-    while True:
-        # Keys whose members lie in several components, each with the members of least hash in this turn: the keys
-        # of a large group share four sets of heads, so that a member is compared with a few others, not with dozens.
-        own = [F.min(F.struct(F.xxhash64("node", F.pmod("band", F.lit(4)), F.lit(turn * HEADS + i)).alias("h"), F.col("node").alias("b"), F.col("size").alias("s"), F.col("root").alias("r"))) for i in range(HEADS)]
-        heads = held.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array_distinct(F.array(*own)).alias("heads")).filter("low < high")
-        mixed = keep(held.join(heads.select("band", "heads"), "band"), "mixed")
-        pairs = mixed.select("node", "size", "root", F.explode("heads").alias("x")).filter((F.col("root") != F.col("x.r")) & _fits("size", "x.s"))
-        pairs = pairs.select(F.greatest("node", "x.b").alias("a"), F.least("node", "x.b").alias("b"))
-        new = _verified(_likely(keep((pairs if more is None else pairs.unionByName(more)).distinct(), "pairs"), signed), texts)
-        found, more = not new.isEmpty(), None
-        edges = new if edges is None else edges.unionByName(new)
-        named = keep(components(edges), "roots")
-        held = keep(mixed.drop("heads", "root").join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "bands")
-        turn += 1
-        if not found or turn == TURNS:
-            return components(edges.unionByName(_verified(_outside(held, signed), texts)))
+def _row_key(id_col: str, text: Column) -> Column:
+    """128 bits over id and text: rows of one key are equal."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("none")), F.lit(":"), text).cast("binary")))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies, with all their columns.
 
     Rows are keyed by id and text, so texts that share an id are judged apart. Of a group of near copies the row with
-    the smallest id stays (rows without an id come last; of one id's texts the one of smallest hash stays). Of rows
-    equal in id and text one stays. Null, empty and blank texts are copies of each other.
+    the smallest id stays (rows without an id come last; of one id's texts the one of smallest digest stays). Of rows
+    equal in id and text one stays. Null, empty and blank texts are copies of each other. Very long texts are whole.
     """
-    text, key = F.coalesce(F.col(text_col), F.lit("")), F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    texts = docs.select(F.xxhash64(text).alias("node"), text.alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
 
     def make():
         def sign(c: Columns) -> Columns:
-            sets = [shingles(t) for t in c["text"]]
-            keys, sketches = zip(*map(signature, sets), strict=True)
-            return {"id": c["id"], "row_key": c["row_key"], "node": c["node"], "size": [len(x) for x in sets], "fp": [fingerprint(t, WORDS) for t in c["text"]], "bands": keys, "sketch": sketches}
+            sets = minhash.shingle_sets(c["text"], WORDS)
+            keys, sketches = zip(*map(minhash.signature, sets), strict=True)
+            return {k: c[k] for k in ("id", "row_key", "mark")} | {"digest": [minhash.digest(s) for s in sets], "size": [len(s) for s in sets], "fp": [fingerprint(t, WORDS) for t in c["text"]], "keys": keys, "sketch": sketches}
 
         return sign
 
-    signed = map_columns(docs.select(F.col(id_col).cast("long").alias("id"), key.alias("row_key"), F.xxhash64(text).alias("node"), text.alias("text")), make, "id long, row_key long, node long, size long, fp long, bands array<long>, sketch binary")
-    signed = keep(signed, "signed")
-    one = keep(signed.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "distinct")
-    named = keep(roots(one, texts), "roots")
-    rows = signed.groupBy("row_key").agg(F.first("node").alias("node"), F.first("id").alias("id"), F.count("*").alias("n"))
-    rows = keep(rows.join(named, "node", "left").withColumn("root", F.coalesce("root", "node")), "rows")
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "node", "row_key")).alias("first"), F.count("*").alias("m")).filter("m > 1").select("root", F.col("first.row_key").alias("kept"))
-    gone = keep(rows.join(first, "root").filter("row_key <> kept").select("row_key"), "gone")
-    twice = keep(rows.filter("n > 1").select("row_key", F.lit(True).alias("twice")), "twice")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), _row_key(id_col, text).alias("row_key"), F.xxhash64(text).alias("mark"), text.alias("text"))
+    signed = keep(map_columns(rows, make, "id long, row_key binary, mark long, digest binary, size long, fp long, keys array<long>, sketch binary"), "signed")
+    first = [F.first(c).alias(c) for c in ("mark", "size", "fp", "keys", "sketch")]
+    nodes = keep(signed.groupBy("digest").agg(*first).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    written = nodes.filter("size > 0")
+    keyed = written.select("node", "size", F.concat("keys", F.array(F.xxhash64(F.lit("print"), "fp"))).alias("keys"), "sketch")
+    roots = minhash.linked(keyed, minhash._sets(docs.select(text.alias("text")), nodes, WORDS), _simhash_pairs(written))
+    named = keep(nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root")), "named")
+    each = signed.groupBy("row_key").agg(F.first("digest").alias("digest"), F.first("id").alias("id"), F.count("*").alias("n"))
+    each = keep(each.join(named, "digest").select("row_key", "id", "n", "root"), "rows")
+    discard(signed, nodes, named)
+    kept = each.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row_key")).alias("first"), F.count("*").alias("m")).filter("m > 1").select("root", F.col("first.row_key").alias("kept"))
+    gone = keep(each.join(kept, "root").filter("row_key <> kept").select("row_key"), "gone")
+    twice = keep(each.filter("n > 1").select("row_key", F.lit(True).alias("twice")), "twice")
     # Names that ``docs`` cannot have itself.
     name = "_key_of_" + "_".join(docs.columns)
-    left = docs.withColumn(name, key).join(small(gone.withColumnRenamed("row_key", name)), name, "left_anti").join(small(twice.select(F.col("row_key").alias(name), F.col("twice").alias(f"{name}_twice"))), name, "left")
+    left = docs.withColumn(name, _row_key(id_col, text)).join(small(gone.withColumnRenamed("row_key", name)), name, "left_anti").join(small(twice.select(F.col("row_key").alias(name), F.col("twice").alias(f"{name}_twice"))), name, "left")
     # Only repeated rows are shuffled.
     return left.filter(F.col(f"{name}_twice").isNull()).unionByName(left.filter(f"`{name}_twice`").dropDuplicates([name])).select(*docs.columns)

@@ -2,7 +2,8 @@ import random
 
 import corpus_pipeline
 import numpy as np
-from lagloom.llm import near_copies
+from pyspark.sql import functions as F
+from lagloom.llm import minhash, near_copies
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -66,8 +67,8 @@ def test_bands_hit_what_is_promised():
     rng = random.Random(10)
     for _ in range(300):
         common = [rng.getrandbits(64) for _ in range(80)]
-        a, b = (near_copies.np.unique(near_copies.np.array(common + [rng.getrandbits(64) for _ in range(10)], near_copies.np.uint64)) for _ in range(2))
-        assert near_copies.similar(a, b) and (near_copies.bands(a) == near_copies.bands(b)).any()
+        a, b = (np.unique(np.array(common + [rng.getrandbits(64) for _ in range(10)], np.uint64)) for _ in range(2))
+        assert minhash.similar(a, b) and (minhash.signature(a)[0] == minhash.signature(b)[0]).any()
 
 
 def test_texts_that_share_an_id_are_judged_apart(spark):
@@ -80,7 +81,7 @@ def test_texts_that_share_an_id_are_judged_apart(spark):
 
 def test_texts_that_share_a_passage_only(spark, monkeypatch):
     """Common keys are cut into blocks; the near copies among them are found all the same."""
-    monkeypatch.setattr(near_copies, "WHOLE", 7)
+    monkeypatch.setattr(minhash, "WHOLE", 7)
     rng = random.Random(12)
     passage = [f"p{i}" for i in range(60)]
     rows = []
@@ -99,24 +100,30 @@ def test_texts_that_share_a_passage_only(spark, monkeypatch):
 def test_a_key_in_blocks_gives_the_pairs_of_the_whole(spark, monkeypatch):
     """Pairs of different components with likely signatures, once each, and none within the largest component."""
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 256, (4, 128), np.uint8)
+    base = rng.integers(0, 256, (4, minhash.LONG), np.uint8)
     rows, signed = [], []
     for n in range(60):
         own = base[n % 4].copy()
-        own[rng.choice(128, int(rng.integers(0, 60)), replace=False)] = 7
+        own[rng.choice(minhash.LONG, int(rng.integers(0, 300)), replace=False)] = 7
         rows.append((1, n, int(rng.integers(80, 130)), 0 if n % 3 else n))
         signed.append((n, bytearray(own.tobytes())))
-    held, signed_df = spark.createDataFrame(rows, "band long, node long, size long, root long"), spark.createDataFrame(signed, "node long, sketch binary")
+    held, signed_df = spark.createDataFrame(rows, "band int, node long, size long, root long"), spark.createDataFrame(signed, "node long, sketch binary")
     want = set()
+
+    def survives(x, y):
+        same = [u == v for u, v in zip(x, y, strict=True)]
+        return all(sum(same[:k]) >= need for k, need in minhash._NEED)
+
     for _, a, s, r in rows:
         for _, b, t, q in rows:
-            same = sum(x == y for x, y in zip(signed[a][1], signed[b][1], strict=True))
-            if a > b and r != q and same >= near_copies.AGREE and 5 * min(s, t) >= 4 * max(s, t):
+            if a > b and r != q and survives(signed[a][1], signed[b][1]) and 5 * min(s, t) >= 4 * max(s, t):
                 want.add((a, b))
     assert len(want) > 20
+    # Two keys that all share: common keys are dealt again by pairs of keys.
+    held = held.withColumn("key", F.lit(1).cast("long")).unionByName(held.withColumn("key", F.lit(2).cast("long")).withColumn("band", F.lit(2)))
     for whole in (4096, 9):
-        monkeypatch.setattr(near_copies, "WHOLE", whole)
-        got = [tuple(r) for r in near_copies._outside(held, signed_df).collect()]
+        monkeypatch.setattr(minhash, "WHOLE", whole)
+        got = [tuple(r) for r in minhash._within(minhash._dealt(held, signed_df), minhash.compared).distinct().collect()]
         assert set(got) == want and len(got) == len(want)
 
 
@@ -133,7 +140,7 @@ def test_signatures_agree_as_sets_do():
         for _ in range(20):
             a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
             b = np.unique(np.concatenate([a[: int(0.89 * len(a))], rng.integers(0, 1 << 64, n - int(0.89 * n), np.uint64)]))
-            x, y = (np.frombuffer(near_copies.signature(s)[1], np.uint8) for s in (a, b))
+            x, y = (np.frombuffer(minhash.signature(s)[1], np.uint8) for s in (a, b))
             j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
             assert abs((x == y).mean() - j) < 0.25
-            assert j < 0.79 or (x == y).sum() > near_copies.AGREE
+            assert j < 0.79 or (x == y).sum() > dict(minhash._NEED)[128]

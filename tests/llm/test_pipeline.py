@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def test_registered():
     names = entry.queries()
     assert [n for n in names if n.startswith("op") and n.split("_")[0][2:].isdigit()] and "pipeline" in names
-    assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n.split("_")[0][2:]) for n in queries.QUERIES) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "secrets", "packing"]
 
 
