@@ -13,7 +13,7 @@ from lagloom.plans import stand_ins as T
 from lagloom.plans.registry import query
 from lagloom.sources import lines, sinks
 from lagloom.sources.shared import new_path
-from lagloom.streaming import rollup
+from lagloom.streaming import rollup, traps
 
 _L = f"WITH {T.LOG}"
 _OUT = "count(*) FILTER (confirmed) AS confirmed, count(*) FILTER (NOT confirmed) AS rejected, count(*) FILTER (confirmed IS NULL) AS partial"
@@ -179,6 +179,18 @@ def repeat_block(spark, d):
     return E.repeats(T.log(spark, d).withColumn("fp", hypothesis_fingerprint(F.col("hypothesis"))), "fp")
 
 
+@query(f"{_L}, f AS (SELECT session, iteration, {_FP} AS fp FROM log), n AS (SELECT *, row_number() OVER (PARTITION BY session, fp ORDER BY iteration) AS seen FROM f) SELECT * FROM n WHERE seen >= 3")
+def repeat_block_stream(spark, d):
+    """The same while the log grows: iterations come in three parts, and the query is started again on its checkpoint for each."""
+    src, out, seen = (new_path(spark, n) for n in ("growing", "blocked", "counters"))
+    log = T.log(spark, d).select("session", "iteration", hypothesis_fingerprint(F.col("hypothesis")).alias("fp"), F.timestamp_seconds("iteration").alias("at"))
+    for part in ("iteration <= 10", "iteration between 11 and 40", "iteration > 40"):
+        log.filter(part).write.mode("append").parquet(src)
+        rows = traps.repeats(spark.readStream.schema(log.schema).parquet(src), "fp", "at")
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", seen).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(out)
+
+
 _NAMES, _COLS = "|".join(fixed.FOREIGN_INSTRUMENTS), "|".join(fixed.CONTEXT_COLUMNS)
 _ALIAS = f"regexp_matches(sql, '(?i)\\b({_COLS})\\s+AS\\s+({_NAMES})\\b')"
 _TEXT = "lower(sql || ' ' || hypothesis)"
