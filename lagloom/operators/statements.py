@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lagloom.functions.stats import r4
 from lagloom.operators import gram
+from lagloom.sources.shared import keep
 
 _DAY = r"DATE '(\d{4}-\d{2}-\d{2})'"
 _SHAPE = r"(?i)\bSELECT\b.*\bCORR\( ?s\.\w+ ?, ?t\.\w+ ?\).* FROM \w+ s (?:INNER )?JOIN \w+ t ON t\.\w+ = s\.\w+(?: \+ INTERVAL '?\d+'? DAYS?'?)? WHERE (?:(?:[st]\.\w+ = '[^']*'|s\.\w+ BETWEEN DATE '[^']*' AND DATE '[^']*')(?: AND |$))+$"
@@ -49,11 +50,12 @@ def measured(statements: DataFrame, sources: DataFrame, targets: DataFrame, regi
     series of its own, limited to those days; the distinct ones, the targets they name and the lags are one grid of
     matrix products. Repeated statements are measured once.
     """
-    rows = parsed(statements, sql)
+    # Each text is parsed once, and what it says is kept: a filter on it, pushed below, would match the patterns again for every row and use.
+    texts = statements.filter(F.col(sql).isNotNull()).select(F.col(sql).alias("_sql")).distinct()
     limits = ["since", "until", "regime"]
     series = F.concat_ws("\u0001", "source", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in limits])
-    rows = rows.withColumn("_series", F.when(F.col("source").isNotNull(), series))
-    asked = rows.filter("_series is not null")
+    told = keep(parsed(texts, "_sql").withColumn("_series", F.when(F.col("source").isNotNull(), series)), "statements")
+    asked = told.filter("_series is not null")
     kinds = asked.select("_series", "source", *limits).distinct()
     limited = sources.join(kinds, "source").filter((F.col("since").isNull() | (F.col("day") >= F.col("since"))) & (F.col("until").isNull() | (F.col("day") <= F.col("until"))))
     if regimes is not None:
@@ -67,5 +69,6 @@ def measured(statements: DataFrame, sources: DataFrame, targets: DataFrame, regi
     cells = gram.correlations(limited.select(F.col("_series").alias("source"), "day", "x"), named.select("target", "day", "y"), lags)
     cells = cells.select(F.col("source").alias("_series"), "target", "lag", "n", r4(F.col("r")).alias("r"))
     flat = cells.filter("lag = 0").select("_series", "target", F.col("r").alias("_r0"))
-    out = rows.join(cells, ["_series", "target", "lag"], "left").join(flat, ["_series", "target"], "left")
-    return out.select(*statements.columns, "n", "r", F.when(F.col("lag") > 0, F.col("_r0")).alias("r0"))
+    found = asked.join(cells, ["_series", "target", "lag"], "left").join(flat, ["_series", "target"], "left")
+    found = found.select("_sql", "n", "r", F.when(F.col("lag") > 0, F.col("_r0")).alias("r0"))
+    return statements.join(found, F.col(sql) == F.col("_sql"), "left").select(*[statements[c] for c in statements.columns], "n", "r", "r0")

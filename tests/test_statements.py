@@ -46,6 +46,18 @@ def test_measured_as_the_statements_say(spark):
     assert all(got[i] == (None, None, None) for i in (5, 6, 7, 10, 11))
 
 
+def test_a_text_is_parsed_once_however_often_it_comes(spark, monkeypatch):
+    *_, s, t, _ = _series(spark)
+    given, parsed = [], statements.parsed
+    monkeypatch.setattr(statements, "parsed", lambda rows, sql: given.append(rows.count()) or parsed(rows, sql))
+    rows = spark.range(3000).selectExpr("id", f"""case when id % 3 = 0 then "{_stmt(lag=7)}" when id % 3 = 1 then 'SELECT 1' end as sql""")
+    got = statements.measured(rows, s, t)
+    assert given == [2]
+    assert not {"regexp", "RLIKE"} & set(got._jdf.queryExecution().optimizedPlan().toString().replace("(", " ").replace("_", " ").split())
+    found = {(r.id % 3, r.n) for r in got.collect()}
+    assert got.count() == 3000 and found == {(0, 73), (1, None), (2, None)}
+
+
 def test_the_audit_measures_its_candidates_in_one_grid(spark):
     x, y, day, s, t, regimes = _series(spark)
     r, r0 = (abs(_r(x["b"], y["q"], lag, day)) for lag in (7, 0))
