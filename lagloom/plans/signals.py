@@ -95,27 +95,29 @@ def _grid(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return market.unionByName(news).unionByName(macro), targets
 
 
-#: The scan's window, on both sides.
+#: The window of ``signal_strength_bands``, on both sides; the scan itself takes all days.
 SINCE, UNTIL = "1995-03-01", "2000-12-31"
 
 
-def _cells(spark: SparkSession, d: str) -> DataFrame:
+def _cells(spark: SparkSession, d: str, since: str | None = None, until: str | None = None) -> DataFrame:
     sources, targets = _grid(spark, d)
     # News against the same day tells nothing of lead and lag; one pair is a tautology by design.
     out = (F.col("source").startswith("news_") & (F.col("lag_days") == 0)) | ((F.col("source") == "1-URGENT") & (F.col("target") == "AF") & (F.col("lag_days") == 0))
-    return S.scan(sources, targets, T.LAGS6, 150, out, SINCE, UNTIL)
+    return S.scan(sources, targets, T.LAGS6, 150, out, since, until)
 
 
 _TOPICS = ", ".join("CAST(count(CASE WHEN " + " OR ".join(f"contains(text, '{w}')" for w in ws) + f" THEN 1 END) AS INTEGER) AS \"{k}\"" for k, ws in T.TOPIC_WORDS.items())
 _NEWS = f"{T.ARTICLES}, daily AS (SELECT date AS news_date, {_TOPICS} FROM articles GROUP BY date)"
 _LONG = " UNION ALL ".join(f"SELECT 'news_{k}' AS source, news_date AS day, CAST(\"{k}\" AS DOUBLE) AS x FROM daily" for k in T.TOPIC_WORDS)
 _MACRO = " UNION ALL ".join(f"SELECT 'macro_{k}' AS source, trade_date AS day, {k} AS x FROM context" for k in ("rate_pct", "inflation"))
+_WINDOW = f"day BETWEEN '{SINCE}' AND '{UNTIL}' AND trade_date BETWEEN '{SINCE}' AND '{UNTIL}' AND "
 _CELLS = f"""WITH {T.MARKET}, {T.INDICES}, {T.RATES}, {_NEWS}, context AS (SELECT trade_date, rate_pct, inflation FROM market LEFT JOIN rates ON period_date = date_trunc('month', trade_date) WHERE instrument = '1-URGENT'),
 sources AS (SELECT instrument AS source, trade_date AS day, close AS x FROM market UNION ALL {_LONG} UNION ALL {_MACRO}),
 pairs AS (SELECT source, ticker AS target, lag_days AS lag, x, close AS y FROM sources CROSS JOIN {lags_sql(T.LAGS6)} JOIN indices ON trade_date = day + lag_days
-  WHERE day BETWEEN '{SINCE}' AND '{UNTIL}' AND trade_date BETWEEN '{SINCE}' AND '{UNTIL}' AND NOT (source LIKE 'news_%' AND lag_days = 0) AND NOT (source = '1-URGENT' AND ticker = 'AF' AND lag_days = 0)),
+  WHERE NOT (source LIKE 'news_%' AND lag_days = 0) AND NOT (source = '1-URGENT' AND ticker = 'AF' AND lag_days = 0)),
 cells AS (SELECT source, target, lag, {_CORR} AS corr, count(*) AS n FROM pairs GROUP BY ALL HAVING count(*) >= 150 AND NOT isnan(corr(x, y))),
 best AS (SELECT *, abs(corr) AS abs_corr FROM cells QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY abs(corr) DESC, lag) = 1)"""
+_BOUNDED = _CELLS.replace("WHERE NOT (source LIKE", f"WHERE {_WINDOW}NOT (source LIKE")
 
 
 @query(f"{_CELLS} SELECT *, abs(corr) AS abs_corr FROM cells")
@@ -128,9 +130,9 @@ def best_lag_per_pair(spark, d):
     return S.best_lags(_cells(spark, d))
 
 
-@query(f"{_CELLS} SELECT CASE WHEN abs_corr >= 0.6 THEN 'strong' WHEN abs_corr >= 0.35 THEN 'medium' WHEN abs_corr >= 0.2 THEN 'weak' ELSE 'none' END AS strength, count(*) AS n FROM best GROUP BY 1")
+@query(f"{_BOUNDED} SELECT CASE WHEN abs_corr >= 0.6 THEN 'strong' WHEN abs_corr >= 0.35 THEN 'medium' WHEN abs_corr >= 0.2 THEN 'weak' ELSE 'none' END AS strength, count(*) AS n FROM best GROUP BY 1")
 def signal_strength_bands(spark, d):
-    return S.bands(S.best_lags(_cells(spark, d))).groupBy("strength").agg(F.count("*").alias("n"))
+    return S.bands(S.best_lags(_cells(spark, d, SINCE, UNTIL))).groupBy("strength").agg(F.count("*").alias("n"))
 
 
 @query(f"""{_CELLS}, r0 AS (SELECT source, target, corr AS r0 FROM cells WHERE lag = 0)

@@ -62,3 +62,22 @@ def test_correlation_is_affine_invariant(spark):
     rows = [(float(i), float((i * 7) % 11)) for i in range(20)]
     r = frame(spark, rows, "x double, y double").agg(safe_corr("x", "y").alias("a"), safe_corr("y", "x").alias("b"), safe_corr(F.col("x") * -3 + 5, "y").alias("c")).first()
     assert abs(r["a"] - r["b"]) < 1e-12 and abs(r["a"] + r["c"]) < 1e-12
+
+
+@pytest.mark.parametrize("name", ["signal_scan", "best_lag_per_pair", "structural_rerun"])
+def test_the_scan_takes_days_of_all_years(spark, tmp_path, name):
+    from lagloom.plans import registry, stand_ins
+
+    registry.load()
+    days = [D(2010, 1, 1) + dt.timedelta(i) for i in range(400)]
+    tables = {
+        "orders": frame(spark, [(d, "1-URGENT", float(i * 37 % 101)) for i, d in enumerate(days)], "o_orderdate date, o_orderpriority string, o_totalprice double"),
+        "lineitem": frame(spark, [("N", "O", d, float(i * 53 % 97), 1.0, i % 7 / 100, 0.02) for i, d in enumerate(days)], "l_returnflag string, l_linestatus string, l_shipdate date, l_extendedprice double, l_quantity double, l_discount double, l_tax double"),
+        "documents": frame(spark, [(1, "the", "en", "s")], "doc_id bigint, text string, lang string, source string"),
+    }
+    for k, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{k}.parquet")
+    rows = registry.QUERIES[name](spark, str(tmp_path)).filter("source = '1-URGENT'").collect()
+    lags = {"signal_scan": set(stand_ins.LAGS6), "structural_rerun": set(stand_ins.LAGS6) - {0}}
+    assert {r["target"] for r in rows} == {"NO"}
+    assert len(rows) == 1 if name == "best_lag_per_pair" else {r["lag"]: r["n"] for r in rows} == {lag: 400 - lag for lag in lags[name]}
