@@ -186,7 +186,7 @@ def repeat_block_stream(spark, d):
     log = T.log(spark, d).select("session", "iteration", hypothesis_fingerprint(F.col("hypothesis")).alias("fp"), F.timestamp_seconds("iteration").alias("at"))
     for part in ("iteration <= 10", "iteration between 11 and 40", "iteration > 40"):
         log.filter(part).write.mode("append").parquet(src)
-        rows = traps.repeats(spark.readStream.schema(log.schema).parquet(src), "fp", "at")
+        rows = traps.repeats(spark.readStream.schema(log.schema).parquet(src), "fp", "at", buckets=1024)
         rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", seen).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(out)
 
