@@ -154,7 +154,8 @@ class VectorIndex:
 
     def _ranked(self, found: DataFrame, rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         """True distances of candidates (query, id), and the k nearest of each query, ties by id."""
-        met = rows.select("id", "embedding").join(found.distinct(), "id").join(F.broadcast(asked), "query")
+        # By a shuffle: a broadcast would take the index, or all candidates, through the driver for each block.
+        met = rows.select("id", "embedding").join(found.distinct().hint("shuffle_hash"), "id").join(F.broadcast(asked), "query")
         near = met.select("query", "id", cosine_distance(F.col("embedding"), F.col("asked")).alias("distance")).distinct()
         w = Window.partitionBy("query").orderBy("distance", "id")
         return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -163,10 +164,13 @@ class VectorIndex:
         """(query_id, rank, id, distance) of the k nearest rows that meet ``where``, for each of ``queries`` (query_id, embedding).
 
         Queries that are null, zero, not finite or of another length get no rows; ``probes`` overrides what was measured.
-        Queries are taken ``BLOCK`` at a time, each block a pass over the lists it wants.
+        Queries are dealt evenly into blocks of about ``BLOCK``, however many partitions they come in; each block is a pass over the
+        lists it wants, and only its vectors pass through the driver.
         """
         rows = self.rows if where is None else self.rows.filter(where)
-        asked = keep(queries.select("query_id", "embedding").withColumn("block", F.floor(F.monotonically_increasing_id() / BLOCK)), "queries")
+        blocks = max(1, -(-queries.count() // BLOCK))
+        asked = keep(queries.select("query_id", "embedding").withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))), "queries")
+        radius = self.radius() if exact else None
         out = None
         for block in sorted(r[0] for r in asked.select("block").distinct().toLocalIterator()):
             one = asked.filter(F.col("block") == block).select("query_id", "embedding").toArrow()
@@ -175,23 +179,23 @@ class VectorIndex:
                 continue
             one = one.take(pa.array(at))
             table = self.spark.createDataFrame(pa.table({"query": pa.array(np.arange(len(at)), pa.int32()), "query_id": one.column("query_id"), "asked": one.column("embedding")}))
-            found = self._block(rows, q, table, k, probes or self.probes, exact).join(F.broadcast(table), "query").select("query_id", "rank", "id", "distance")
+            found = self._block(rows, q, table, k, probes or self.probes, radius).join(F.broadcast(table), "query").select("query_id", "rank", "id", "distance")
             out = found if out is None else out.unionByName(found)
         return out if out is not None else self.spark.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, rank int, id long, distance double")
 
-    def _block(self, rows: DataFrame, q: np.ndarray, table: DataFrame, k: int, probes: int, exact: bool) -> DataFrame:
+    def _block(self, rows: DataFrame, q: np.ndarray, table: DataFrame, k: int, probes: int, radius: np.ndarray | None) -> DataFrame:
         wanted = np.zeros((len(q), len(self.centroids)), bool)
         np.put_along_axis(wanted, self.probed(q, probes), True, axis=1)
         within = lambda mask: rows.filter(F.col("list").isin(np.flatnonzero(mask.any(axis=0)).tolist()))
         near = within(wanted)
         first = self._ranked(self._scan(near, q, wanted, RERANK * k, None), near, table.select("query", "asked"), k)
-        if not exact:
+        if radius is None:
             return first
         first = keep(first, "first")
         # The k-th distance so far, or none: lists whose nearest possible vector is farther are done.
         last = {r["query"]: r["d"] for r in first.groupBy("query").agg(F.max("distance").alias("d"), F.count("*").alias("n")).filter(F.col("n") >= k).collect()}
         least = np.array([1 - last[i] if i in last else -2.0 for i in range(len(q))]) - 1e-9
-        may = q @ self.centroids.T + self.radius() >= least[:, None]
+        may = q @ self.centroids.T + radius >= least[:, None]
         rest = within(may)
         return self._ranked(self._scan(rest, q, may, k, least), rest, table.select("query", "asked"), k)
 

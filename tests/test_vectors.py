@@ -79,3 +79,17 @@ def test_rows_added_later_are_found(spark, table, index):
     extra = spark.createDataFrame([(9000, 2016, "c1", [3.0 * v for v in _rows()[0][3]])], SCHEMA)
     vectors.add(extra, index.path, ["year"], index.centroids, index.books)
     assert {r.id for r in index.search(spark.createDataFrame([(1, _rows()[0][3])], "query_id long, embedding array<float>"), 2, exact=True).collect()} == {0, 9000}
+
+
+def test_queries_of_many_partitions_are_few_blocks(spark, table, index, monkeypatch):
+    taken, block = [], vectors.VectorIndex._block
+    monkeypatch.setattr(vectors.VectorIndex, "_block", lambda self, rows, q, *more: taken.append(len(q)) or block(self, rows, q, *more))
+    queries = _queries(spark, 30).repartition(9)
+    got = index.search(queries, 3, exact=True)
+    assert taken == [30]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan
+    monkeypatch.setattr(vectors, "BLOCK", 4)
+    few = index.search(queries, 3, exact=True)
+    assert sum(taken[1:]) == 30 and 1 < len(taken[1:]) <= 8
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, got.collect()))
