@@ -240,7 +240,14 @@ def web_records(spark, d):
         return 200, b"".join(islice(each, at, at + n))
 
     pages = T.table(spark, d, "pages").select(F.concat(F.lit("site"), (F.col("page_id") % 8).cast("string"), F.lit(".org")).alias("domain"), "url", "html")
-    pages.mapInPandas(write, "domain string, value string").write.partitionBy("domain").text(index)
+    # Whole pages go to Python a few megabytes at a time, not 10,000 rows.
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "4m")
+    try:
+        pages.mapInPandas(write, "domain string, value string").write.partitionBy("domain").text(index)
+    finally:
+        spark.conf.set(limit, before)
     found = web.index_pages(spark, [f"site{i}.org" for i in range(8)], fetch, "http://index", "2022", "2026", limit=100)
     return web.records(found, fetch, "http://data").select("domain", "url", "html")
 

@@ -20,6 +20,8 @@ Fetch = Callable[[str, dict[str, str]], tuple[int, bytes]]
 INDEX = "domain string, timestamp string, url string, filename string, offset bigint, length bigint, status string"
 PAGES = "domain string, timestamp string, url string, html string"
 BUSY = (429, 503, 504)
+#: Characters of pages that a task hands over at once (one page may be longer).
+PIECE = 4 << 20
 
 
 def tried(fetch: Fetch, url: str, headers: dict[str, str], attempts: int = 3, wait: float = 30, sleep: Callable[[float], None] = time.sleep) -> bytes | None:
@@ -89,18 +91,26 @@ def response_body(record: bytes) -> str | None:
 def records(index: DataFrame, fetch: Fetch, root: str, wait: float = 30) -> DataFrame:
     """The pages of index records, each by one range request; records that are gone or no responses drop.
 
-    Equal ranges are read once. Their number, not that of domains, tells the tasks, so one large domain is spread.
+    Equal ranges are read once, and pages handed over ``PIECE`` characters at a time: a batch of index lines may stand for far more
+    than a task's memory. Their number, not that of domains, tells the tasks, so one large domain is spread.
     """
 
+    names = ["domain", "timestamp", "url", "html"]
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for r in batch.itertuples(index=False):
                 body = tried(fetch, f"{root}/{r.filename}", {"Range": f"bytes={r.offset}-{r.offset + r.length - 1}"}, wait=wait)
                 page = response_body(body) if body else None
-                if page is not None:
-                    rows.append((r.domain, r.timestamp, r.url, page))
-            yield pd.DataFrame(rows, columns=["domain", "timestamp", "url", "html"])
+                if page is None:
+                    continue
+                if rows and held + len(page) > PIECE:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows, held = [], 0
+                rows.append((r.domain, r.timestamp, r.url, page))
+                held += len(page)
+            yield pd.DataFrame(rows, columns=names)
 
     once = index.groupBy("filename", "offset", "length").agg(F.min(F.struct("domain", "timestamp", "url")).alias("r"))
     return once.select("r.*", "filename", "offset", "length").mapInPandas(read, PAGES)

@@ -5,6 +5,7 @@ import sqlite3
 import zipfile
 from urllib.parse import parse_qs, urlparse
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -240,3 +241,15 @@ def test_runs_are_inserted_once(spark, tmp_path):
     for _ in range(2):
         experiments.insert(runs, str(tmp_path / "e"))
     assert rows(spark.read.parquet(str(tmp_path / "e")), "iteration", "sql_attempts", "error_type_1") == [(1, 1, "t"), (2, 0, None)]
+
+
+def test_pages_of_a_batch_are_handed_over_in_pieces(spark, monkeypatch):
+    record = b"WARC-Type: response\r\n\r\nHTTP/1.1 200 OK\r\n\r\n" + b"x" * (1 << 20)
+    index = spark.createDataFrame([("a", "1", "u", "f", 0, len(record), "200")], web.INDEX)
+    taken = []
+    monkeypatch.setattr(type(index), "mapInPandas", lambda self, read, schema: taken.append(read) or self)
+    web.records(index, lambda url, headers: (206, record), "http://data")
+    lines = pd.DataFrame([("a", "1", f"u{i}", "f", i, len(record)) for i in range(10)], columns=["domain", "timestamp", "url", "filename", "offset", "length"])
+    pieces = list(taken[0](iter([lines])))
+    assert [u for p in pieces for u in p["url"]] == [f"u{i}" for i in range(10)]
+    assert max(p["html"].str.len().sum() for p in pieces) <= web.PIECE
