@@ -124,16 +124,20 @@ def candidates(findings: DataFrame, least: int = fixed.RERUN_MIN_SCORE) -> Colum
     return (F.size("issues") == 0) & (F.coalesce("score", F.lit(0)) >= least) & (F.coalesce("sql", F.lit("")) != "")
 
 
-def with_reruns(findings: DataFrame, reruns: DataFrame, on: list[str], least: int = fixed.RERUN_MIN_SCORE, delta: float = fixed.STRUCTURAL_DELTA, weak: float = fixed.MIN_R) -> DataFrame:
-    """``findings`` of ``static_issues`` with what running them again tells; ``reruns`` has on, r and r0.
+def told_again(measured: DataFrame, least: int = fixed.RERUN_MIN_SCORE, delta: float = fixed.STRUCTURAL_DELTA, weak: float = fixed.MIN_R) -> DataFrame:
+    """Findings of ``static_issues`` that have r and r0, with what these tell.
 
     With a lag, an r that stays without it is STRUCTURAL, else a small one is WEAK_R; without a lag only the latter.
     """
-    out = findings.join(reruns.select(*on, "r", "r0"), on, "left")
     flat = (F.coalesce("lag", F.lit(0)) > 0) & (F.abs(F.abs("r") - F.abs("r0")) < delta)
     issue = F.when(flat, "STRUCTURAL").when(F.abs("r") < weak, "WEAK_R")
-    again = F.when(candidates(findings, least) & issue.isNotNull(), F.array(issue)).otherwise(F.col("issues"))
-    return out.withColumn("issues", again)
+    again = F.when(candidates(measured, least) & issue.isNotNull(), F.array(issue)).otherwise(F.col("issues"))
+    return measured.withColumn("issues", again)
+
+
+def with_reruns(findings: DataFrame, reruns: DataFrame, on: list[str], least: int = fixed.RERUN_MIN_SCORE, delta: float = fixed.STRUCTURAL_DELTA, weak: float = fixed.MIN_R) -> DataFrame:
+    """``findings`` of ``static_issues`` with what running them again tells (``told_again``); ``reruns`` has on, r and r0."""
+    return told_again(findings.join(reruns.select(*on, "r", "r0"), on, "left"), least, delta, weak)
 
 
 KINDS = {"aliasing": "ALIASING", "tautology": "TAUTOLOGY", "regime_inactive": "REGIME_INACTIVE", "structural": "STRUCTURAL", "weak_r": "WEAK_R"}
