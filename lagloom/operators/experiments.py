@@ -14,6 +14,9 @@ from lagloom.functions import fixed
 from lagloom.functions.stats import r4
 from lagloom.operators import prefix
 
+#: Runs that a task of ``insert`` holds, about.
+ROWS = 1 << 16
+
 
 def outcome_counts() -> list:
     c = F.col("confirmed")
@@ -62,13 +65,19 @@ def session_top(log: DataFrame, top: int = 3) -> DataFrame:
 
 
 def insert(runs: DataFrame, path: str) -> None:
-    """Append runs (session, iteration, attempts, ...) to the table of experiments; those that are there stay."""
+    """Append runs (session, iteration, attempts, ...) to the table of experiments; those that are there stay.
+
+    They are counted and dealt by key into about ``ROWS`` a task, as a task sorts their whole statements: dealt by session, or
+    by the bytes of the log's narrow rows, it would hold more the longer the log is.
+    """
     from lagloom.operators.tables import first_by_key
 
-    new, keys = attempt_columns(runs), ["session", "iteration"]
+    keys = ["session", "iteration"]
+    new = attempt_columns(runs.repartition(max(1, -(-runs.count() // ROWS)), *keys))
     new = first_by_key(new, keys, [F.xxhash64(*[c for c in new.columns if c not in keys])])
     try:
-        new = new.join(runs.sparkSession.read.schema(new.schema).parquet(path).select(*keys), keys, "left_anti")
+        # By merging: small files of many keys would be taken for a small table, and held whole in every task.
+        new = new.join(runs.sparkSession.read.schema(new.schema).parquet(path).select(*keys).hint("merge"), keys, "left_anti")
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise

@@ -243,6 +243,16 @@ def test_runs_are_inserted_once(spark, tmp_path):
     assert rows(spark.read.parquet(str(tmp_path / "e")), "iteration", "sql_attempts", "error_type_1") == [(1, 1, "t"), (2, 0, None)]
 
 
+def test_a_task_inserts_a_bounded_number_of_runs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(experiments, "ROWS", 100, raising=False)
+    runs = spark.range(4000).selectExpr("concat('s', id % 2) AS session", "CAST(id AS INT) AS iteration", "array(named_struct('sql', 'a', 'error', CAST(null AS STRING), 'error_type', CAST(null AS STRING))) AS attempts")
+    for _ in range(2):
+        experiments.insert(runs, str(tmp_path / "e"))
+    got = spark.read.parquet(str(tmp_path / "e"))
+    assert got.count() == got.select("iteration").distinct().count() == 4000
+    assert max(len(pd.read_parquet(f)) for f in (tmp_path / "e").glob("*.parquet")) < 200
+
+
 def test_pages_of_a_batch_are_handed_over_in_pieces(spark, monkeypatch):
     record = b"WARC-Type: response\r\n\r\nHTTP/1.1 200 OK\r\n\r\n" + b"x" * (1 << 20)
     index = spark.createDataFrame([("a", "1", "u", "f", 0, len(record), "200")], web.INDEX)
