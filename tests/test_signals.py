@@ -81,3 +81,26 @@ def test_the_scan_takes_days_of_all_years(spark, tmp_path, name):
     lags = {"signal_scan": set(stand_ins.LAGS6), "structural_rerun": set(stand_ins.LAGS6) - {0}}
     assert {r["target"] for r in rows} == {"NO"}
     assert len(rows) == 1 if name == "best_lag_per_pair" else {r["lag"]: r["n"] for r in rows} == {lag: 400 - lag for lag in lags[name]}
+
+
+def test_the_best_lag_is_of_all_days_by_its_sql_too(spark, tmp_path):
+    import duckdb
+
+    from lagloom.plans import registry
+
+    registry.load()
+    days = [D(1992, 1, 1) + dt.timedelta(i) for i in range(400)]
+    tables = {
+        "orders": frame(spark, [(d, "1-URGENT", float(i * 37 % 101)) for i, d in enumerate(days)], "o_orderdate date, o_orderpriority string, o_totalprice double"),
+        "lineitem": frame(spark, [("N", "O", d, float(i * 53 % 97), 1.0, i % 7 / 100, 0.02) for i, d in enumerate(days)], "l_returnflag string, l_linestatus string, l_shipdate date, l_extendedprice double, l_quantity double, l_discount double, l_tax double"),
+        "documents": frame(spark, [(1, "the", "en", "s")], "doc_id bigint, text string, lang string, source string"),
+    }
+    db = duckdb.connect()
+    for k, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{k}.parquet")
+        db.execute(f"CREATE VIEW {k} AS SELECT * FROM '{tmp_path}/{k}.parquet/*.parquet'")
+    got = registry.QUERIES["best_lag_per_pair"](spark, str(tmp_path))
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLE_SQL['best_lag_per_pair']}) WHERE source = '1-URGENT'").fetchall()
+    assert [tuple(r) for r in got.filter("source = '1-URGENT'").collect()] == want
+    (row,) = got.filter("source = '1-URGENT'").collect()
+    assert row["n"] == 400 - row["lag"]
