@@ -3,7 +3,8 @@
 Joining sources and targets on the day makes a row for each source, target, lag and day. Here a series' days of a span of
 ``SPAN`` days are one row of arrays; series are dealt into tiles of about ``TILE``, and a task takes a tile of sources, a
 tile of targets and a span. For each lag it shifts the targets' matrix and multiplies: counts, sums, squares and products
-of all pairs at once are seven matrix products. Spans are added by one aggregation, and correlations follow from the sums. What is
+of all pairs at once are seven matrix products. Spans are added by one aggregation, and correlations follow from the sums. Values
+count from their series' mean, which r does not see, so that sums keep the digits of a level with little spread. What is
 shuffled is each series once for every tile of the other side, whatever the lags, and one row a pair, lag and span.
 """
 
@@ -21,19 +22,32 @@ from pyspark.sql.types import _parse_datatype_string
 from lagloom.sources.shared import keep
 
 SPAN, TILE = 2048, 512
-#: A side whose variance is a smaller part of its mean square counts as constant: that much is rounding.
+#: A side whose variance is a smaller part of its mean square, from the series' mean, counts as constant: that much is rounding.
 FLAT = 1e-13
 _SUMS = ["m", "sx", "sy", "sxx", "syy", "sxy"]
 _CELLS = "source string, target string, lag int, n long, m long, " + ", ".join(f"{s} double" for s in _SUMS[1:])
 
 
+def _mean(v: Column) -> Column:
+    """The mean, and of equal values exactly their value."""
+    return F.least(F.greatest(F.avg(v), F.min(v)), F.max(v))
+
+
+def _centred(both: DataFrame) -> DataFrame:
+    """Each series with its mean over days, the same in all its spans."""
+    days = both.select("side", "name", F.explode("days").alias("day")).filter("day.m > 0")
+    centres = days.groupBy(F.col("side").alias("_side"), F.col("name").alias("_name")).agg(_mean(F.col("day.a")).alias("centre"))
+    found = both.join(centres, (F.col("side") == F.col("_side")) & F.col("name").eqNullSafe(F.col("_name")), "left")
+    return found.select(*both.columns, F.coalesce("centre", F.lit(0.0)).alias("centre"))
+
+
 def _vectors(series: DataFrame, name: str, value: str, spans: Column, side: int) -> DataFrame:
-    """A row for each series and span: its days with rows, values, sums and squares, sorted by day."""
+    """A row for each series and span: its days with rows, values, means and squared deviations from them."""
     v = F.col(value).cast("double")
     days = series.filter(F.col("day").isNotNull()).groupBy(F.col(name).cast("string").alias("name"), F.unix_date("day").alias("d"))
-    days = days.agg(F.count("*").alias("r"), F.count(v).alias("m"), F.coalesce(F.sum(v), F.lit(0.0)).alias("s"), F.coalesce(F.sum(v * v), F.lit(0.0)).alias("q"))
+    days = days.agg(F.count("*").alias("r"), F.count(v).alias("m"), F.coalesce(_mean(v), F.lit(0.0)).alias("a"), F.coalesce(F.var_pop(v) * F.count(v), F.lit(0.0)).alias("v"))
     dealt = days.withColumn("span", F.explode(spans))
-    return dealt.groupBy("name", "span").agg(F.collect_list(F.struct("d", "r", "m", "s", "q")).alias("days")).withColumn("side", F.lit(side))
+    return dealt.groupBy("name", "span").agg(F.collect_list(F.struct("d", "r", "m", "a", "v")).alias("days")).withColumn("side", F.lit(side))
 
 
 def products(x: np.ndarray, y: np.ndarray, first: int, lags: list[int]) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -47,11 +61,13 @@ def products(x: np.ndarray, y: np.ndarray, first: int, lags: list[int]) -> Itera
 def _matrix(rows: list[tuple], at: int, length: int) -> tuple[list[str | None], np.ndarray]:
     names = [r[1] for r in rows]
     out = np.zeros((4, len(rows), length))
-    for i, (_, _, days) in enumerate(rows):
+    for i, (_, _, days, centre) in enumerate(rows):
         where = np.asarray(days.field("d")) - at
         inside = (where >= 0) & (where < length)
-        for k, c in enumerate("rmsq"):
-            out[k, i, where[inside]] = np.asarray(days.field(c))[inside]
+        r, m, a, v = (np.asarray(days.field(c))[inside] for c in "rmav")
+        off = a - centre
+        for k, of in enumerate((r, m, m * off, v + m * off * off)):
+            out[k, i, where[inside]] = of
     return names, out
 
 
@@ -82,11 +98,11 @@ def _multiplied(groups: DataFrame, lags: list[int]) -> DataFrame:
                     yield from cells(key[2], rows)
                     rows = []
                 key = own
-                rows.append((side, name, batch.column(5)[k].values))
+                rows.append((side, name, batch.column(5)[k].values, batch.column(6)[k].as_py()))
         if rows:
             yield from cells(key[2], rows)
 
-    return groups.repartition("i", "j", "span").sortWithinPartitions("i", "j", "span").select("i", "j", "span", "side", "name", "days").mapInArrow(run, _CELLS)
+    return groups.repartition("i", "j", "span").sortWithinPartitions("i", "j", "span").select("i", "j", "span", "side", "name", "days", "centre").mapInArrow(run, _CELLS)
 
 
 def correlations(sources: DataFrame, targets: DataFrame, lags: list[int]) -> DataFrame:
@@ -103,7 +119,7 @@ def correlations(sources: DataFrame, targets: DataFrame, lags: list[int]) -> Dat
     tiles = [max(1, -(-counts.get(k, 0) // TILE)) for k in (0, 1)]
     own = F.pmod(F.xxhash64("name"), F.when(F.col("side") == 0, tiles[0]).otherwise(tiles[1]))
     others = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("side") == 0, tiles[1] - 1).otherwise(tiles[0] - 1).cast("bigint"))
-    dealt = both.withColumn("own", own).withColumn("other", F.explode(others))
+    dealt = _centred(both).withColumn("own", own).withColumn("other", F.explode(others))
     first = F.col("side") == 0
     dealt = dealt.withColumns({"i": F.when(first, F.col("own")).otherwise(F.col("other")), "j": F.when(first, F.col("other")).otherwise(F.col("own"))})
     sums = _multiplied(dealt, lags).groupBy("source", "target", "lag").agg(*[F.sum(c).alias(c) for c in ["n", *_SUMS]])

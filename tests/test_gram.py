@@ -53,6 +53,18 @@ def test_equals_a_join_on_the_day(spark, monkeypatch, span, tile):
     assert _get(spark, xs, ys, lags) == brute(xs, ys, lags)
 
 
+def test_a_level_with_little_spread_is_not_constant(spark, monkeypatch):
+    """Means of 1e5 and 1e8 with a spread of cents, several rows a day and several spans; equal values stay constant."""
+    monkeypatch.setattr(gram, "SPAN", 16)
+    rng = random.Random(5)
+    of = lambda name, level: [(name, date(2021, 1, 1) + timedelta(d), level + rng.randrange(5) / 100) for d in range(60) for _ in range(1 + d % 3)]
+    flat = [("flat", date(2021, 1, 1) + timedelta(d), 0.1) for d in range(60) for _ in range(1 + d % 3)]
+    xs, ys = of("a", 1e5) + of("b", 1e8) + flat, of("p", 1e5) + of("q", 0.0) + flat
+    got, want = _get(spark, xs, ys, [0, 7]), brute(xs, ys, [0, 7])
+    assert got == want
+    assert {k[:2] for k, (_, _, r) in got.items() if r is None} == {k[:2] for k in got if "flat" in k}
+
+
 def test_bounds_reach_both_sides_and_cells_can_be_excluded(spark):
     rng = random.Random(9)
     xs, ys = _series(rng, ["a", "b"], 60, 0, 0), _series(rng, ["p", "q"], 60, 0, 0)

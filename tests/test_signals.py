@@ -104,3 +104,25 @@ def test_the_best_lag_is_of_all_days_by_its_sql_too(spark, tmp_path):
     assert [tuple(r) for r in got.filter("source = '1-URGENT'").collect()] == want
     (row,) = got.filter("source = '1-URGENT'").collect()
     assert row["n"] == 400 - row["lag"]
+
+
+def test_the_best_lag_of_prices_near_a_constant_is_that_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    from lagloom.plans import registry
+
+    registry.load()
+    days = [D(1996, 1, 1) + dt.timedelta(i) for i in range(400)]
+    tables = {
+        "orders": frame(spark, [(d, p, 100000 + i * k % 101 / 100) for i, d in enumerate(days) for p, k in (("1-URGENT", 37), ("2-HIGH", 41))], "o_orderdate date, o_orderpriority string, o_totalprice double"),
+        "lineitem": frame(spark, [("N", "O", d, 2e7 + i * 53 % 97 / 100, 1.0, i % 7 / 100, 0.02) for i, d in enumerate(days)], "l_returnflag string, l_linestatus string, l_shipdate date, l_extendedprice double, l_quantity double, l_discount double, l_tax double"),
+        "documents": frame(spark, [(1, "the", "en", "s")], "doc_id bigint, text string, lang string, source string"),
+    }
+    db = duckdb.connect()
+    for k, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{k}.parquet")
+        db.execute(f"CREATE VIEW {k} AS SELECT * FROM '{tmp_path}/{k}.parquet/*.parquet'")
+    got = registry.QUERIES["best_lag_per_pair"](spark, str(tmp_path)).filter("source in ('1-URGENT', '2-HIGH')")
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLE_SQL['best_lag_per_pair']}) WHERE source IN ('1-URGENT', '2-HIGH') ORDER BY source").fetchall()
+    assert len(want) == 2
+    assert sorted(tuple(r) for r in got.collect()) == want
