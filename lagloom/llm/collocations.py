@@ -27,6 +27,8 @@ from lagloom.llm.arrow import arrow_schema, map_batches, slices, small_batches
 from lagloom.sources.shared import keep, new_path
 
 BLOCK, HELD = 1 << 22, 1 << 25
+#: Bytes of a row group of blocks.
+GROUP = 1 << 23
 #: Places of a bitmap; a bitmap is 8 MB, and at most a million rows gather it.
 SLOTS = 1 << 26
 LEAST, SHARE, TOP, SPREAD = 10, 50, 2000, 64
@@ -61,7 +63,7 @@ def inverted(text: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def lists(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """A row for each block: lang, n (words), words, counts, places (32-bit positions), written to the shared folder."""
+    """A row for each block: lang, n (words), words, counts, places (32-bit differences of positions), written to the shared folder."""
     schema = arrow_schema(_LISTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +74,7 @@ def lists(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
             # Texts are joined by what ends a piece.
             words, counts, places = inverted(b"\n".join(held.pop(lang)))
             size.pop(lang)
-            columns = [[lang], [len(places)], pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts.astype(np.int32))), [places.tobytes()]]
+            columns = [[lang], [len(places)], pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), pa.array(counts.astype(np.int32))), [np.diff(places, prepend=np.int32(0)).tobytes()]]
             return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, schema.field(i).type) for i, c in enumerate(columns)], schema=schema)
 
         for piece in slices(batches, 256):
@@ -96,8 +98,8 @@ def lists(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Da
     small_batches(spark)
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     path = new_path(spark, "lists")
-    # Small row groups: a reader holds one.
-    map_batches(texts, run, _LISTS).write.option("parquet.block.size", 1 << 24).parquet(path)
+    # Small row groups: writer and reader hold one. Parquet looks at sizes after 100 rows, which blocks would never reach.
+    map_batches(texts, run, _LISTS).write.option("parquet.block.size", GROUP).option("parquet.page.size.row.check.min", 1).option("compression", "zstd").parquet(path)
     return spark.read.schema(_LISTS).parquet(path)
 
 
@@ -160,7 +162,7 @@ def _extend(blocks: DataFrame, one: Broadcast, two: Broadcast | None, least: int
         for row in slices(batches, 1):
             lang = row.column(0)[0].as_py()
             counts = np.asarray(row.column(2)[0].values)
-            places = np.frombuffer(row.column(3)[0].as_buffer(), np.int32)
+            places = np.cumsum(np.frombuffer(row.column(3)[0].as_buffer(), np.int32), dtype=np.int32)
             phrases, n = extended(lang, row.column(1)[0].values, counts, places, one.value, two.value if two else None)
             for at in range(0, len(n), 1 << 15):
                 part = phrases[at : at + (1 << 15)]

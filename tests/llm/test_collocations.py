@@ -91,3 +91,21 @@ def test_positions(text):
     assert [w.as_py().encode() for w in words] == [w for p in pieces for w in p]
     firsts = np.cumsum([len(p) for p in pieces if p])[:-1]
     assert [i for i in range(1, len(at)) if at[i] != at[i - 1] + 1] == list(firsts)
+
+
+def test_a_row_group_holds_few_blocks(spark, monkeypatch):
+    """One task's blocks are many row groups: what a task holds does not grow with the text it reads."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(C, "BLOCK", 1 << 16)
+    monkeypatch.setattr(C, "GROUP", 1 << 18, raising=False)
+    rng = random.Random(3)
+    rows = [("en", " ".join(str(rng.randrange(9999)) for _ in range(14_000))) for _ in range(40)]
+    blocks = C.lists(spark.createDataFrame(rows, "lang string, text string").coalesce(1))
+    path = blocks.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    files = [pq.ParquetFile(f).metadata for f in glob.glob(f"{path}/*.parquet")]
+    groups = [m.row_group(i) for m in files for i in range(m.num_row_groups)]
+    assert blocks.count() == sum(g.num_rows for g in groups) == 40
+    assert max(g.num_rows for g in groups) <= 6
