@@ -3,11 +3,12 @@
 Vectors of length one are dealt to the nearest of some hundred centroids; what is left of each, its residual, is cut into
 ``PARTS`` parts and each part named by the nearest of 256 code words. A table of Parquet, partitioned by chosen metadata
 columns and by list, holds every row with its code. A search reads the codes of the lists nearest to a query and no other
-partition, adds up table values for an approximate cosine, and computes true distances for the best of those alone.
+partition, takes the cosines of the vectors that the codes stand for, and computes true distances for the best of those alone.
 
 Centroids and code words are learnt from ``SAMPLE`` vectors at most; every row is indexed. How many lists to read is measured
-when the index is built: as many as hold ``RECALL`` of the true ``NEAR`` neighbours of ``ASKED`` vectors. With ``exact``, a search goes on to
-every list that may hold a nearer vector by the triangle inequality: a list's radius is known, so nothing is missed.
+when the index is built: as many as hold ``RECALL`` of the true ``NEAR`` neighbours of ``ASKED`` vectors. With ``exact``, a search takes the
+true cosines in the ``FIRST`` nearest lists, and then in every list that may hold a nearer vector by the triangle inequality: a
+list's radius is known, so nothing is missed. A task multiplies tiles of queries and rows and holds the best of each query alone.
 """
 
 from __future__ import annotations
@@ -27,8 +28,12 @@ from lagloom.sources.shared import keep
 
 SAMPLE, PARTS, CODES, ROUNDS = 20_000, 8, 256, 15
 MOST_LISTS, RECALL, NEAR, ASKED = 4096, 0.98, 10, 200
-#: Queries of one pass, and candidates for each wanted neighbour that are re-ranked.
-BLOCK, RERANK = 1024, 20
+#: Rows that a list of a metadata partition holds on average, at least: each is a folder and a file.
+LIST_ROWS = 256
+#: Queries of one pass, candidates for each wanted neighbour that are re-ranked, candidates that a task holds, lists of an exact search's first pass.
+BLOCK, RERANK, HELD, FIRST = 16_384, 20, 1 << 18, 2
+#: Queries and rows of one product; candidates beyond the wanted, and what a cosine may be off by, in an exact search.
+TILE, ROWS, SPARE, SLACK = 256, 1024, 6, 1e-9
 _HITS = "query int, id long, score double"
 _MODEL = "kind string, at int, values array<double>"
 
@@ -73,10 +78,12 @@ def encode(x: np.ndarray, centroids: np.ndarray, books: np.ndarray) -> tuple[np.
     return own, code, np.sqrt((rest * rest).sum(axis=1))
 
 
-def tables(q: np.ndarray, books: np.ndarray) -> np.ndarray:
-    """(queries, parts, codes): the inner products of a query's parts with the code words."""
-    parts = np.array_split(np.arange(q.shape[1]), len(books))
-    return np.stack([q[:, p] @ b[:, : len(p)].T for p, b in zip(parts, books, strict=True)], axis=1).astype(np.float32)
+def decode(lists: np.ndarray, code: np.ndarray, centroids: np.ndarray, books: np.ndarray) -> np.ndarray:
+    """The vectors that lists and codes stand for."""
+    out = centroids[lists]
+    for m, p in enumerate(np.array_split(np.arange(centroids.shape[1]), len(books))):
+        out[:, p] += books[m, code[:, m], : len(p)]
+    return out
 
 
 def _top(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -89,6 +96,59 @@ def _top(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tupl
     return query[i], ids[j], scores[i, j]
 
 
+class _Best:
+    """The k best rows of each query so far, and the score that a row must reach."""
+
+    def __init__(self, q: np.ndarray, least: np.ndarray, k: int) -> None:
+        self.bound, self.k, self.q = least.copy(), k, q
+        # Products in single precision choose; what they may be off by is allowed for twice.
+        self.short, self.slack = q.astype(np.float32), SLACK + 4 * (q.shape[1] + 2) * 2.0**-24
+        self.parts, self.n, self.kept = [], 0, 0
+
+    def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        self.parts.append((query, ids, scores))
+        self.n += len(query)
+        if self.n > 2 * max(HELD, self.kept):
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, ids, scores = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((ids, -scores, query))
+        query, ids, scores = query[order], ids[order], scores[order]
+        starts = np.flatnonzero(np.diff(query, prepend=-1))
+        place = np.arange(len(query)) - np.repeat(starts, np.diff(starts, append=len(query)))
+        full = place == self.k - 1
+        self.bound[query[full]] = np.maximum(self.bound[query[full]], scores[full])
+        kept = place < self.k
+        self.parts = [(query[kept], ids[kept], scores[kept])]
+        self.n = self.kept = int(kept.sum())
+        return self.parts[0]
+
+
+def _products(best: _Best, near: np.ndarray, wanted: np.ndarray | None, ids: np.ndarray, lists: np.ndarray, x: np.ndarray) -> None:
+    """Rows into ``best``: each tile of queries meets the rows of the lists that it may want (``near``), or no more than each wants (``wanted``: its lists)."""
+    short = x.astype(np.float32)
+    for tile in range(len(near)):
+        use = np.flatnonzero(near[tile][lists])
+        if not len(use):
+            continue
+        at = slice(tile * TILE, (tile + 1) * TILE)
+        s = best.short[at] @ (short if len(use) == len(x) else short[use]).T
+        if wanted is not None:
+            own = np.zeros((len(s), near.shape[1]), bool)
+            np.put_along_axis(own, wanted[at], True, axis=1)
+            s[~own[:, lists[use]]] = -np.inf
+        bound = best.bound[at]
+        new = np.flatnonzero(bound == -np.inf)
+        if len(new) and s.shape[1] > best.k:
+            bound[new] = np.partition(s[new], s.shape[1] - best.k, axis=1)[:, -best.k]
+        i, j = np.nonzero(s >= np.maximum(bound - best.slack, -2)[:, None].astype(np.float32))
+        for part in range(0, len(i), 1 << 15):
+            a, b = i[part : part + (1 << 15)] + at.start, use[j[part : part + (1 << 15)]]
+            # Again, row by row: equal vectors get equal scores wherever they stand in a tile.
+            best.add(a, ids[b], (best.q[a] * x[b]).sum(axis=1))
+
+
 class VectorIndex:
     """An index at ``path``: its model is in memory (a bounded number of centroids), its rows are a table."""
 
@@ -105,10 +165,10 @@ class VectorIndex:
         """id, the metadata, embedding, list, code, gap of every indexed row."""
         return stored(self.spark, self.path)
 
-    def radius(self) -> np.ndarray:
+    def radius(self, rows: DataFrame | None = None) -> np.ndarray:
         """The largest distance of a row from its list's centroid, of rows added later too: a number for each list."""
         out = np.zeros(len(self.centroids))
-        for r in self.rows.groupBy("list").agg(F.max("gap").alias("r")).collect():
+        for r in (self.rows if rows is None else rows).groupBy("list").agg(F.max("gap").alias("r")).collect():
             out[r["list"]] = r["r"]
         return out + 1e-9
 
@@ -116,46 +176,39 @@ class VectorIndex:
         """(queries, probes): the lists nearest to each query, nearest first."""
         return np.argsort(-(queries @ self.centroids.T), axis=1, kind="stable")[:, :probes]
 
-    def _scan(self, rows: DataFrame, q: np.ndarray, wanted: np.ndarray, k: int, least: np.ndarray | None) -> DataFrame:
-        """(query, id, score): of the lists that a query wants, the best k of each batch, by codes or (given ``least``) truly."""
-        lut = self.spark.sparkContext.broadcast((q, wanted, least, tables(q, self.books) if least is None else None, q @ self.centroids.T))
+    def _scan(self, rows: DataFrame, q: np.ndarray, near: np.ndarray, wanted: np.ndarray | None, k: int, least: np.ndarray, coded: bool) -> DataFrame:
+        """(query, id, score): the k best of each query by true cosines, or by codes; only of lists in ``near`` (tiles, lists) and ``wanted`` (queries, their lists)."""
+        shared = self.spark.sparkContext.broadcast((q, near, wanted, least, self.centroids, self.books))
         schema = to_arrow_schema(self.spark.createDataFrame([], _HITS).schema)
         dim = q.shape[1]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q, wanted, least, lut_, coarse = lut.value
+            q, near, wanted, least, centroids, books = shared.value
+            best = _Best(q, least, k)
             for whole in batches:
-                for at in range(0, whole.num_rows, 2048):
-                    batch = whole.slice(at, 2048)
+                for at in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(at, ROWS)
                     ids, lists = np.asarray(batch.column(0)), np.asarray(batch.column(1))
-                    if least is None:
-                        code = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+                    if coded:
+                        x = decode(lists, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(batch.num_rows, -1), centroids, books)
                     else:
-                        at_, x = _unit(batch.column(2), dim)
-                        ids, lists = ids[at_], lists[at_]
-                    for own in np.unique(lists):
-                        who, here = np.flatnonzero(wanted[:, own]), np.flatnonzero(lists == own)
-                        for part in range(0, len(who), 256):
-                            some = who[part : part + 256]
-                            if least is None:
-                                scores = np.repeat(coarse[some, own][:, None], len(here), axis=1)
-                                for m in range(code.shape[1]):
-                                    scores += lut_[some, m][:, code[here, m]]
-                            else:
-                                scores = q[some] @ x[here].T
-                                scores[scores < least[some][:, None]] = -np.inf
-                            found = _top(some, ids[here], scores, k)
-                            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int32()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], schema=schema)
-
-        hits = rows.select("id", "list", "code" if least is None else "embedding").mapInArrow(run, _HITS)
+                        usable, x = _unit(batch.column(2), dim)
+                        ids, lists = ids[usable], lists[usable]
+                    _products(best, near, wanted, ids, lists, x)
+            found = best.cut()
+            for at in range(0, len(found[0]), 1 << 15):
+                query, ids, scores = (c[at : at + (1 << 15)] for c in found)
+                yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], schema=schema)
+
+        hits = rows.select("id", "list", "code" if coded else "embedding").mapInArrow(run, _HITS)
         # Each task's best first: what crosses the shuffle is bounded by tasks and k.
         best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-        return hits.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= k).select("query", "id")
+        return hits.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= k)
 
     def _ranked(self, found: DataFrame, rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
         """True distances of candidates (query, id), and the k nearest of each query, ties by id."""
         # By a shuffle: a broadcast would take the index, or all candidates, through the driver for each block.
-        met = rows.select("id", "embedding").join(found.distinct().hint("shuffle_hash"), "id").join(F.broadcast(asked), "query")
+        met = rows.select("id", "embedding").join(found.select("query", "id").distinct().hint("shuffle_hash"), "id").join(F.broadcast(asked), "query")
         near = met.select("query", "id", cosine_distance(F.col("embedding"), F.col("asked")).alias("distance")).distinct()
         w = Window.partitionBy("query").orderBy("distance", "id")
         return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -163,41 +216,48 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int = 10, where: Column | None = None, probes: int | None = None, exact: bool = False) -> DataFrame:
         """(query_id, rank, id, distance) of the k nearest rows that meet ``where``, for each of ``queries`` (query_id, embedding).
 
-        Queries that are null, zero, not finite or of another length get no rows; ``probes`` overrides what was measured.
-        Queries are dealt evenly into blocks of about ``BLOCK``, however many partitions they come in; each block is a pass over the
-        lists it wants, and only its vectors pass through the driver.
+        Queries that are null, zero, not finite or of another length get no rows; ``probes`` overrides what was measured, or ``FIRST``.
+        Queries are dealt evenly into blocks of about ``BLOCK`` (fewer, where a task would hold more than ``HELD`` candidates), however many
+        partitions they come in; each block is a pass over the lists it wants, or two, and only its vectors pass through the driver.
         """
-        rows = self.rows if where is None else self.rows.filter(where)
-        blocks = max(1, -(-queries.count() // BLOCK))
+        # Listed once for all blocks.
+        rows = every = self.rows
+        rows = rows if where is None else rows.filter(where)
+        blocks = max(1, -(-queries.count() // max(1, min(BLOCK, HELD // (k + SPARE if exact else RERANK * k)))))
         asked = keep(queries.select("query_id", "embedding").withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))), "queries")
-        radius = self.radius() if exact else None
+        radius = self.radius(every) if exact else None
         out = None
         for block in sorted(r[0] for r in asked.select("block").distinct().toLocalIterator()):
             one = asked.filter(F.col("block") == block).select("query_id", "embedding").toArrow()
             at, q = _unit(one.column("embedding"), self.centroids.shape[1])
             if not len(at):
                 continue
-            one = one.take(pa.array(at))
+            # Neighbours stand together: a tile wants few lists.
+            order = np.argsort(_nearest(q, self.centroids), kind="stable")
+            one, q = one.take(pa.array(at[order])), q[order]
             table = self.spark.createDataFrame(pa.table({"query": pa.array(np.arange(len(at)), pa.int32()), "query_id": one.column("query_id"), "asked": one.column("embedding")}))
-            found = self._block(rows, q, table, k, probes or self.probes, radius).join(F.broadcast(table), "query").select("query_id", "rank", "id", "distance")
+            found = self._block(rows, q, table, k, probes or (min(FIRST, self.probes) if exact else self.probes), radius).join(F.broadcast(table), "query").select("query_id", "rank", "id", "distance")
             out = found if out is None else out.unionByName(found)
         return out if out is not None else self.spark.createDataFrame([], f"query_id {dict(queries.dtypes)['query_id']}, rank int, id long, distance double")
 
     def _block(self, rows: DataFrame, q: np.ndarray, table: DataFrame, k: int, probes: int, radius: np.ndarray | None) -> DataFrame:
-        wanted = np.zeros((len(q), len(self.centroids)), bool)
-        np.put_along_axis(wanted, self.probed(q, probes), True, axis=1)
-        within = lambda mask: rows.filter(F.col("list").isin(np.flatnonzero(mask.any(axis=0)).tolist()))
-        near = within(wanted)
-        first = self._ranked(self._scan(near, q, wanted, RERANK * k, None), near, table.select("query", "asked"), k)
+        asked, none = table.select("query", "asked"), np.full(len(q), -np.inf)
+        tiles = [q[at : at + TILE] for at in range(0, len(q), TILE)]
+        within = lambda near: rows.filter(F.col("list").isin(np.flatnonzero(near.any(axis=0)).tolist()))
+        wanted = np.concatenate([self.probed(tile, probes).astype(np.int32) for tile in tiles])
+        near = np.zeros((len(tiles), len(self.centroids)), bool)
+        for i, to in enumerate(near):
+            to[wanted[i * TILE : (i + 1) * TILE]] = True
         if radius is None:
-            return first
-        first = keep(first, "first")
-        # The k-th distance so far, or none: lists whose nearest possible vector is farther are done.
-        last = {r["query"]: r["d"] for r in first.groupBy("query").agg(F.max("distance").alias("d"), F.count("*").alias("n")).filter(F.col("n") >= k).collect()}
-        least = np.array([1 - last[i] if i in last else -2.0 for i in range(len(q))]) - 1e-9
-        may = q @ self.centroids.T + radius >= least[:, None]
-        rest = within(may)
-        return self._ranked(self._scan(rest, q, may, k, least), rest, table.select("query", "asked"), k)
+            return self._ranked(self._scan(within(near), q, near, wanted, RERANK * k, none, True), within(near), asked, k)
+        # The k-th score so far, or none: lists whose nearest possible vector is farther are done.
+        first = self._scan(within(near), q, near, wanted, k, none, False).filter(F.col("_k") == k).select("query", "score").toArrow()
+        least = none.copy()
+        least[np.asarray(first.column("query"))] = np.asarray(first.column("score")) - SLACK
+        for i, (to, tile) in enumerate(zip(near, tiles, strict=True)):
+            to[:] = (tile @ self.centroids.T + radius >= least[i * TILE : (i + 1) * TILE, None]).any(axis=0)
+        # A few more than wanted: where cosines are equal but for rounding, the distances below tell.
+        return self._ranked(self._scan(within(near), q, near, None, k + SPARE, least, False), within(near), asked, k)
 
 
 def build(rows: DataFrame, path: str, by: list[str] | None = None, lists: int | None = None, seed: int = 5) -> VectorIndex:
@@ -212,7 +272,10 @@ def build(rows: DataFrame, path: str, by: list[str] | None = None, lists: int |
     sample = rows.filter(F.size("embedding") == dim).select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
     _, x = _unit(sample.column("embedding"), dim)
     rng = np.random.default_rng(seed)
-    lists = lists or int(np.clip(round((size["count"] if size else 1) ** 0.5), 1, MOST_LISTS))
+    if not lists:
+        n = size["count"] if size else 1
+        apart = max(1, rows.select(*by).distinct().count()) if by else 1
+        lists = int(np.clip(min(round(n**0.5), n // (apart * LIST_ROWS)), 1, MOST_LISTS))
     centroids = kmeans(x, lists, rng) if len(x) else np.zeros((1, dim))
     rest = x - centroids[_nearest(x, centroids)]
     parts = np.array_split(np.arange(dim), PARTS)

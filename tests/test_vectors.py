@@ -93,3 +93,36 @@ def test_queries_of_many_partitions_are_few_blocks(spark, table, index, monkeypa
     few = index.search(queries, 3, exact=True)
     assert sum(taken[1:]) == 30 and 1 < len(taken[1:]) <= 8
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_many_queries_are_one_pass_and_lists_are_not_tiny(spark, tmp_path, monkeypatch):
+    """Folders and passes do not grow as the root of the rows for each metadata partition, or one for each thousand queries."""
+    rows = _rows(2200, 8, 12)
+    made = vectors.build(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "i"), ["year"])
+    assert made.rows.select("year", "list").distinct().count() <= 2200 / 256
+    taken, block = [], vectors.VectorIndex._block
+    monkeypatch.setattr(vectors.VectorIndex, "_block", lambda self, rows, q, *more: taken.append(len(q)) or block(self, rows, q, *more))
+    asked = spark.createDataFrame([(r[0], r[3]) for r in rows], "query_id long, embedding array<float>")
+    got = {}
+    for r in made.search(asked, 3, exact=True).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    assert taken == [2200]
+    x = np.array([r[3] for r in rows])
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    assert got == {i: np.argsort(-s, kind="stable")[:3].tolist() for i, s in enumerate(x @ x.T)}
+
+
+def test_copies_go_by_id_whatever_a_task_holds(spark, tmp_path, monkeypatch):
+    """Equal vectors in many tiles and batches: the smallest ids, though a task drops candidates all the time."""
+    for name, size in {"HELD": 64, "TILE": 7, "ROWS": 50}.items():
+        monkeypatch.setattr(vectors, name, size, raising=False)
+    rows = _rows(400, 24, 5)
+    rows = [(r[0], r[1], r[2], rows[r[0] % 3][3] if r[0] >= 100 else r[3]) for r in rows]
+    made = vectors.build(spark.createDataFrame(rows, SCHEMA).repartition(3), str(tmp_path / "i"), lists=4)
+    asked = spark.createDataFrame([(r[0], r[3]) for r in rows[:30]], "query_id long, embedding array<float>")
+    got = {}
+    for r in made.search(asked, 9, exact=True).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.id)
+    for i in range(3):
+        assert got[i] == [i, *[j for j in range(100, 400) if j % 3 == i][:8]]
+    assert len(got) == 30 and all(len(ids) == 9 for ids in got.values())
